@@ -38,6 +38,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
         .appName("toolwarden")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SQL_SETTINGS.items():

@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .regex import matches, to_java, word_pattern
+from .regex import has_word, to_java
 
 ZERO_WIDTH = r"\x{200b}-\x{200d}\x{feff}"
 BIDI = r"\x{202a}-\x{202e}\x{2066}-\x{2069}"
 
+_FOREIGN = (r"\x{370}-\x{1fff}\x{2100}-\x{214f}\x{2de0}-\x{2dff}\x{a640}-\x{abff}\x{fe2e}\x{fe2f}"
+            r"\x{10000}-\x{10ffff}")
 _LATIN = r"[\p{L}&&\p{IsLatin}]"
 _LOOKALIKE = r"[\p{L}&&[\p{IsCyrillic}\p{IsGreek}]]"
 _NEUTRAL = r"[\p{L}&&[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]]"
@@ -30,16 +32,15 @@ def invisible_reason(text: Column) -> Column:
     """Why a text is deceptive, reasons in order of appearance; NULL if it is not."""
     zero, bidi = text.rlike(f"[{ZERO_WIDTH}]"), text.rlike(f"[{BIDI}]")
     bidi_first = text.rlike(f"^[^{ZERO_WIDTH}{BIDI}]*+[{BIDI}]")
-    zero_name, bidi_name = F.lit("zero-width characters"), F.lit("bidirectional control characters")
-    reasons = F.array_compact(F.array(
-        F.when(bidi_first, bidi_name),
-        F.when(zero, zero_name),
-        F.when(bidi & ~bidi_first, bidi_name),
-        F.when(mixed_script_word(text), F.lit("mixed-script (homoglyph) text")),
-    ))
-    # One cheap look decides for the usual, harmless text.
-    suspect = text.rlike(f"[{ZERO_WIDTH}{BIDI}\\p{{IsCyrillic}}\\p{{IsGreek}}]")
-    return F.when(suspect, F.nullif(F.array_join(reasons, " and "), F.lit("")))
+    zero_name, bidi_name = "zero-width characters", "bidirectional control characters"
+    hidden = (F.when(zero & bidi, F.when(bidi_first, F.lit(f"{bidi_name} and {zero_name}"))
+                     .otherwise(F.lit(f"{zero_name} and {bidi_name}")))
+              .when(zero, F.lit(zero_name)).when(bidi, F.lit(bidi_name)))
+    mixed = F.concat_ws(" and ", hidden, F.lit("mixed-script (homoglyph) text"))
+    # One cheap look decides for the usual, harmless text: plain ranges that cover all
+    # hidden characters and every block with Greek or Cyrillic letters.
+    suspect = text.rlike(f"[{ZERO_WIDTH}{BIDI}{_FOREIGN}]")
+    return F.when(suspect, F.when(mixed_script_word(text), mixed).otherwise(hidden))
 
 
 def encoded_payload(text: Column) -> Column:
@@ -107,22 +108,20 @@ def escape_controls(text: Column, keep_lines: bool = False) -> Column:
     return F.when(is_hostile(text, keep_lines), shown).otherwise(text)
 
 
-_WORD_PATTERNS = [(name, word_pattern(words), word_pattern(names))
-                  for name, words, names in C.CAPABILITY_WORDS]
 _CLASS_ORDER = sorted(name for name, _, _ in C.CAPABILITY_WORDS)
 
 # Any name that can decide a class, or an escape that could hide one.
 SCHEMA_HINT = r"(?i)" + "|".join(sorted({n for _, _, names in C.CAPABILITY_WORDS for n in names}) + [r"\\u"])
 
 
-def capability_classes(name: Column, description: Column, properties: Column) -> Column:
-    """Sorted capability classes a tool declares by its text or property names."""
-    text = F.lower(F.concat(name, F.lit("\n"), description))
-    by_name = {cls: (words, names) for cls, words, names in _WORD_PATTERNS}
-    return F.array_compact(F.array(*[
-        F.when(matches(text, by_name[cls][0]) | matches(properties, by_name[cls][1]), F.lit(cls))
-        for cls in _CLASS_ORDER
-    ]))
+def capability_classes(text: Column, properties: Column) -> Column:
+    """Sorted capability classes a tool declares by its lower-case text or property names."""
+    by_name = {cls: (words, names) for cls, words, names in C.CAPABILITY_WORDS}
+    held = F.array(*[
+        F.when(has_word(text, by_name[cls][0]) | has_word(properties, by_name[cls][1]), F.lit(cls))
+        for cls in _CLASS_ORDER])
+    # array_except drops the NULLs inside generated code; array_compact would not.
+    return F.array_except(held, F.array(F.lit(None).cast("string")))
 
 
 def schema_matters(schema: Column) -> Column:

@@ -16,6 +16,8 @@ use them are refused, as the rule format promises.
 from __future__ import annotations
 
 import re
+import re._parser as sre
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +132,69 @@ def word_pattern(words) -> str:
     return r"(?i)\b(" + "|".join(words) + r")\b"
 
 
+def required_literals(pattern: str) -> list[str]:
+    """Lower-case texts of which one must occur in anything the pattern matches.
+
+    Empty when none can be named with certainty.  Only plain sequences and a top-level
+    choice are looked into; everything optional or repeated is ignored.
+    """
+    if "[:" in pattern or "(?x" in pattern:
+        return []  # valid in both syntaxes, but not the same pattern
+    try:
+        tree = sre.parse(pattern.replace(r"\z", r"\Z"))
+    except Exception:  # not Python syntax: no hint
+        return []
+
+    def longest(items) -> list[str]:
+        best, run = [], ""
+        for op, arg in list(items) + [(None, None)]:
+            if op is sre.LITERAL and arg < 128:
+                run += chr(arg).lower()
+                continue
+            best, run = (best if best and len(min(best, key=len)) >= len(run) else [run]) if run else best, ""
+            inner = []
+            if op is sre.SUBPATTERN:
+                inner = longest(arg[3])
+            elif op is sre.BRANCH:
+                inner = [longest(branch) for branch in arg[1]]
+                inner = [t for texts in inner for t in texts] if all(inner) else []
+            if inner and (not best or len(min(inner, key=len)) > len(min(best, key=len))):
+                best = inner
+        return best
+
+    return longest(tree)
+
+
+def matches_hinted(text: Column, lowered: Column, patterns) -> Column:
+    """``matches_any`` behind a substring test on the lower-case text.
+
+    Each pattern runs only where a text it requires occurs.  U+017F is the one character
+    that folds to ASCII without lower-casing to it; where it occurs, every pattern runs.
+    """
+    tests = []
+    for pattern in patterns:
+        hints = required_literals(pattern)
+        regex = matches(text, pattern)
+        if hints:
+            hint = reduce(Column.__or__, [lowered.contains(h) for h in hints])
+            regex = (hint | lowered.contains("\u017f")) & regex
+        tests.append(regex)
+    return reduce(Column.__or__, tests) if tests else F.lit(False)
+
+
+def has_word(lowered: Column, words) -> Column:
+    """``word_pattern`` on text that is lower case already, at a fraction of its cost.
+
+    Substring tests settle most texts; only a text with a candidate runs the regex, which
+    needs no case folding.  U+017F folds to ``s`` but is no ASCII word character, so the
+    rare text that has one takes the general pattern.
+    """
+    candidate = reduce(Column.__or__, [lowered.contains(w.replace("s?", "")) for w in words])
+    plain = lowered.rlike(f"(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})")
+    return (F.when(lowered.contains("\u017f"), matches(lowered, word_pattern(words)))
+            .otherwise(candidate & plain))
+
+
 def check_patterns(spark: SparkSession, patterns) -> None:
     """Compile every pattern before any data is read; raise on the first bad one."""
     for pattern in patterns:

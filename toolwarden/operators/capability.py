@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import detect
 from ..functions.jsontext import schema_property_names
+from .injection import with_text
 from .findings import SERVER_SEQ, TOOL_STRIDE, explode_findings, finding
 
 
@@ -26,8 +27,9 @@ def classify_tools(tools: DataFrame) -> DataFrame:
     """Add ``classes``: the sorted capability classes of each tool."""
     if "classes" in tools.columns:
         return tools
-    classes = detect.capability_classes(F.col("name"), F.col("description"), F.col("schema_properties"))
-    return with_properties(tools).withColumn("classes", classes)
+    classes = detect.capability_classes(F.col("_lower"), F.col("schema_properties"))
+    rows = with_text(with_properties(tools)).withColumn("classes", classes)
+    return rows if "_lower" in tools.columns else rows.drop("_text", "_lower")
 
 
 def capability_summary(tools: DataFrame) -> DataFrame:

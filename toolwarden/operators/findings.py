@@ -60,7 +60,17 @@ def finding(rule: str, seq: Column, *, rule_id: Column | None = None, severity:
 
 def explode_findings(df: DataFrame, *hits: Column) -> DataFrame:
     """Rows of the findings table for the non-NULL structs among ``hits``."""
-    return df.select("scan_id", F.explode(F.array_compact(F.array(*hits))).alias("f")).select("scan_id", "f.*")
+    return rows_of(df, F.array(*hits))
+
+
+def rows_of(df: DataFrame, hits: Column) -> DataFrame:
+    """One row per non-NULL struct of an array of findings.
+
+    The outer form is on purpose: for a plain ``explode`` the optimizer infers a filter
+    on the array and pushes it down, which computes every detector two more times.
+    """
+    return (df.select("scan_id", F.explode_outer(hits).alias("f"))
+            .where(F.col("f").isNotNull()).select("scan_id", "f.*"))
 
 
 def empty_findings(spark) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import detect
-from ..functions.regex import matches_any
+from ..functions.regex import matches_hinted
 from .findings import TOOL_STRIDE, explode_findings, finding
 
 _ORD = C.ANALYZER_ORDER.index("injection")
@@ -17,9 +17,22 @@ def _severity(text: str) -> str:
     return text if text in [s[0] for s in C.SEVERITIES] else "info"
 
 
+def with_text(tools: DataFrame) -> DataFrame:
+    """Add the searched text and its lower-case form, computed once for all patterns."""
+    if "_lower" in tools.columns:
+        return tools
+    return (tools.withColumn("_text", F.concat("name", F.lit("\n"), "description"))
+            .withColumn("_lower", F.lower("_text")))
+
+
+def with_signs(tools: DataFrame) -> DataFrame:
+    """Add what the built-in detectors found: hidden text and decoded payload."""
+    return (tools.withColumn("_reason", detect.invisible_reason(F.col("description")))
+            .withColumn("_payload", detect.encoded_payload(F.col("description"))))
+
+
 def rule_hits(rules):
     """One struct per rule: a rule fires at most once per tool."""
-    text = F.concat("name", F.lit("\n"), "description")
     null = F.lit(None).cast("string")
     for i, rule in enumerate(rules):
         hit = F.struct(
@@ -34,15 +47,14 @@ def rule_hits(rules):
             F.lit(rule.get("remediation") or "").alias("remediation"),
             null.alias("meta"),
         )
-        yield F.when(matches_any(text, rule["any"]), hit)
+        yield F.when(matches_hinted(F.col("_text"), F.col("_lower"), rule["any"]), hit)
 
 
 def structural_hits(after: int = TOOL_STRIDE - 3):
     """One struct per built-in detector, listed after the rules of the same tool."""
     pos = F.col("pos").cast("bigint") * TOOL_STRIDE + after
-    name, text = F.col("name"), F.col("description")
-    reason, payload = detect.invisible_reason(text), detect.encoded_payload(text)
-    size = F.char_length(text)
+    name, reason, payload = F.col("name"), F.col("_reason"), F.col("_payload")
+    size = F.char_length("description")
     yield F.when(reason.isNotNull(),
                  finding("injection.invisible_chars", pos, tool=name, detail=(reason,)))
     yield F.when(payload.isNotNull(),
@@ -56,12 +68,12 @@ def rule_findings(tools: DataFrame, rules=C.INJECTION_RULES) -> DataFrame:
     """Findings of the regex rules only."""
     if not rules:
         return structural_findings(tools).limit(0)
-    return explode_findings(tools, *rule_hits(rules))
+    return explode_findings(with_text(tools), *rule_hits(rules))
 
 
 def structural_findings(tools: DataFrame) -> DataFrame:
     """Findings of the built-in detectors: hidden text, payloads, length."""
-    return explode_findings(tools, *structural_hits())
+    return explode_findings(with_signs(tools), *structural_hits())
 
 
 def injection_findings(tools: DataFrame, rules=C.INJECTION_RULES) -> DataFrame:
@@ -69,4 +81,4 @@ def injection_findings(tools: DataFrame, rules=C.INJECTION_RULES) -> DataFrame:
 
     ``rules`` replaces the default regex rules; the detectors always run.
     """
-    return explode_findings(tools, *rule_hits(rules), *structural_hits())
+    return explode_findings(with_signs(with_text(tools)), *rule_hits(rules), *structural_hits())

@@ -52,8 +52,23 @@ SCHEMA_CASE = pick("doc_id", 6, SCHEMAS, "NULL")
 CANONICAL_SCHEMA_CASE = pick("doc_id", 6, CANONICAL_SCHEMAS, "NULL")
 
 
+#: Long-text tables and their keys: work on them is bound by CPU, not by reading.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores when a table arrives in fewer pieces than there are cores.
+
+    One small file is one task, however costly its texts.  A table of many files is left
+    alone: it is already spread, and moving its texts would only add a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import capability, cost, drift, injection, posture, scoring, supply
-from ..operators.findings import findings_union
+from ..operators.findings import findings_union, rows_of
 
 #: An extra analyzer: takes the inputs of a scan, returns rows of the findings table.
 Analyzer = Callable[["ScanInputs"], DataFrame]
@@ -40,17 +40,18 @@ def tool_facts(tools: DataFrame, rules=C.INJECTION_RULES) -> DataFrame:
 
     The result is narrow (no descriptions or schemas), so it can be persisted or
     written once and read by every analyzer: (scan_id, pos, name, token_base, tokens,
-    classes, hits), where ``hits`` holds the tool's findings.
+    classes, hits), where ``hits`` holds one finding or NULL per check.
     """
-    rows = cost.schema_depth(cost.tool_tokens(capability.classify_tools(tools)))
-    hits = F.array_compact(F.array(
-        cost.bloat_hit(), *capability.declared_hits(), *injection.rule_hits(rules), *injection.structural_hits()))
+    rows = injection.with_signs(cost.schema_depth(cost.tool_tokens(capability.classify_tools(
+        injection.with_text(capability.with_properties(tools))))))
+    hits = F.array(
+        cost.bloat_hit(), *capability.declared_hits(), *injection.rule_hits(rules), *injection.structural_hits())
     return rows.select("scan_id", "pos", "name", "token_base", "tokens", "classes", hits.alias("hits"))
 
 
 def facts_findings(facts: DataFrame) -> DataFrame:
     """The per-tool findings held in ``tool_facts``."""
-    return facts.select("scan_id", F.explode("hits").alias("f")).select("scan_id", "f.*")
+    return rows_of(facts, F.col("hits"))
 
 
 def scan_findings(inputs: ScanInputs, facts: DataFrame | None = None) -> DataFrame:

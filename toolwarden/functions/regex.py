@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 _SPACE = r"\t\n\f\r "
 _WORD = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
-_NOT_BOUNDARY = f"(?:(?<!{_WORD})(?!{_WORD})|(?<={_WORD})(?={_WORD}))"
+# Case folding is off inside: with it on, the class would also take U+017F and U+212A.
+_BOUNDARY = f"(?-iu:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_NOT_BOUNDARY = f"(?-iu:(?<!{_WORD})(?!{_WORD})|(?<={_WORD})(?={_WORD}))"
 
 # Pieces of a pattern that need a decision; everything else passes through.
 _PIECE = re.compile(r"\\(?P<esc>.)|\(\?(?P<ext>[^)]?[^)]?)|(?P<posix>\[:\^?\w+:\])|(?P<chr>.)", re.S)

@@ -88,13 +88,13 @@ def stats(summary: DataFrame, drift_events: DataFrame, as_of: Column) -> DataFra
     """One row: servers, servers per grade, servers with a critical finding, recent events."""
     now = as_of.cast("timestamp")
     recent = drift_events.where(F.col("detected_at") > now - F.expr(f"INTERVAL {C.STATS_WINDOW_DAYS} DAYS"))
-    servers = summary.agg(
-        F.count("*").alias("total_servers"),
+    # One aggregation over servers and events; joining two totals would need a cross join.
+    rows = summary.select("grade", (F.col("critical") > 0).alias("bad"), F.lit(True).alias("server")).unionByName(
+        recent.select(F.lit(None).cast("string").alias("grade"), F.lit(False).alias("bad"), F.lit(False).alias("server")))
+    return rows.agg(
+        F.count_if("server").alias("total_servers"),
         *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in GRADES],
-        F.count_if(F.col("critical") > 0).alias("servers_with_critical"))
-    events = recent.agg(F.count("*").alias("drift_events_30d"))
-    one = F.lit(1)
-    return servers.withColumn("k", one).join(events.withColumn("k", one), "k").drop("k")
+        F.count_if("bad").alias("servers_with_critical"), F.count_if(~F.col("server")).alias("drift_events_30d"))
 
 
 def recent_drift(drift_events: DataFrame, servers: DataFrame, limit: int = C.DRIFT_FEED_ROWS) -> DataFrame:

@@ -75,13 +75,11 @@ def fail_on_gate(worst: DataFrame, threshold: str = "high", errors: DataFrame |
     """
     if threshold not in RANKS:
         raise ValueError(f"invalid severity {threshold!r} (want critical|high|medium|low|info)")
-    failing = F.col("rank") >= RANKS[threshold]
-    totals = worst.agg(F.count("*").alias("scans"), F.count_if(failing).alias("failing"))
-    failed = (errors.agg(F.count("*").alias("errors")) if errors is not None
-              else totals.select(F.lit(0).cast("bigint").alias("errors")))
+    # One aggregation over both tables; joining two totals would need a cross join.
+    rows = worst.select((F.col("rank") >= RANKS[threshold]).alias("fails"), F.lit(False).alias("broken"))
+    if errors is not None:
+        rows = rows.unionByName(errors.select(F.lit(False).alias("fails"), F.lit(True).alias("broken")))
     verdict = (F.when(F.col("errors") > 0, F.lit("error")).when(F.col("failing") > 0, F.lit("failing"))
                .otherwise(F.lit("ok")))
-    # Both sides are single-row totals.
-    one = F.lit(1)
-    return (totals.withColumn("k", one).join(failed.withColumn("k", one), "k").drop("k")
-            .withColumn("verdict", verdict))
+    return rows.agg(F.count_if(~F.col("broken")).alias("scans"), F.count_if("fails").alias("failing"),
+                    F.count_if("broken").alias("errors")).withColumn("verdict", verdict)

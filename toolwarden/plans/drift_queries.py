@@ -44,7 +44,7 @@ def canonical_json(spark, sf):
 
 
 @query("ingest_manifests", _CAPTURED + """
-  SELECT doc_id AS scan_id, 'tool' AS part, pos, name, description, schema FROM (
+  SELECT doc_id AS scan_id, 'tool' AS part, CAST(pos AS BIGINT) AS pos, name, description, schema FROM (
     SELECT doc_id, 0 AS pos, 't' || doc_id || 'b' AS name, description, schema FROM docs
     UNION ALL SELECT doc_id, 1, 't' || doc_id || 'a', lang, NULL FROM docs) WHERE doc_id % 50 < 48
   UNION ALL SELECT doc_id, 'error', 0, CASE doc_id % 50 WHEN 49 THEN 'no tools result'

@@ -177,11 +177,15 @@ def drift_event_severity(kind: Column, steered: Column, shorter: Column) -> Colu
 
 
 def scan_pairs(scans: DataFrame, cell: Column | None = None) -> DataFrame:
-    """Each scan with the server's previous one: (server_id, scan_id, prev_scan_id, scanned_at)."""
-    day = F.date_trunc("day", F.col("scanned_at")) if cell is None else cell
+    """Each scan with the server's previous one: (server_id, scan_id, prev_scan_id, scanned_at).
+
+    Scans of one server are cut into hours, or by ``cell``; a scan takes seconds, so an
+    hour of one server is small however long its history.
+    """
+    hour = F.date_trunc("hour", F.col("scanned_at")) if cell is None else cell
     return previous_within(
         scans.select("server_id", F.col("id").alias("scan_id"), "scanned_at"), ["server_id"],
-        ["scanned_at", "scan_id"], day, F.col("scan_id"), "prev_scan_id")
+        ["scanned_at", "scan_id"], hour, F.col("scan_id"), "prev_scan_id")
 
 
 def for_pairs(table: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -129,14 +129,16 @@ def edits(a, b):
     return row[-1]
 
 
-def test_typosquat_registry_brute_force(spark):
+@pytest.mark.parametrize("long_name", [supply.LONG_NAME, 3])
+def test_typosquat_registry_brute_force(spark, long_name):
+    """Both ways to meet, deletion forms and pieces, find exactly the nearest names."""
     import random
     rng = random.Random(5)
     registry = sorted({"@s/" * rng.randint(0, 1) + "".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(80)})
     names = sorted({"".join(rng.choices("abcé", k=rng.randint(0, 7))) for _ in range(150)} | set(registry[:5]))
     reg = spark.createDataFrame([(n, i) for i, n in enumerate(registry)], "name string, place int")
     got = {r.name: (r.target, r.distance) for r in supply.typosquat_registry(
-        spark.createDataFrame([(n,) for n in names * 2], "name string"), reg).collect()}
+        spark.createDataFrame([(n,) for n in names * 2], "name string"), reg, long_name).collect()}
     want = {}
     for n in names:
         if n in registry:

@@ -206,13 +206,17 @@ def _property_batch(texts: pd.Series) -> pd.Series:
     return texts.map(property_names)
 
 
-@F.pandas_udf(TOOLS_TYPE)
-def _tools_batch(texts: pd.Series) -> pd.Series:
+def _tool_rows(texts: pd.Series) -> pd.Series:
     keys = ("name", "description", "input_schema")
     return texts.map(
         lambda s: None if (rows := tool_list(s)) is None else [dict(zip(keys, r)) for r in rows])
 
 
+# Declared non-deterministic so that a filter on failed captures stays above it, instead of
+# running the function once more below.
+_tools_batch = F.pandas_udf(_tool_rows, TOOLS_TYPE).asNondeterministic()
+
+
 def nfc(text: Column) -> Column:
     """NFC form.  Text whose code points are all below U+0300 already is NFC."""
     needs = F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)

@@ -23,9 +23,14 @@ def _target(raw, name, kind, command, url, package) -> Column:
     )
 
 
+def trim_space(text: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(text, r"^\p{IsWhite_Space}++|\p{IsWhite_Space}++\z", "")
+
+
 def resolve_target(text: Column) -> Column:
     """Struct of ``TARGET_FIELDS``; NULL when the text names no known kind of target."""
-    raw = F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
+    raw = trim_space(text)
     remote = F.startswith(raw, F.lit("https://")) | F.startswith(raw, F.lit("http://"))
     out = F.when(remote, _target(raw, raw, "remote", F.array().cast("array<string>"), raw, None))
     for prefix, launcher in _LAUNCHERS:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.jsontext import canonical_json, nfc
 from ..functions.regex import matches
+from ..functions.rows import unnest
 from .capability import classify_tools
 from .findings import explode_findings, finding
 from .ranking import previous_within
@@ -75,7 +76,7 @@ def _tool_changes(base: DataFrame, cur: DataFrame, texts: bool) -> DataFrame:
             "tool_schema_changed", b["schema"], c["schema"],
             added=F.array_except(c["classes"], b["classes"]))),
     )
-    return both.select("scan_id", F.explode(F.array_compact(hits)).alias("x")).select("scan_id", "x.*")
+    return unnest(both, ["scan_id"], hits, "x").select("scan_id", "x.*")
 
 
 def _plain(changes: DataFrame) -> DataFrame:

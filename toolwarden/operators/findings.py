@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.rows import unnest
 
 FINDINGS_SCHEMA = (
     "scan_id bigint, analyzer string, analyzer_ord int, seq bigint, rule_id string, "
@@ -64,13 +65,8 @@ def explode_findings(df: DataFrame, *hits: Column) -> DataFrame:
 
 
 def rows_of(df: DataFrame, hits: Column) -> DataFrame:
-    """One row per non-NULL struct of an array of findings.
-
-    The outer form is on purpose: for a plain ``explode`` the optimizer infers a filter
-    on the array and pushes it down, which computes every detector two more times.
-    """
-    return (df.select("scan_id", F.explode_outer(hits).alias("f"))
-            .where(F.col("f").isNotNull()).select("scan_id", "f.*"))
+    """One row per non-NULL struct of an array of findings."""
+    return unnest(df, ["scan_id"], hits, "f").select("scan_id", "f.*")
 
 
 def empty_findings(spark) -> DataFrame:

@@ -119,7 +119,7 @@ def known_cve(joined: DataFrame, advisories: DataFrame) -> DataFrame:
                              F.col("severity").alias("osv_severity"))
     return explode_findings(found.join(rows, ["ecosystem", "name", "version"]), finding(
         "supplychain.known_cve", F.lit(_CVE_SEQ), severity=level, title=(F.col("id"),),
-        detail=F.trim(F.coalesce(F.col("summary"), F.lit(""))), remediation=(F.col("id"),),
+        detail=T.trim_space(F.coalesce(F.col("summary"), F.lit(""))), remediation=(F.col("id"),),
         meta=F.to_json(F.struct("id", "osv_severity"))))
 
 
@@ -149,15 +149,57 @@ def _variants(text: Column, deletions: int) -> Column:
     return F.array_distinct(reached)
 
 
-def typosquat_registry(names: DataFrame, registry: DataFrame) -> DataFrame:
+def _deletion_keys(text: Column, k: int) -> Column:
+    """Texts within k edits share a form made by at most k deletions."""
+    return F.transform(_variants(text, k), lambda form: F.xxhash64(form))
+
+
+def _segment(size: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of k + 1 even pieces of a text of this size."""
+    start = F.floor(i * size / (k + 1)).cast("int")
+    return start, F.floor((i + 1) * size / (k + 1)).cast("int") - start
+
+
+def _segment_keys(text: Column, k: int) -> Column:
+    """The k + 1 pieces of a text: k edits leave one of them whole."""
+    size = F.length(text)
+
+    def key(i: Column) -> Column:
+        start, width = _segment(size, i, k)
+        return F.xxhash64(size, i, F.substring(text, start + 1, width))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), key)
+
+
+def _segment_probes(text: Column, k: int) -> Column:
+    """Keys of every piece a text within k edits can have left whole in this one."""
+    size = F.length(text)
+    near = F.sequence(F.greatest(size - k, F.lit(0)), size + k)
+
+    def keys(other: Column) -> Column:
+        def pieces(i: Column) -> Column:
+            start, width = _segment(other, i, k)
+            return F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda shift: F.xxhash64(
+                other, i, F.substring(text, start + shift + 1, width)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), pieces))
+
+    return F.array_distinct(F.flatten(F.transform(near, keys)))
+
+
+#: Names longer than this meet on pieces; the number of deletion forms grows with the square.
+LONG_NAME = 32
+
+
+def typosquat_registry(names: DataFrame, registry: DataFrame, long_name: int = LONG_NAME) -> DataFrame:
     """Nearest registry package for each distinct name: (name, target, same_name, distance).
 
     ``registry`` has columns name and place (list order).  Names are made distinct and
     exact members leave first.  Then three equi-joins of growing cost, each only for
-    names the one before left open: same unscoped name, one edit, two edits.  Texts
-    within k edits share a form with at most k deletions (a deletion neighbourhood),
-    so candidates meet on that form's hash and ``levenshtein`` verifies them.  Only the
-    nearest target per name is kept, by partial minima.
+    names the one before left open: same unscoped name, one edit, two edits.  Candidates
+    meet on hashed deletion forms, or on pieces when the registry name is long, and
+    ``levenshtein`` verifies them.  As names are distinct, the candidates of a name are
+    bounded by its own neighbourhood, not by how often names occur.  Only the nearest
+    target per name is kept, by partial minima.
     """
     listed = (registry.groupBy("name").agg(F.min("place").alias("place"))
               .withColumn("short", _as_bytes(T.unscoped(F.col("name")))))
@@ -171,17 +213,19 @@ def typosquat_registry(names: DataFrame, registry: DataFrame) -> DataFrame:
                                                   F.lit(0).alias("distance"))
     left = open_names.join(heads, "short", "left_anti")
     found = [same]
+    short, size = F.col("short"), F.length("short")
+    none = F.array().cast("array<bigint>")
     for k in range(1, C.MAX_SQUAT_DISTANCE + 1):
-        probes = left.select("name", "short", F.explode(
-            F.transform(_variants(F.col("short"), k), lambda v: F.xxhash64(v))).alias("key"))
-        keys = heads.select(F.col("short").alias("other"), "head", F.explode(
-            F.transform(_variants(F.col("short"), k), lambda v: F.xxhash64(v))).alias("key"))
-        distance = F.levenshtein("short", "other", k)
+        # A name near the limit may meet registry names on both sides of it.
+        sought = F.concat(F.when(size <= long_name + k, _deletion_keys(short, k)).otherwise(none),
+                          F.when(size > long_name - k, _segment_probes(short, k)).otherwise(none))
+        offered = F.when(size > long_name, _segment_keys(short, k)).otherwise(_deletion_keys(short, k))
+        probes = left.select("name", "short", F.explode_outer(sought).alias("key"))
+        keys = heads.select(short.alias("other"), "head", F.explode_outer(offered).alias("key"))
         near = (probes.join(keys, "key")
-                .withColumn("distance", distance).where(F.col("distance") == k)
+                .where(F.levenshtein("short", "other", k) == k)
                 .groupBy("name").agg(F.min(F.col("head")).alias("head")))
-        hits = near.select("name", F.col("head.name").alias("target"), F.lit(k).alias("distance"))
-        found.append(hits)
+        found.append(near.select("name", F.col("head.name").alias("target"), F.lit(k).alias("distance")))
         left = left.join(near.select("name"), "name", "left_anti")
     return (reduce(DataFrame.unionByName, found)
             .select("name", "target", (F.col("distance") == 0).alias("same_name"), "distance"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions.jsontext import tools_of
+from ..functions.rows import unnest
 
 BASELINE_SCHEMA = (
     "target string, server_name string, manifest_hash string, manifest string, "
@@ -37,11 +38,11 @@ def baseline_tables(baselines: DataFrame, scans: DataFrame) -> dict[str, DataFra
     """Baseline side of a diff, keyed by the scans (scan_id, target) it is compared with."""
     rows = scans.join(baselines.select("target", "manifest"), "target").withColumn(
         "m", F.from_json("manifest", _MANIFEST))
-    tools = rows.select("scan_id", F.posexplode(tools_of(F.col("manifest"))).alias("pos", "t"))
+    tools = unnest(rows.withColumn("t", tools_of(F.col("manifest"))), ["scan_id"], "t", "tool", "pos")
     return {
-        "tools": tools.select("scan_id", "pos", "t.*"),
+        "tools": tools.select("scan_id", "pos", "tool.*"),
         "servers": rows.select("scan_id", F.col("m.server.name").alias("server_name"),
                                F.col("m.server.version").alias("server_version")),
-        "resources": rows.select("scan_id", F.explode("m.resources").alias("r")).select("scan_id", "r.uri"),
-        "prompts": rows.select("scan_id", F.explode("m.prompts").alias("p")).select("scan_id", "p.name"),
+        "resources": unnest(rows, ["scan_id"], "m.resources", "r").select("scan_id", "r.uri"),
+        "prompts": unnest(rows, ["scan_id"], "m.prompts", "p").select("scan_id", "p.name"),
     }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.jsontext import canonical_json, tools_of
+from ..functions.rows import unnest
 
 CAPTURE_SCHEMA = (
     "scan_id bigint, source string, identifier string, scanned_at timestamp, "
@@ -76,18 +77,16 @@ def failed(manifests: DataFrame) -> DataFrame:
 
 
 def tools_table(manifests: DataFrame) -> DataFrame:
-    """One row per tool: (scan_id, pos, name, description, input_schema)."""
-    return captured(manifests).select("scan_id", F.posexplode("tools").alias("pos", "t")).select("scan_id", "pos", "t.*")
+    """One row per tool: (scan_id, pos, name, description, input_schema); failed captures have none."""
+    return unnest(manifests, ["scan_id"], "tools", "t", "pos").select("scan_id", "pos", "t.*")
 
 
 def resources_table(manifests: DataFrame) -> DataFrame:
-    return captured(manifests).select("scan_id", F.posexplode("resources").alias("pos", "r")).select(
-        "scan_id", "pos", "r.*")
+    return unnest(captured(manifests), ["scan_id"], "resources", "r", "pos").select("scan_id", "pos", "r.*")
 
 
 def prompts_table(manifests: DataFrame) -> DataFrame:
-    return captured(manifests).select("scan_id", F.posexplode("prompts").alias("pos", "p")).select(
-        "scan_id", "pos", "p.*")
+    return unnest(captured(manifests), ["scan_id"], "prompts", "p", "pos").select("scan_id", "pos", "p.*")
 
 
 def servers_table(manifests: DataFrame) -> DataFrame:

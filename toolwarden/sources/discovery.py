@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import targets as T
+from ..functions.rows import unnest
 
 DISCOVERED = "name string, description string, repo_url string, registry string, targets array<string>"
 _SEED = f"array<struct<{DISCOVERED.replace(' string', ':string').replace(' array', ':array')}>>"
@@ -45,7 +46,7 @@ def parse_seed(documents: DataFrame, text: str = "text") -> DataFrame:
     rows = F.when(F.size(F.coalesce(bare, F.array().cast(_SEED))) > 0, bare).otherwise(wrapped)
     server = F.col("s")
     others = [c for c in documents.columns if c != text]
-    return documents.select(*others, F.explode(rows).alias("s")).select(
+    return unnest(documents, others, rows, "s").select(
         *others, _text(server["name"]).alias("name"), _text(server["description"]).alias("description"),
         _text(server["repo_url"]).alias("repo_url"),
         F.coalesce(F.nullif(server["registry"], F.lit("")), F.lit("file")).alias("registry"),
@@ -72,7 +73,7 @@ def parse_registry_pages(documents: DataFrame, text: str = "text") -> DataFrame:
     urls = F.transform(F.coalesce(server["remotes"], F.array()), lambda r: F.nullif(r["url"], F.lit("")))
     targets = F.array_compact(F.concat(F.transform(packages, as_target), urls))
     others = [c for c in documents.columns if c != text]
-    pages = documents.select(*others, F.explode(F.from_json(F.col(text), _PAGE)["servers"]).alias("s"))
+    pages = unnest(documents, others, F.from_json(F.col(text), _PAGE)["servers"], "s")
     return pages.select(*others, _text(server["name"]).alias("name"),
                         _text(server["description"]).alias("description"),
                         _text(server["repository"]["url"]).alias("repo_url"),

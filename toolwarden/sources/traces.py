@@ -34,7 +34,7 @@ def trace_behavior(lines: DataFrame, runs: DataFrame | None = None) -> DataFrame
     decoys = F.transform(F.coalesce(reads, F.array().cast("array<string>")),
                          lambda p: F.struct(p.alias("what"), F.lit("decoy").alias("kind")))
     facts = (lines.where(line.contains("connect(") | opened)
-             .select("scan_id", F.explode(F.concat(decoys, calls)).alias("x"))
+             .select("scan_id", F.explode_outer(F.concat(decoys, calls)).alias("x"))
              .where(F.col("x.kind").isNotNull()))
 
     def members(kind: str):

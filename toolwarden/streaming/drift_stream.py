@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+from ..functions.rows import unnest
 from ..operators.drift import events_of, for_pairs, manifest_diff
 
 HEADER = "server_id bigint, scan_id bigint, scanned_at timestamp, batch bigint"
@@ -98,7 +99,7 @@ def drift_stream(captures: DataFrame, path: str, checkpoint: str, **trigger):
     def run(frame: DataFrame, batch: int) -> None:
         frame = frame.persist()
         try:
-            tools = frame.select("scan_id", F.posexplode("tools").alias("pos", "t")).select("scan_id", "pos", "t.*")
+            tools = unnest(frame, ["scan_id"], "tools", "t", "pos").select("scan_id", "pos", "t.*")
             process_batch(frame.drop("tools"), tools, batch, path)
         finally:
             frame.unpersist()

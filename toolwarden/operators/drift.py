@@ -120,11 +120,13 @@ def tool_diff(base_tools: DataFrame, cur_tools: DataFrame, texts: bool = True,
 def manifest_diff(base: dict[str, DataFrame], cur: dict[str, DataFrame], texts: bool = True) -> DataFrame:
     """All changes between two captures per ``scan_id``.
 
-    ``base`` and ``cur`` are dicts of tables: ``tools`` and, if there are any,
-    ``servers``, ``resources``, ``prompts``.  Pairs must exist on both sides: leave out
-    captures without a baseline.
+    ``base`` and ``cur`` are dicts of tables: ``tools`` (or ``tool_index``, made from them)
+    and, if there are any, ``servers``, ``resources``, ``prompts``.  Pairs must exist on
+    both sides: leave out captures without a baseline.
     """
-    changes = tool_diff(base["tools"], cur["tools"], texts)
+    old, new = (side["tool_index"] if "tool_index" in side else tool_index(side["tools"], texts)
+                for side in (base, cur))
+    changes = _tool_changes(old, new, texts)
     if "servers" in base:
         changes = changes.unionByName(_plain(version_changed(base["servers"], cur["servers"])))
     if "resources" in base:
@@ -208,11 +210,22 @@ def drift_events(scans: DataFrame, tables: dict[str, DataFrame], texts: bool = T
     ``manifest_diff`` takes.  The event id is a hash of its natural key.
     """
     pairs = scan_pairs(scans)
+    return events_of(pair_changes(pairs, tables, texts), pairs)
+
+
+def pair_changes(pairs: DataFrame, tables: dict[str, DataFrame], texts: bool = True) -> DataFrame:
+    """Changes of all pairs between captures of the same tables.
+
+    Most captures are the newer side of one pair and the older side of the next.  Tools
+    are reduced to their facts before they take either role, so Spark shuffles that
+    result once and reads it twice, and no text is analyzed twice.
+    """
+    tables = dict(tables)
+    tables["tool_index"] = tool_index(tables.pop("tools"), texts)
     base, cur = {}, {}
     for name, table in tables.items():
         base[name], cur[name] = for_pairs(table, pairs)
-    changes = manifest_diff(base, cur, texts)
-    return events_of(changes, pairs)
+    return manifest_diff(base, cur, texts)
 
 
 def events_of(changes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions.rows import unnest
-from ..operators.drift import events_of, for_pairs, manifest_diff
+from ..operators.drift import events_of, pair_changes
 
 HEADER = "server_id bigint, scan_id bigint, scanned_at timestamp, batch bigint"
 #: Captures of one server and batch that are put into one cell of arrival order.
@@ -78,8 +78,7 @@ def process_batch(captures: DataFrame, tools: DataFrame, batch: int, path: str)
     needed = (wanted.select(F.col("prev_scan_id").alias("scan_id"), F.col("prev_batch").alias("batch"))
               .unionByName(wanted.select("scan_id", "batch")).distinct())
     table = stored.join(needed, ["scan_id", "batch"], "left_semi").drop("batch")
-    base, cur = for_pairs(table, pairs)
-    events = events_of(manifest_diff({"tools": base}, {"tools": cur}), pairs)
+    events = events_of(pair_changes(pairs, {"tools": table}), pairs)
     events.write.mode("overwrite").parquet(f"{path}/events/batch={batch}")
 
     latest = (known.unionByName(rows.select("server_id", "scan_id", "scanned_at", "batch"))

@@ -147,6 +147,7 @@ def _matches(value: np.ndarray, index: dict, similarity_: float) -> list[tuple[i
 def _candidates(found: arrays.Words, rows: int, index: dict, similarity_: float) -> np.ndarray:
     """Rows with at least as many known shingles as the shortest item needs, for a whole piece at once."""
     some = np.zeros(rows, bool)
+    lengths = index["lengths"]
     for size, known in index["known"].items():
         at, own = arrays.grams(found.hash, found.row, size)
         if not len(at):
@@ -154,12 +155,22 @@ def _candidates(found: arrays.Words, rows: int, index: dict, similarity_: float)
         low = np.searchsorted(known, own)
         low[low == len(known)] = 0
         count = np.bincount(found.row[at[known[low] == own]], minlength=rows)
-        lengths = index["lengths"]
         shortest = lengths[np.minimum(lengths, arrays.SHINGLE) == size].min() - size + 1
         some |= count >= max(1, np.ceil(similarity_ * shortest - 1e-9))
     return np.flatnonzero(some)
 
 
+def _row_matches(texts: pa.Array, index: dict, similarity_: float) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+    """The rows of a column that match an item, with their matches."""
+    offsets, data = arrays.utf8(texts)
+    for low, high in arrays.pieces(offsets):
+        found = arrays.words(offsets[low:high + 1] - offsets[low], data[offsets[low]:offsets[high]])
+        bounds = np.searchsorted(found.row, np.arange(high - low + 1))
+        for k in _candidates(found, high - low, index, similarity_).tolist():
+            if own := _matches(found.hash[bounds[k]:bounds[k + 1]], index, similarity_):
+                yield low + k, own
+
+
 MATCHES = "doc_id bigint, item_id bigint, start bigint, words bigint, similarity double"
 
 
@@ -172,16 +183,9 @@ def matches(docs: DataFrame, items: list[tuple[int, str | None]], radius: int =
         index = sent.value
         sizes = dict(zip(index["ids"], index["lengths"].tolist()))
         for batch in batches:
-            out = []
             ids = batch.column(0)
-            offsets, data = arrays.utf8(batch.column(1))
-            for low, high in arrays.pieces(offsets):
-                found = arrays.words(offsets[low:high + 1] - offsets[low], data[offsets[low]:offsets[high]])
-                bounds = np.searchsorted(found.row, np.arange(high - low + 1))
-                for k in _candidates(found, high - low, index, similarity_).tolist():
-                    doc = ids[low + k].as_py()
-                    out += [(doc, i, first, sizes[i], s) for i, first, s in
-                            _matches(found.hash[bounds[k]:bounds[k + 1]], index, similarity_)]
+            out = [(ids[row].as_py(), i, first, sizes[i], s)
+                   for row, found in _row_matches(batch.column(1), index, similarity_) for i, first, s in found]
             columns = list(zip(*out)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])],
                                   names=["doc_id", "item_id", "start", "words", "similarity"])
@@ -198,19 +202,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarit
     Items and documents that are null, empty or without words match nothing; repeated documents
     and repeated items match each for themselves, null ids included.
     """
-    out, block = None, []
-    rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).toLocalIterator()
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == item_rows:
-            part = matches(docs, block, radius, similarity_)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
+    out = None
+    for block in _item_blocks(benchmark, item_rows):
         part = matches(docs, block, radius, similarity_)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _item_blocks(benchmark: DataFrame, item_rows: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in lists of at most ``item_rows``; one empty list if there is none."""
+    block, some = [], False
+    for row in benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).toLocalIterator():
+        block.append((row[0], row[1]))
+        if len(block) == item_rows:
+            yield block
+            block, some = [], True
+    if block or not some:
+        yield block
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity_: float = SIMILARITY,
                   item_rows: int = ITEM_ROWS) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, item_id and similarity of the best match.
@@ -231,6 +241,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, s
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
                    similarity_: float = SIMILARITY, item_rows: int = ITEM_ROWS) -> DataFrame:
-    """The documents, in all their columns, that match no benchmark item; rows of a null id are judged together."""
-    bad = leaks(docs, benchmark, radius, similarity_, item_rows).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_doc"]), "left_anti")
+    """The documents, in all their columns and without a shuffle, whose text matches no benchmark item."""
+    for block in _item_blocks(benchmark, item_rows):
+        sent = docs.sparkSession.sparkContext.broadcast(item_index(block, radius))
+
+        @F.arrow_udf("boolean")
+        def leaked(text: pa.Array, sent=sent) -> pa.Array:
+            out = np.zeros(len(text), bool)
+            for row, _ in _row_matches(text, sent.value, similarity_):
+                out[row] = True
+            return pa.array(out)
+
+        docs = docs.where(~leaked(F.col("text").cast("string")))
+    return docs

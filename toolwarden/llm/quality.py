@@ -195,20 +195,12 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 7) -> dict
     return net
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 0, folds: int = 5,
-                   sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
-
-    ``score`` is the calibrated probability that ``labels.quality`` is 1, from the text alone;
-    ``predicted`` is 1 from ``threshold`` upwards.  Documents whose id falls into the held-out
-    fold teach neither vectors nor network.  Null and empty texts have a score too, that of a
-    text without words; labels that are null are skipped; without any label every score is 0.5.
-    Rows are neither joined nor merged: repeated rows and null ids (never held out) keep theirs.
-    """
-    spark = docs.sparkSession
+def learn(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5,
+          sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, dict]:
+    """Vectors and network, from documents (doc_id, text) and labels outside the held-out fold."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vectors = learn_vectors(docs.where(~in_fold(F.col("doc_id"), fold, folds)))
-    sent = spark.sparkContext.broadcast(vectors)
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
     sample = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
               .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~in_fold(F.col("doc_id"), fold, folds))
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -225,16 +217,38 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
             .mapInArrow(features, "doc_id bigint, x binary, quality double")
             .dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample_rows).collect())
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), 2 * WIDTH + 1)
-    net = train(x, np.array([r.quality for r in rows]))
-    net_sent = spark.sparkContext.broadcast(net)
+    return vectors, train(x, np.array([r.quality for r in rows]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = logits(pooled(batch.column(2), sent.value), net_sent.value)
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p),
-                                   pa.array((p >= threshold).astype(np.int32))],
-                                  names=["doc_id", "held_out", "score", "predicted"])
-
-    return (docs.select("doc_id", in_fold(F.col("doc_id"), fold, folds).alias("held_out"), "text")
-            .mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int"))
+
+def with_score(docs: DataFrame, model: tuple[np.ndarray, dict], into: str = "score") -> DataFrame:
+    """All columns and ``into``, the probability that the text is of quality 1; a column of that name is replaced."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        vectors, net = sent.value
+        return pa.array(1 / (1 + np.exp(-np.clip(logits(pooled(text, vectors), net), -500, 500))))
+
+    return docs.withColumn(into, score(F.col("text").cast("string")))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 0, folds: int = 5,
+                   sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted.
+
+    ``score`` is the calibrated probability that ``labels.quality`` is 1, from the text alone;
+    ``predicted`` is 1 from ``threshold`` upwards.  Documents whose id falls into the held-out
+    fold teach neither vectors nor network.  Null and empty texts have a score too, that of a
+    text without words; labels that are null are skipped; without any label every score is 0.5.
+    Rows are neither joined nor merged: repeated rows and null ids (never held out) keep theirs.
+    """
+    scored = with_score(docs.select("doc_id", "text"), learn(docs, labels, fold, folds, sample_rows))
+    return scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), in_fold(F.col("doc_id"), fold, folds).alias("held_out"),
+                         "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 0, folds: int = 5,
+             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents, in all their columns, that score ``threshold`` or more."""
+    scored = with_score(docs, learn(docs, labels, fold, folds, sample_rows), "_quality_score")
+    return scored.where(F.col("_quality_score") >= threshold).select(*docs.columns)

@@ -307,13 +307,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = kept(named.join(heads, ["shingle", "block"], "left")
                  .withColumn("apart", F.col("_lead").isNull() | (F.col("part") != F.col("_lead"))).drop("_lead"), "open-lists")
     small = named.where(ahead).select("shingle", F.col("class").alias("a"), F.col("size").alias("_n"), F.col("place").alias("_i"),
-                                      F.col("part").alias("_p"), F.col("apart").alias("_f"),
-                                      F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"))
+                                      F.col("part").alias("_p"), F.col("apart").alias("_f"), "block")
+    above = small.withColumn("block", F.col("block") + 1)
     large = named.select("shingle", "block", F.col("class").alias("b"), F.col("size").alias("_m"), F.col("place").alias("_j"),
                          F.col("part").alias("_q"), F.col("apart").alias("_g"))
     fits = (F.col("_n") <= F.col("_m")) & (F.col("_p") != F.col("_q")) & _fits("_n", "_i", "_m", "_j")
-    rest = (small.where("_f").join(large, ["shingle", "block"]).where(fits).select("a", "b")
-            .unionByName(small.where("NOT _f").join(large.where("_g"), ["shingle", "block"]).where(fits).select("a", "b")))
+    meet = lambda x, y: x.join(y, ["shingle", "block"]).where(fits).select("a", "b")
+    # The block above has a leader of its own: what follows that one is open if the two leaders are apart.
+    crossing = above.where("NOT _f").join(heads, ["shingle", "block"]).where("_p <> _lead").drop("_lead")
+    rest = (meet(small.where("_f").unionByName(above.where("_f")), large)
+            .unionByName(meet(small.where("NOT _f").unionByName(above.where("NOT _f")), large.where("_g")))
+            .unionByName(meet(crossing, large.where("NOT _g"))))
     rest = kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                 .join(pairs, ["a", "b"], "left_anti"), "open-pairs")
     missing = kept(rest.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -334,3 +338,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                                                  F.lit(1).cast("bigint").alias("copies"))
     return (rows.where("n_shingles > 0").join(known, "class")
             .select("doc_id", "n_shingles", F.col("_component").alias("component_id"), "copies").unionByName(lonely))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents, in all their columns, that stand for their component: those of its smallest doc_id.
+
+    Documents without words link with nothing and all stay.  Rows repeated under one doc_id are
+    one document and stay or go together; rows of a null doc_id stay.  Only rows whose id a
+    bitmap of fixed size can't rule out are joined with the ids to drop.
+    """
+    found = jaccard_components(docs)
+    drops = kept(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct(),
+                 "near-duplicates")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(drops.select(F.col("_drop").alias("id"))))
+
+    @F.arrow_udf("boolean")
+    def listed(place: pa.Array) -> pa.Array:
+        at = place.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    id_ = F.col("doc_id").cast("bigint")
+    maybe = F.when(id_.isNull(), F.lit(False)).otherwise(listed(F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS)).cast("bigint")))
+    marked = docs.withColumn("_listed", maybe)
+    hits = marked.where("_listed").drop("_listed")
+    return (marked.where("NOT _listed").drop("_listed")
+            .unionByName(hits.join(drops, hits["doc_id"].cast("bigint") == drops["_drop"], "left_anti")))

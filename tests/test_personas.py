@@ -110,3 +110,23 @@ def test_failed_captures(spark, tmp_path):
     assert sorted({r.scan_id for r in captures.tools_table(m).collect()}) == [1, 6]
     assert captures.resources_table(m).first()["uri"] == "u"
     assert captures.prompts_table(m).count() == 1
+
+
+def test_long_messages_and_servers_without_tools(spark):
+    from pyspark.sql import functions as F
+
+    from toolwarden.plans.scan import ScanInputs, scan_scorecards
+    from toolwarden.sources import captures
+
+    big = '{"resources":[' + ",".join('{"uri":"u%d","name":"%s"}' % (k, "n" * 1000) for k in range(20_000)) + "]}"
+    rows = spark.createDataFrame([(1, '{"tools":[]}', big)], "scan_id bigint, tools_list string, resources_list string")
+    for name in ("source", "identifier", "initialize", "prompts_list"):
+        rows = rows.withColumn(name, F.lit("{}"))
+    manifest = captures.ingest_manifests(rows.withColumn("scanned_at", F.current_timestamp()))
+    got = manifest.select("error", F.size("resources").alias("n")).first()
+    assert (got.error, got.n) == (None, 20_000)
+    tools = captures.tools_table(manifest)
+    endpoints = spark.createDataFrame([(7, "http", 0, True, False)], "scan_id bigint, scheme string, tls_version int, "
+                                      "unauthenticated_listing boolean, requires_auth boolean")
+    cards = {r.scan_id: r.score for r in scan_scorecards(ScanInputs(tools, endpoints=endpoints)).collect()}
+    assert set(cards) == {7} and cards[7] < 100

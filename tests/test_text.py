@@ -153,3 +153,14 @@ def test_required_literals():
     assert required_literals("a|b") == [] and required_literals("x*") == []
     assert required_literals("[[:alpha:]]+x") == []
     assert required_literals("(foo|barz)qu") == ["foo", "barz"]
+
+
+def test_deep_json():
+    from toolwarden.functions import jsontext
+
+    deep = "[" * 5_000 + "]" * 5_000
+    assert jsontext.canonical_text(" " + deep) in (deep, " " + deep)
+    assert jsontext.nesting(deep) == 5_000
+    assert jsontext.nesting('{"a":"[[[","b":[{}]}') == 3
+    assert jsontext.nesting("[" * 10) == 0 and jsontext.nesting(None) == 0 and jsontext.nesting('"x"') == 0
+    assert jsontext.canonical_text('{"b":[1,{"d":null,"c":true}],"a":"x"}') == '{"a":"x","b":[1,{"c":true,"d":null}]}'

@@ -70,29 +70,34 @@ def _string_text(s: str) -> str:
 
 
 def _write(value, out: list) -> None:
-    if isinstance(value, str):
-        out.append(_string_text(value))
-    elif value is None:
-        out.append("null")
-    elif isinstance(value, bool):
-        out.append("true" if value else "false")
-    elif isinstance(value, float):
-        out.append(_number_text(value))
-    elif isinstance(value, list):
-        out.append("[")
-        for i, item in enumerate(value):
-            out.append("," if i else "")
-            _write(item, out)
-        out.append("]")
-    else:
-        out.append("{")
-        normal = {_SURROGATE.sub("\ufffd", unicodedata.normalize("NFC", k)): v for k, v in value.items()}
-        for i, key in enumerate(sorted(normal)):
-            out.append("," if i else "")
-            out.append(_string_text(key))
-            out.append(":")
-            _write(normal[key], out)
-        out.append("}")
+    """Append the canonical text of a value; an explicit stack, so depth costs no recursion."""
+    todo = [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # text that is ready
+            out.append(node[0])
+        elif isinstance(node, str):
+            out.append(_string_text(node))
+        elif node is None:
+            out.append("null")
+        elif isinstance(node, bool):
+            out.append("true" if node else "false")
+        elif isinstance(node, float):
+            out.append(_number_text(node))
+        elif isinstance(node, list):
+            todo.append(("]",))
+            for i in range(len(node) - 1, -1, -1):
+                todo.append(node[i])
+                if i:
+                    todo.append((",",))
+            todo.append(("[",))
+        else:
+            normal = {_SURROGATE.sub("\ufffd", unicodedata.normalize("NFC", k)): v for k, v in node.items()}
+            todo.append(("}",))
+            keys = sorted(normal)
+            for i in range(len(keys) - 1, -1, -1):
+                todo += [normal[keys[i]], (f"{',' if i else ''}{_string_text(keys[i])}:",)]
+            todo.append(("{",))
 
 
 def canonical_text(text: str | None) -> str | None:
@@ -108,6 +113,29 @@ def canonical_text(text: str | None) -> str | None:
     return "".join(out)
 
 
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[{]|[\]}]', re.S)
+
+
+def nesting(text: str | None) -> int:
+    """Deepest nesting of a JSON text; 0 for a blank or invalid one.  Text too deep to decode is still measured."""
+    if text is None or not text.strip(" \t\n\r"):
+        return 0
+    try:
+        _shallow().decode(text)
+    except RecursionError:
+        pass
+    except ValueError:
+        return 0
+    now = deepest = 0
+    for token in _TOKENS.findall(text):
+        if token in "[{":
+            now += 1
+            deepest = max(deepest, now)
+        elif token in "]}":
+            now -= 1
+    return deepest
+
+
 def property_names(text: str | None) -> str:
     """Lowercased names of all properties at any depth, joined by spaces."""
     if not text:
@@ -201,6 +229,11 @@ def _canonical_batch(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text)
 
 
+@F.pandas_udf(T.IntegerType())
+def _depth_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(nesting)
+
+
 @F.pandas_udf(T.StringType())
 def _property_batch(texts: pd.Series) -> pd.Series:
     return texts.map(property_names)
@@ -272,13 +305,4 @@ def json_quote(text: Column) -> Column:
 
 def json_depth(text: Column) -> Column:
     """Deepest nesting of objects and arrays; 0 for absent or invalid JSON."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"', "")
-    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
-
-    def step(acc: Column, char: Column) -> Column:
-        now = acc["now"] + F.when(char.isin("{", "["), 1).when(char.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["deepest"], now).alias("deepest"))
-
-    depth = F.aggregate(brackets, start, step, lambda acc: acc["deepest"])
-    return F.when(F.try_parse_json(text).isNotNull(), depth).otherwise(F.lit(0))
+    return F.coalesce(_depth_batch(text), F.lit(0))

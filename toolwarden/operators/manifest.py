@@ -1,7 +1,6 @@
 """Canonical manifests, their hashes, and baselines.
 
-A capture is one row, bounded by the message cap at ingestion, and so is its
-canonical form: everything here up to the hash is row-local and never shuffles.
+A capture is one row, and so is its canonical form: everything here up to the hash is row-local and never shuffles.
 """
 
 from __future__ import annotations

@@ -59,9 +59,8 @@ def grade_notes(findings: DataFrame, scorecards: DataFrame) -> DataFrame:
 def report_json(scorecards: DataFrame, findings: DataFrame, headers: DataFrame) -> DataFrame:
     """One report document per scan: header, score and all findings in listing order.
 
-    Findings of one scan are gathered into its document.  That group is bounded: a
-    scan's tools come out of one capture message, which ingestion refuses above the
-    message cap.
+    Findings of one scan are gathered into its document, which therefore grows with the
+    number of tools that one server lists; nothing is gathered across scans.
     """
     listed = F.array_sort(F.collect_list(F.struct(
         listing_order().alias("o"),

@@ -108,7 +108,7 @@ def _scan_sql() -> str:
     return f"""WITH tools AS ({K.TOOLS}), hits AS ({' UNION ALL '.join(parts)}),
   points AS (SELECT scan_id, sum(penalty) AS points, bool_or(severity = 'critical') AS critical FROM
     (SELECT DISTINCT * FROM hits) JOIN (VALUES {K.SEVERITY_ROWS}) s(name, rank, penalty) ON s.name = severity GROUP BY 1),
-  scans AS (SELECT DISTINCT scan_id FROM tools),
+  scans AS (SELECT scan_id FROM tools UNION SELECT page_id FROM pages),
   raw AS (SELECT s.scan_id, greatest(100 - coalesce(points, 0), 0) AS raw, coalesce(critical, false) AS critical
     FROM scans s LEFT JOIN points p ON p.scan_id = s.scan_id),
   scored AS (SELECT scan_id, CAST(CASE WHEN critical AND raw > 39 THEN 39 ELSE raw END AS BIGINT) AS score,

@@ -76,6 +76,21 @@ def scan_findings(inputs: ScanInputs, facts: DataFrame | None = None) -> DataFra
 
 
 def scan_scorecards(inputs: ScanInputs, facts: DataFrame | None = None) -> DataFrame:
-    """Score and grade of every scan."""
-    scans = inputs.scans if inputs.scans is not None else inputs.tools.select("scan_id").distinct()
-    return scoring.scorecards(scan_findings(inputs, facts), scans)
+    """Score and grade of every scan.
+
+    Without ``scans``, those are all scans that any input mentions: a server that lists no
+    tools is scored too.
+    """
+    return scoring.scorecards(scan_findings(inputs, facts), scan_ids(inputs, facts))
+
+
+def scan_ids(inputs: ScanInputs, facts: DataFrame | None = None) -> DataFrame:
+    """The scans of a run, each once; read from the narrow tables where there are any."""
+    if inputs.scans is not None:
+        return inputs.scans
+    ids = (inputs.tools if facts is None else facts).select("scan_id")
+    more = [inputs.traces, inputs.specs, inputs.endpoints, *(inputs.current or {}).values()]
+    for table in more:
+        if table is not None and "scan_id" in table.columns:
+            ids = ids.unionByName(table.select("scan_id"))
+    return ids.distinct()

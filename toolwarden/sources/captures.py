@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..functions.jsontext import canonical_json, tools_of
 from ..functions.rows import unnest
 
@@ -43,26 +42,22 @@ def _prompts(text: Column) -> Column:
 def ingest_manifests(captures: DataFrame) -> DataFrame:
     """One row per capture with its lists as arrays, in captured and canonical form.
 
-    A missing, malformed or over-long tool list is a failed capture: its row carries
-    ``error`` and no tools.  Missing resources and prompts are just empty.  Columns
-    nobody asks for are pruned together with the work behind them.
+    Messages are read whole, whatever their length.  A missing or malformed tool list is a
+    failed capture: its row carries ``error`` and no tools.  Missing resources and prompts
+    are just empty.  Columns nobody asks for are pruned together with the work behind them.
     """
     init = F.from_json("initialize", _INIT)
-    fits = F.octet_length("tools_list") <= C.MESSAGE_CAP_BYTES
-    tools_text = F.when(fits, F.col("tools_list"))
-    small = lambda c: F.when(F.octet_length(c) <= C.MESSAGE_CAP_BYTES, F.col(c))
     rows = captures.select(
         "scan_id", "source", "identifier", "scanned_at",
         _text(init["serverInfo"]["name"]).alias("server_name"),
         _text(init["serverInfo"]["version"]).alias("server_version"),
         _text(init["protocolVersion"]).alias("protocol_version"),
-        tools_of(tools_text).alias("tools"), tools_of(canonical_json(tools_text)).alias("canonical_tools"),
-        _resources(small("resources_list")).alias("resources"),
-        _resources(canonical_json(small("resources_list"))).alias("canonical_resources"),
-        _prompts(small("prompts_list")).alias("prompts"),
-        _prompts(canonical_json(small("prompts_list"))).alias("canonical_prompts"),
-        F.when(F.col("tools_list").isNull(), F.lit("no tools result"))
-        .when(~fits, F.lit("message too large")).alias("early"))
+        tools_of(F.col("tools_list")).alias("tools"), tools_of(canonical_json(F.col("tools_list"))).alias("canonical_tools"),
+        _resources(F.col("resources_list")).alias("resources"),
+        _resources(canonical_json(F.col("resources_list"))).alias("canonical_resources"),
+        _prompts(F.col("prompts_list")).alias("prompts"),
+        _prompts(canonical_json(F.col("prompts_list"))).alias("canonical_prompts"),
+        F.when(F.col("tools_list").isNull(), F.lit("no tools result")).alias("early"))
     return rows.withColumn("error", F.coalesce("early", F.when(
         F.col("tools").isNull(), F.lit("tools result is not a tool list")))).drop("early")
 

@@ -126,16 +126,15 @@ def edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("long_name", [supply.LONG_NAME, 3])
-def test_typosquat_registry_brute_force(spark, long_name):
-    """Both ways to meet, deletion forms and pieces, find exactly the nearest names."""
+def test_typosquat_registry_brute_force(spark):
+    """Deletion forms find exactly the nearest names."""
     import random
     rng = random.Random(5)
     registry = sorted({"@s/" * rng.randint(0, 1) + "".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(80)})
     names = sorted({"".join(rng.choices("abcé", k=rng.randint(0, 7))) for _ in range(150)} | set(registry[:5]))
     reg = spark.createDataFrame([(n, i) for i, n in enumerate(registry)], "name string, place int")
     got = {r.name: (r.target, r.distance) for r in supply.typosquat_registry(
-        spark.createDataFrame([(n,) for n in names * 2], "name string"), reg, long_name).collect()}
+        spark.createDataFrame([(n,) for n in names * 2], "name string"), reg).collect()}
     want = {}
     for n in names:
         if n in registry:
@@ -179,3 +178,38 @@ def test_clean_scan_and_gate(spark):
     assert scoring.fail_on_gate(worst, "info", errors=scans).first().verdict == "error"
     with pytest.raises(ValueError):
         scoring.fail_on_gate(worst, "odd")
+
+
+def test_version_order(spark):
+    orders = {"npm": ["0.9", "1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-rc.1",
+                      "1.0.0", "1.0.1", "1.2", "1.10.0", "v2.0.0+b7"],
+              "PyPI": ["0.9", "1.0.dev3", "1.0a1", "1.0a2", "1.0b1", "1.0rc1", "1.0", "1.0.post1", "1.0.1", "1.10", "1!0.1"]}
+    for ecosystem, versions in orders.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(versions)], "i int, v string")
+        got = df.orderBy(supply.version_key(F.lit(ecosystem), F.col("v"))).collect()
+        assert [r.v for r in got] == versions
+    same = spark.createDataFrame([("1", "1.0.0"), ("1.2", "v1.2.0+x")], "a string, b string")
+    assert all(r[0] for r in same.select(supply.version_key(F.lit("npm"), F.col("a")) == supply.version_key(F.lit("npm"), F.col("b"))).collect())
+
+
+def test_advisory_ranges(spark):
+    import json
+
+    from toolwarden.sources import packages
+
+    span = lambda *events, kind="SEMVER": {"type": kind, "events": list(events)}
+    ranges = {"open": [span({"introduced": "0"})], "fixed": [span({"introduced": "1.2.0"}, {"fixed": "1.4.0"})],
+              "last": [span({"introduced": "0"}, {"last_affected": "1.3.0"})],
+              "two": [span({"introduced": "0"}, {"fixed": "1.0.0"}, {"introduced": "1.3.0"}, {"fixed": "1.3.5"})],
+              "git": [span({"introduced": "0"}, kind="GIT")]}
+    docs = spark.createDataFrame([(json.dumps({"id": k, "summary": "", "affected": [
+        {"package": {"name": "p", "ecosystem": "npm"}, "ranges": r}]}),) for k, r in ranges.items()], "text string")
+    assert [r.id for r in packages.advisory_rejects(docs).collect()] == ["git"] and packages.advisories(docs).count() == 0
+    rows = [(i, "npm", "p", v) for i, v in enumerate(("0.5.0", "1.2.0", "1.3.0", "1.3.5", "1.4.0-rc.1", "1.4.0"))] + [(9, "npm", "q", "1.3.0")]
+    joined = spark.createDataFrame(rows, "scan_id bigint, ecosystem string, name string, version string").select(
+        "scan_id", "name", F.struct(F.lit(True).alias("found"), "ecosystem", "version").alias("pkg"))
+    got = {}
+    for r in supply.known_cve(joined, packages.advisories(docs), packages.advisory_ranges(docs)).collect():
+        got.setdefault(r.scan_id, set()).add(json.loads(r.meta)["id"])
+    assert got == {0: {"open", "last", "two"}, 1: {"open", "fixed", "last"}, 2: {"open", "fixed", "last", "two"},
+                   3: {"open", "fixed"}, 4: {"open", "fixed"}, 5: {"open"}}

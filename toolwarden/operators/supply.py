@@ -106,29 +106,77 @@ def package_findings(joined: DataFrame, as_of: Column) -> DataFrame:
         check(young, "supplychain.young_package", _FETCH_SEQ + 4, detail=(days,)))
 
 
-def known_cve(joined: DataFrame, advisories: DataFrame) -> DataFrame:
-    """One finding per advisory of the exact package version.
+def _number(text: Column) -> Column:
+    return F.coalesce(F.try_to_number(text, F.lit("99999999999999999")).cast("bigint"), F.lit(0))
 
-    Advisories carry no tool, so all of a server's advisories subtract once.
+
+def version_key(ecosystem: Column, version: Column) -> Column:
+    """A sortable key of a version: release numbers, then what stands before or after the release.
+
+    Numbers compare as numbers and missing ones as zero.  A pre-release sorts below its release:
+    for npm its identifiers in order, numeric ones first; for PyPI ``dev``, ``a``, ``b`` and ``rc``,
+    with post-releases above.  Build and local parts do not count.  NULL for text without a number.
+    """
+    text = F.lower(F.regexp_replace(F.trim(version), r"^[v=\s]+", ""))
+    text = F.regexp_replace(text, r"\+.*$", "")
+    epoch = F.when(text.rlike(r"^\d+!"), _number(F.regexp_extract(text, r"^(\d+)!", 1))).otherwise(F.lit(0).cast("bigint"))
+    text = F.regexp_replace(text, r"^\d+!", "")
+    release = F.regexp_extract(text, r"^\d+(?:\.\d+)*", 0)
+    # Trailing zeros say nothing: 1.0 is 1.
+    numbers = F.transform(F.split(F.regexp_replace(release, r"(?:\.0+)+$", ""), r"\."), _number)
+    rest = F.substring(text, F.length(release) + 1, F.length(text))
+    python = F.lower(ecosystem) == "pypi"
+    word = F.regexp_extract(rest, r"^[._-]?([a-z]+)", 1)
+    post = word.isin("post", "rev", "r")
+    dev = rest.rlike(r"(^|[._-])dev")
+    phase = (F.when(word == "dev", 0).when(word.isin("a", "alpha"), 1).when(word.isin("b", "beta"), 2)
+             .when(word.isin("rc", "c", "pre", "preview"), 3).when(post | rest.rlike(r"^-\d+$"), 5).otherwise(4))
+    count = _number(F.regexp_extract(rest, r"(\d+)", 1))
+    pep = F.concat(F.format_string("%d:%020d:%d", phase, count, F.when(dev, 0).otherwise(1)))
+    parts = F.transform(F.split(F.substring(rest, F.lit(2), F.length(rest)), r"\."), lambda x: F.when(
+        x.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(x, 20, "0"))).otherwise(F.concat(F.lit("1"), x)))
+    semver = F.when(rest.startswith("-"), F.concat(F.lit("0:"), F.array_join(parts, "\x01"))).otherwise(F.lit("1:"))
+    return F.when(release != "", F.struct(epoch.alias("epoch"), numbers.alias("release"),
+                                          F.when(python, pep).otherwise(semver).alias("rest")))
+
+
+def in_range(version: Column, introduced: Column, fixed: Column, last: Column) -> Column:
+    """Whether a version key lies in one interval; an absent end leaves that side open."""
+    return (version.isNotNull() & (introduced.isNull() | (version >= introduced))
+            & (fixed.isNull() | (version < fixed)) & (last.isNull() | (version <= last)))
+
+
+def known_cve(joined: DataFrame, advisories: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """One finding per advisory that names the package version or has a range around it.
+
+    Advisories meet distinct package versions first and fan out to scans after, so a package
+    that many servers share is matched once.  They carry no tool, so all of a server's
+    advisories subtract once.
     """
     found = joined.where(F.col("pkg.found")).select(
         "scan_id", F.col("pkg.ecosystem").alias("ecosystem"), "name", F.col("pkg.version").alias("version"))
+    package = ["ecosystem", "name", "version"]
+    versions = found.select(*package).distinct()
+    columns = [*package, "id", "summary", F.col("severity").alias("osv_severity")]
+    hits = versions.join(advisories, package).select(*columns)
+    if ranges is not None:
+        key = lambda c: version_key(F.col("ecosystem"), F.col(c))
+        inside = in_range(key("version"), F.when(F.col("introduced") != "0", key("introduced")), key("fixed"), key("last_affected"))
+        hits = hits.unionByName(versions.join(ranges, ["ecosystem", "name"]).where(inside).select(*columns)).distinct()
     word = F.upper(F.coalesce(F.col("osv_severity"), F.lit("")))
     level = F.when(word.isin("CRITICAL", "HIGH"), F.lit("high")).otherwise(F.lit("medium"))
-    rows = advisories.select("ecosystem", "name", "version", "id", "summary",
-                             F.col("severity").alias("osv_severity"))
-    return explode_findings(found.join(rows, ["ecosystem", "name", "version"]), finding(
+    return explode_findings(found.join(hits, package), finding(
         "supplychain.known_cve", F.lit(_CVE_SEQ), severity=level, title=(F.col("id"),),
         detail=T.trim_space(F.coalesce(F.col("summary"), F.lit(""))), remediation=(F.col("id"),),
         meta=F.to_json(F.struct("id", "osv_severity"))))
 
 
 def supply_chain(specs: DataFrame, packages: DataFrame, advisories: DataFrame, as_of: Column,
-                 popular=C.POPULAR_PACKAGES) -> DataFrame:
+                 popular=C.POPULAR_PACKAGES, ranges: DataFrame | None = None) -> DataFrame:
     """All supply-chain findings.  No package spec, or offline: none at all."""
     joined = with_package(specs, packages)
     return (typosquat(specs, popular).unionByName(package_findings(joined, as_of))
-            .unionByName(known_cve(joined, advisories)))
+            .unionByName(known_cve(joined, advisories, ranges)))
 
 
 # --- a popular list as large as a registry ----------------------------------
@@ -154,52 +202,16 @@ def _deletion_keys(text: Column, k: int) -> Column:
     return F.transform(_variants(text, k), lambda form: F.xxhash64(form))
 
 
-def _segment(size: Column, i: Column, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of k + 1 even pieces of a text of this size."""
-    start = F.floor(i * size / (k + 1)).cast("int")
-    return start, F.floor((i + 1) * size / (k + 1)).cast("int") - start
-
-
-def _segment_keys(text: Column, k: int) -> Column:
-    """The k + 1 pieces of a text: k edits leave one of them whole."""
-    size = F.length(text)
-
-    def key(i: Column) -> Column:
-        start, width = _segment(size, i, k)
-        return F.xxhash64(size, i, F.substring(text, start + 1, width))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(k)), key)
-
-
-def _segment_probes(text: Column, k: int) -> Column:
-    """Keys of every piece a text within k edits can have left whole in this one."""
-    size = F.length(text)
-    near = F.sequence(F.greatest(size - k, F.lit(0)), size + k)
-
-    def keys(other: Column) -> Column:
-        def pieces(i: Column) -> Column:
-            start, width = _segment(other, i, k)
-            return F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda shift: F.xxhash64(
-                other, i, F.substring(text, start + shift + 1, width)))
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), pieces))
-
-    return F.array_distinct(F.flatten(F.transform(near, keys)))
-
-
-#: Names longer than this meet on pieces; the number of deletion forms grows with the square.
-LONG_NAME = 32
-
-
-def typosquat_registry(names: DataFrame, registry: DataFrame, long_name: int = LONG_NAME) -> DataFrame:
+def typosquat_registry(names: DataFrame, registry: DataFrame) -> DataFrame:
     """Nearest registry package for each distinct name: (name, target, same_name, distance).
 
     ``registry`` has columns name and place (list order).  Names are made distinct and
     exact members leave first.  Then three equi-joins of growing cost, each only for
     names the one before left open: same unscoped name, one edit, two edits.  Candidates
-    meet on hashed deletion forms, or on pieces when the registry name is long, and
-    ``levenshtein`` verifies them.  As names are distinct, the candidates of a name are
-    bounded by its own neighbourhood, not by how often names occur.  Only the nearest
-    target per name is kept, by partial minima.
+    meet on hashed deletion forms, and ``levenshtein`` verifies them.  A name has about
+    size ** k / k! forms, at any length, and a form is shared only by names within 2 * k
+    edits of each other, never for a mere prefix: candidates grow with the registry.  Only
+    the nearest target per name is kept, by partial minima.
     """
     listed = (registry.groupBy("name").agg(F.min("place").alias("place"))
               .withColumn("short", _as_bytes(T.unscoped(F.col("name")))))
@@ -213,13 +225,9 @@ def typosquat_registry(names: DataFrame, registry: DataFrame, long_name: int = L
                                                   F.lit(0).alias("distance"))
     left = open_names.join(heads, "short", "left_anti")
     found = [same]
-    short, size = F.col("short"), F.length("short")
-    none = F.array().cast("array<bigint>")
+    short = F.col("short")
     for k in range(1, C.MAX_SQUAT_DISTANCE + 1):
-        # A name near the limit may meet registry names on both sides of it.
-        sought = F.concat(F.when(size <= long_name + k, _deletion_keys(short, k)).otherwise(none),
-                          F.when(size > long_name - k, _segment_probes(short, k)).otherwise(none))
-        offered = F.when(size > long_name, _segment_keys(short, k)).otherwise(_deletion_keys(short, k))
+        sought = offered = _deletion_keys(short, k)
         probes = left.select("name", "short", F.explode_outer(sought).alias("key"))
         keys = heads.select(short.alias("other"), "head", F.explode_outer(offered).alias("key"))
         near = (probes.join(keys, "key")

@@ -1,10 +1,11 @@
 """Fuzzy line deduplication over a whole corpus, in DataFrame operations only.
 
-Lines are normalised to their lower-case words.  Equal lines collapse by aggregation; a line's
-SimHash is one more aggregate, 64 counters of its words' hash bits in the lanes of 22 sums.  Lines
-within RADIUS bits share one of RADIUS + 1 blocks, so a join on (block, its bits, length class)
-meets all of them; a line is also listed in the next length class if a longer partner may be
-there.  Candidates are verified by edit similarity on the normalised text.
+Lines are normalised to their lower-case words.  A line's SimHash is computed where the line is
+read: 64 counters of its words' hash bits, kept in the byte lanes of 8 numbers for up to 127
+words at a time.  Equal lines collapse by aggregation.  Lines within RADIUS bits share one of
+RADIUS + 1 blocks, so a join on (block, its bits, length class) meets all of them; a line is also
+listed in the next length class if a longer partner may be there.  Candidates are verified by
+the edit similarity of their word sequences.
 
 A block's most repeated line leads it.  All lines of the block are first held against the leader
 alone (a bounded table: one row per block and value), and lines linked by then are one group that
@@ -18,28 +19,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import kept
+from .storage import kept, unused
 
 RADIUS = 3
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
-#: Least edit similarity, in percent of the longer line's characters.
+#: Least edit similarity, in percent of the longer line's words.
 PERCENT = 80
-#: Lanes of a sum: three counters of 22 bits, for lines of up to four million words.
-LANE = 22
+#: Words that one set of byte lanes counts.
+LANE_WORDS = 127
+_LANES = 0x0101010101010101
 #: Rows of a list of wanted lines up to which it is broadcast (16 MB); a longer one is joined by a shuffle.
 WANTED_ROWS = 1 << 19
 
-_NOT_WORD = r"[^\p{L}\p{N}]+"
+_NOT_WORD = r"[\s\p{Punct}]+"
 
 
 def words_of(line: Column) -> Column:
-    """The words of a line, lower case; the first may be empty."""
-    return F.split(F.lower(line), _NOT_WORD)
+    """The words of a line: lower case, without ASCII punctuation."""
+    return F.array_remove(F.split(F.lower(line), _NOT_WORD), "")
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.array_join(words_of(line), " "))
+def coded(line: Column) -> Column:
+    """The words of a line as text of two characters per word, so that Levenshtein counts words."""
+    unit = lambda v: F.lpad(F.hex(F.pmod(v, F.lit(0xC000)) + 0x100), 4, "0")
+    each = F.transform(words_of(line), lambda w: F.concat(unit(F.xxhash64(w)), unit(F.shiftright(F.xxhash64(w), 32))))
+    return F.decode(F.unhex(F.array_join(each, "")), "UTF-16BE")
 
 
 def _key(docs: DataFrame) -> Column:
@@ -47,28 +52,39 @@ def _key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
 
 
-def _bit(place: int) -> Column:
-    """Whether a bit of the SimHash is set: more than half of the words have it."""
-    lane = F.shiftright(f"_s{place % LANE}", LANE * (place // LANE)).bitwiseAND(F.lit((1 << LANE) - 1))
-    return F.when(2 * lane > F.col("n_words"), F.lit(1 << place if place < 63 else -(1 << 63))).otherwise(F.lit(0))
+def _counted(hashes: Column) -> Column:
+    """Eight numbers whose byte lanes count the hashes' bits: lane l of number j has bit 8 * l + j."""
+    none = F.struct(*[F.lit(0).cast("bigint").alias(f"s{j}") for j in range(8)])
+    return F.aggregate(hashes, none, lambda a, h: F.struct(*[
+        (a[f"s{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(8)]))
+
+
+def _majority(counts: Column, n_words: Column) -> Column:
+    """The SimHash from a list of counted lanes: each bit that more than half of the words have."""
+    lane = lambda c, place: F.shiftright(c[f"s{place % 8}"], 8 * (place // 8)).bitwiseAND(F.lit(127))
+    bit = lambda total, place: F.when(2 * total > n_words, F.lit(1 << place if place < 63 else -(1 << 63))).otherwise(F.lit(0))
+
+    def all_bits(total) -> Column:
+        out = F.lit(0).cast("bigint")
+        for place in range(64):
+            out = out.bitwiseOR(bit(total(place), place))
+        return out
+
+    whole = lambda place: F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + lane(c, place))
+    return F.when(F.size(counts) == 1, all_bits(lambda place: lane(F.element_at(counts, 1), place))).otherwise(all_bits(whole))
 
 
 def simhashed(docs: DataFrame) -> DataFrame:
-    """A row per line with words: doc_id, key, pos, h1, h2 (of its words), n_words, size, print."""
+    """A row per line with words: doc_id, key, pos, h1, h2 (of its words), size (their number), print."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key(docs).alias("key"),
                         F.posexplode(F.split(docs["text"].cast("string"), "\n")).alias("pos", "line"))
-    words = lines.select("doc_id", "key", "pos", words_of(F.col("line")).alias("w"))
+    words = lines.select("doc_id", "key", "pos", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
     words = words.select("doc_id", "key", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(17), "w").alias("h2"),
-                         F.explode("w").alias("word")).where(F.length("word") > 0)
-    words = words.withColumn("_h", F.xxhash64("word"))
-    mask = F.lit(1 | 1 << LANE | 1 << 2 * LANE)
-    sums = [F.sum(F.shiftrightunsigned("_h", j).bitwiseAND(mask)).alias(f"_s{j}") for j in range(LANE)]
-    counted = words.groupBy("doc_id", "key", "pos", "h1", "h2").agg(
-        F.count("*").alias("n_words"), (F.sum(F.length("word")) + F.count("*") - 1).alias("size"), *sums)
-    bits = F.lit(0).cast("bigint")
-    for place in range(64):
-        bits = bits.bitwiseOR(_bit(place))
-    return counted.select("doc_id", "key", "pos", "h1", "h2", "n_words", "size", bits.alias("print"))
+                         F.size("w").cast("bigint").alias("size"), F.transform("w", lambda w: F.xxhash64(w)).alias("_h"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("_h"), F.lit(LANE_WORDS)), lambda k: _counted(F.slice("_h", k, LANE_WORDS)))
+    # A generator keeps the counts from being worked out again for every bit.
+    counted = words.select("doc_id", "key", "pos", "h1", "h2", "size", F.explode(F.array(parts)).alias("_c"))
+    return counted.select("doc_id", "key", "pos", "h1", "h2", "size", _majority(F.col("_c"), F.col("size")).alias("print"))
 
 
 def _blocks(lines: DataFrame, *columns: str) -> DataFrame:
@@ -87,21 +103,20 @@ def _lengths(a: str, b: str) -> Column:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, norm) of the wanted lines (id, key, pos), read from the documents they stand in."""
+    """(id, coded words as norm) of the wanted lines (id, key, pos), read from the documents they stand in."""
     if wanted.count() <= WANTED_ROWS:
         wanted = F.broadcast(wanted)
     own = docs.select(_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    found = own.join(wanted, "key").select("id", normalised(F.element_at(F.split("text", "\n"), F.col("pos") + 1)).alias("norm"))
+    found = own.join(wanted, "key").select("id", coded(F.element_at(F.split("text", "\n"), F.col("pos") + 1)).alias("norm"))
     return found.groupBy("id").agg(F.first("norm").alias("norm"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose normalised lines have the edit similarity."""
-    most = F.floor(F.greatest(F.length("_x"), F.length("_y")) * (100 - PERCENT) / 100).cast("int")
-    apart = F.levenshtein(F.col("_x"), F.col("_y"))
+    """The pairs (a, b) whose word sequences have the edit similarity."""
+    most = F.floor(F.greatest(F.length("_x"), F.length("_y")) * (100 - PERCENT) / 100)
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("norm").alias("_y")), "b")
-            .where(apart <= most).select("a", "b"))
+            .withColumn("_most", most.cast("int")).where("levenshtein(_x, _y, _most) >= 0").select("a", "b"))
 
 
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,21 +177,22 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All documents with their columns; in ``text``, repeated and nearly repeated lines are removed.
 
-    Two lines link if their SimHashes differ in at most RADIUS bits and their edit similarity is
-    0.8 or more; of each connected group one occurrence stays, that of the smallest document id
-    (a null id is smallest) and the smallest position.  Lines without a letter or digit are
-    never removed.  A null text stays null, an empty one empty; a document that loses all its
+    Two lines link if their SimHashes differ in at most RADIUS bits and the edit similarity of
+    their words is 0.8 or more; of each connected group one occurrence stays, that of the smallest document id
+    (a null id is smallest) and the smallest position.  Lines without a word are never
+    removed.  A null text stays null, an empty one empty; a document that loses all its
     lines has an empty text.  Rows repeated with id and text are one document and keep the same
     lines.  A column ``n_chars`` is brought up to date; other columns are carried as they are.
     """
     drops = dropped_lines(docs)
     lines = F.split(F.col("text").cast("string"), "\n")
-    rest = F.filter(lines, lambda line, k: ~F.array_contains(F.col("_drop"), k))
-    out = docs.withColumn("_key", _key(docs)).join(drops.withColumnRenamed("key", "_key"), "_key", "left")
-    text = F.when(F.col("_drop").isNull(), F.col("text").cast("string")).otherwise(F.array_join(rest, "\n"))
+    key, drop = unused(docs, "_key"), unused(docs, "_drop")
+    rest = F.filter(lines, lambda line, k: ~F.array_contains(F.col(drop), k))
+    out = docs.withColumn(key, _key(docs)).join(drops.withColumnsRenamed({"key": key, "_drop": drop}), key, "left")
+    text = F.when(F.col(drop).isNull(), F.col("text").cast("string")).otherwise(F.array_join(rest, "\n"))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        changed = F.col("_drop").isNotNull()
+        changed = F.col(drop).isNotNull()
         new["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(new).select(*docs.columns)
 

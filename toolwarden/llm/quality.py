@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .storage import unused
 
 #: Rows of each table of vectors and their width: two tables of 4 MB, whatever the vocabulary.
 BUCKETS = 1 << 14
@@ -250,5 +251,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: int = 0, folds: int = 5,
              sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents, in all their columns, that score ``threshold`` or more."""
-    scored = with_score(docs, learn(docs, labels, fold, folds, sample_rows), "_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    score = unused(docs, "_score")
+    scored = with_score(docs, learn(docs, labels, fold, folds, sample_rows), score)
+    return scored.where(F.col(score) >= threshold).drop(score)

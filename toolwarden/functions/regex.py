@@ -108,13 +108,32 @@ def to_java(pattern: str) -> str:
     if in_class:
         raise BadPattern(f"missing ] in {pattern!r}")
     text = "".join(out)
+    # Ungreedy changes which text is matched, not whether any is; group names are plain letters in Java.
+    text = re.sub(r"(?<!\\)\(\?([a-zA-Z-]*)([:)])", lambda m: "(?" + (m[1].replace("U", "") or "d" * (m[2] == ")")) + m[2], text)
+    names: dict[str, str] = {}
+    text = re.sub(r"(?<!\\)\(\?<([A-Za-z_]\w*)>", lambda m: f"(?<g{names.setdefault(m[1], str(len(names)))}>", text)
+    text = text.translate(UNFOLDED)
     # Flags are per group in both dialects: add Unicode folding wherever i is on.
     text = re.sub(r"\(\?([a-z]*i[a-z]*)([-:)])", r"(?\1u\2", text)
     return "(?d)" + text
 
 
+#: Letters that Java folds to ``i`` and RE2 does not; a letter without a case partner stands in for them.
+UNFOLDED = {0x130: "\u0237", 0x131: "\u0237"}
+
+
+def unfolded(text: Column) -> Column:
+    """``text`` as the patterns search it: without the letters that only Java folds."""
+    return F.when(text.rlike("[\u0130\u0131]"), F.translate(text, "\u0130\u0131", "\u0237\u0237")).otherwise(text)
+
+
+def lowered(text: Column) -> Column:
+    """Lower case in which U+0130 is a plain ``i``, one character."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Does an RE2 pattern match anywhere in ``text``?"""
+    """Does an RE2 pattern match anywhere in ``text`` (see ``unfolded``)?"""
     return text.rlike(to_java(pattern))
 
 

@@ -69,10 +69,10 @@ def _tool_changes(base: DataFrame, cur: DataFrame, texts: bool) -> DataFrame:
     hits = F.array(
         F.when(b.isNull(), change("tool_added", after=c["text"])),
         F.when(c.isNull(), change("tool_removed")),
-        F.when(present & (b["text"] != c["text"]), change(
+        F.when(present & ~b["text"].eqNullSafe(c["text"]), change(
             "tool_description_changed", b["text"], c["text"], c["steers"] & ~b["steers"],
             c["event_steers"] & ~b["event_steers"], c["bytes"] < b["bytes"])),
-        F.when(present & (b["schema"] != c["schema"]), change(
+        F.when(present & ~b["schema"].eqNullSafe(c["schema"]), change(
             "tool_schema_changed", b["schema"], c["schema"],
             added=F.array_except(c["classes"], b["classes"]))),
     )

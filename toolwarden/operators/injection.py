@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions import detect
+from ..functions import detect, regex
 from ..functions.regex import matches_hinted
 from .findings import TOOL_STRIDE, explode_findings, finding
 
@@ -21,8 +21,9 @@ def with_text(tools: DataFrame) -> DataFrame:
     """Add the searched text and its lower-case form, computed once for all patterns."""
     if "_lower" in tools.columns:
         return tools
-    return (tools.withColumn("_text", F.concat("name", F.lit("\n"), "description"))
-            .withColumn("_lower", F.lower("_text")))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    whole = F.concat(blank("name"), F.lit("\n"), blank("description"))
+    return tools.withColumn("_lower", regex.lowered(whole)).withColumn("_text", regex.unfolded(whole))
 
 
 def with_signs(tools: DataFrame) -> DataFrame:

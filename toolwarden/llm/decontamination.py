@@ -239,18 +239,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, s
                     F.col("best.similarity").alias("similarity")))
 
 
+def _leaked(sent, similarity_: float):
+    """The test of texts against one broadcast block of items, as an Arrow function."""
+    @F.arrow_udf("boolean")
+    def leaked(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for row, _ in _row_matches(text, sent.value, similarity_):
+            out[row] = True
+        return pa.array(out)
+
+    return leaked
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
                    similarity_: float = SIMILARITY, item_rows: int = ITEM_ROWS) -> DataFrame:
     """The documents, in all their columns and without a shuffle, whose text matches no benchmark item."""
     for block in _item_blocks(benchmark, item_rows):
         sent = docs.sparkSession.sparkContext.broadcast(item_index(block, radius))
-
-        @F.arrow_udf("boolean")
-        def leaked(text: pa.Array, sent=sent) -> pa.Array:
-            out = np.zeros(len(text), bool)
-            for row, _ in _row_matches(text, sent.value, similarity_):
-                out[row] = True
-            return pa.array(out)
-
-        docs = docs.where(~leaked(F.col("text").cast("string")))
+        docs = docs.where(~_leaked(sent, similarity_)(F.col("text").cast("string")))
     return docs

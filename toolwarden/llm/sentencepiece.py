@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
+from .storage import unused
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -359,7 +360,7 @@ def encode(docs: DataFrame, model: str, column: str = "text", into: str = "piece
     is named ``into`` already is replaced.  Rows are neither joined nor merged.
     """
     rest = [c for c in docs.columns if c != into]
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast("string").alias("_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast("string").alias(unused(docs, "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,7 +394,7 @@ def decode(docs: DataFrame, model: str, column: str = "pieces", into: str = "tex
     """All columns and ``into``, the texts that the ids in ``column`` stand for; null ids give an empty text."""
     rest = [c for c in docs.columns if c != into]
     ids = F.coalesce(F.col(f"`{column}`").cast("array<int>"), F.array().cast("array<int>"))
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], ids.alias("_ids"))
+    source = docs.select(*[F.col(f"`{c}`") for c in rest], ids.alias(unused(docs, "_ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,14 +7,15 @@ shingle's position, and both skip: two entries can only belong to similar sets i
 ``9 * min(size - position) >= 4 * (size + size')`` (for similarity 4/5), so whole blocks of a
 list (by size class, and entries too far back to be the smaller partner) are never compared.
 
-Lists of frequent shingles are answered through set relations.  The entry that stands furthest
-ahead leads its list; every other set is compared with the leader alone, and sets similar to it
-share its answer, one component.  What the leader's answer doesn't decide is worked out
-incrementally: only sets outside its component are still compared, and only with entries that
-size and position leave possible.  Nothing is capped; every comparison counts whole sets.
-
-The text is tokenised in numpy inside its task; what is shuffled are index entries, and the sets
-of classes that have a candidate.
+Lists of more than two sets are answered through set relations.  An entry that stands far ahead
+(in sixteenths of its set, so that one set leads most lists of a group) leads its list; every
+other set is compared with the leader alone, and sets similar to it share its answer, one
+component.  What the leader's answer doesn't decide is worked out incrementally: only sets
+outside its component are still compared, and only with entries that size and position leave
+possible.  Nothing is capped; every comparison counts whole sets.
+
+The text is tokenised in numpy inside its task; what is shuffled are index entries, and one text
+of each class that has a candidate (half the bytes of its set, as texts compress).
 """
 
 from __future__ import annotations
@@ -28,18 +29,18 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .graph import components
-from .storage import kept
+from .storage import kept, unused
 
 #: Similar from 80 percent: the intersection has at least 4/9 of both sizes' sum.
 PERCENT = 80
 #: Frequent shingles that come last in every prefix; a longer list changes speed, no result.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 FREQUENT_FROM = 16
 #: A task reports a shingle as frequent from this count, and forgets the rarest beyond TASK_COUNTED.
 TASK_FROM = 3
-TASK_COUNTED = 1 << 22
+TASK_COUNTED = 1 << 20
 #: Lists up to this length are compared entry by entry; longer ones through a leader.
-SHORT_LIST = 24
+SHORT_LIST = 2
 #: Bits of the filter that keeps texts without a candidate out of the shuffle.
 FILTER_BITS = 1 << 23
 
@@ -96,9 +97,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for low, high, bounds, value in _sets(batch):
                 size = np.diff(bounds)
-                row = np.repeat(np.arange(high - low), size)
-                rank, _ = _ranks(bounds, value, np.zeros(0, np.uint64))
-                waiting.append(value[rank < _prefix(size)[row]])
+                waiting.append(value)
                 yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array(size.astype(np.int64)),
                                        arrays.long(_class_ids(bounds, value)), none(high - low, pa.int64()),
                                        none(high - low, pa.int64())], names=names)
@@ -114,11 +113,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, seen bigint")
 
 
-ENTRY = "shingle bigint, class bigint, size int, place int, late boolean"
+ENTRY = "shingle bigint, class bigint, size int, place int"
 
 
-def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """The prefix entries of every document: shingle, class, size, place, whether the shingle is frequent."""
+def _index(docs: DataFrame, frequent: np.ndarray, late_: bool) -> DataFrame:
+    """The prefix entries of every document, of frequent shingles or of all others: shingle, class, size, place."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +126,10 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 size = np.diff(bounds)
                 row = np.repeat(np.arange(high - low), size)
                 rank, late = _ranks(bounds, value, sent.value)
-                own = rank < _prefix(size)[row]
+                own = (rank < _prefix(size)[row]) & (late == late_)
                 row = row[own]
                 yield pa.record_batch([arrays.long(value[own]), arrays.long(_class_ids(bounds, value)[row]),
-                                       pa.array(size[row].astype(np.int32)), pa.array(rank[own].astype(np.int32)),
-                                       pa.array(late[own])], names=["shingle", "class", "size", "place", "late"])
+                                       pa.array(size[row].astype(np.int32)), pa.array(rank[own].astype(np.int32))], names=["shingle", "class", "size", "place"])
 
     return docs.mapInArrow(scan, ENTRY)
 
@@ -219,8 +217,8 @@ def _filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, size, set) of the given classes (class, doc_id): read from one text of each."""
+def _chosen_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, text) of the given classes (class, doc_id); more than one where doc_ids repeat."""
     sent = docs.sparkSession.sparkContext.broadcast(_filter(classes.select(F.col("doc_id").alias("id"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,28 +227,37 @@ def _chosen_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             place = batch.column(2).to_numpy()
             yield batch.filter(pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)).select(["doc_id", "text"])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, bounds, value in _sets(batch):
-                own = arrays.long(_class_ids(bounds, value))
-                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), arrays.long(value))
-                yield pa.record_batch([own, batch.column(2).slice(low, high - low), sets], names=["class", "_class", "set"])
-
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     near = (docs.where("doc_id IS NOT NULL").withColumn("_place", place)
             .mapInArrow(pick, "doc_id bigint, text string"))
-    texts = near.join(classes.select("doc_id", F.col("class").alias("_class")), "doc_id").select("doc_id", "text", "_class")
-    return (texts.mapInArrow(read, "class bigint, _class bigint, set array<bigint>").where("class = _class")
-            .select("class", "set"))
+    return near.join(classes, "doc_id").select("class", "text")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _row_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """The shingle set and the class of each text of a column."""
+    for low, high, bounds, value in _sets(pa.record_batch([column], names=["text"]), 0):
+        for k, own in enumerate(_class_ids(bounds, value).view(np.int64).tolist()):
+            yield value[bounds[k]:bounds[k + 1]], own
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, by counting their whole intersection."""
-    left = sets.select(F.col("class").alias("a"), F.col("set").alias("_x"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    return (pairs.join(left, "a").join(right, "b")
-            .where(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                fine = np.zeros(batch.num_rows, bool)
+                ends = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                found = zip(ends, _row_sets(batch.column(2)), _row_sets(batch.column(3)))
+                for k, ((a, b), (x, own_x), (y, own_y)) in enumerate(found):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    fine[k] = (a, b) == (own_x, own_y) and 100 * both >= percent * (len(x) + len(y) - both)
+                yield batch.filter(pa.array(fine)).select(["a", "b"])
+
+    left = texts.select(F.col("class").alias("a"), F.col("text").alias("_x"))
+    right = texts.select(F.col("class").alias("b"), F.col("text").alias("_y"))
+    return (pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y")
+            .mapInArrow(verify, "a bigint, b bigint"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -272,17 +279,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = sketch.where("seen IS NULL").select("doc_id", "n_shingles", "class")
     classes = kept(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"),
                                                                      F.count("*").alias("copies")), "classes")
-    entries = kept(_index(docs, frequent), "prefixes")
-    short = kept(_short_lists(entries.where("NOT late")), "short-lists")
+    short = kept(_short_lists(_index(docs, frequent, False)), "short-lists")
     pairs = short.where("b IS NOT NULL").select("a", "b").distinct()
 
     # Lists of frequent shingles, and long ones: each class once, in blocks by size.
-    listed = (entries.where("late").select("shingle", "class", "size", "place")
+    listed = (_index(docs, frequent, True)
               .unionByName(short.where("b IS NULL").select("shingle", F.col("a").alias("class"), "size", "place"))
               .groupBy("shingle", "class").agg(F.min("size").alias("size"), F.min("place").alias("place")))
     listed = kept(listed.withColumn("block", _size_class(F.col("size"))), "long-lists")
     leaders = kept(listed.groupBy("shingle", "block").agg(
-        F.min(F.struct("place", "class", "size")).alias("_l"), F.count("*").alias("_n")).where("_n > 1")
+        F.min(F.struct(F.floor(16 * F.col("place") / F.col("size")).alias("_s"), "class", "size", "place")).alias("_l"),
+        F.count("*").alias("_n")).where("_n > 1")
         .select("shingle", "block", F.col("_l.class").alias("leader"), F.col("_l.size").alias("_m"),
                 F.col("_l.place").alias("_j")), "leaders")
     led = kept(listed.join(leaders, ["shingle", "block"]), "led-lists")
@@ -290,12 +297,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
     pairs = kept(pairs.unionByName(star).distinct(), "pairs")
 
-    # A class can still be asked for later if an entry of its lists can be the smaller partner.
-    ahead = 9 * (F.col("size") - F.col("place")) >= 8 * F.col("size")
-    asked = (pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-             .unionByName(listed.where(ahead).select("class")).distinct())
-    sets = kept(_chosen_sets(docs, asked.join(classes, "class").where("doc_id IS NOT NULL").select("class", "doc_id")), "sets")
-    links = kept(_similar(pairs, sets, PERCENT), "similar")
+    ahead = 9 * (F.col("size") - F.col("place")) >= 8 * F.col("size")  # entries that can be the smaller partner's
+
+    def texts_of(pairs_: DataFrame) -> DataFrame:
+        ids = pairs_.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        return kept(_chosen_texts(docs, kept(ids.join(classes, "class").where("doc_id IS NOT NULL")
+                                            .select("class", "doc_id"), "asked")), "asked-texts")
+
+    links = kept(_similar(pairs, texts_of(pairs), PERCENT), "similar")
     parts = kept(components(links), "parts")
 
     # What the leaders' answers leave open: sets outside their leader's component.
@@ -320,11 +329,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .unionByName(meet(crossing, large.where("NOT _g"))))
     rest = kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
                 .join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    missing = kept(rest.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-                   .join(sets, "class", "left_anti").join(classes, "class")
-                   .where("doc_id IS NOT NULL").select("class", "doc_id"), "missing")
-    more = sets if missing.isEmpty() else sets.unionByName(kept(_chosen_sets(docs, missing), "sets"))
-    links = kept(links.unionByName(_similar(rest, more, PERCENT)), "similar")
+    links = kept(links.unionByName(_similar(rest, texts_of(rest), PERCENT)), "similar")
 
     # Components by the classes' smallest doc_ids, so the smallest label is the smallest id.
     ids = classes.select("class", "doc_id")
@@ -348,9 +353,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     bitmap of fixed size can't rule out are joined with the ids to drop.
     """
     found = jaccard_components(docs)
-    drops = kept(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct(),
+    drops = kept(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(),
                  "near-duplicates")
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(drops.select(F.col("_drop").alias("id"))))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(drops))
+    mark, drop = unused(docs, "_listed"), unused(docs, "_drop")
 
     @F.arrow_udf("boolean")
     def listed(place: pa.Array) -> pa.Array:
@@ -359,7 +365,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     id_ = F.col("doc_id").cast("bigint")
     maybe = F.when(id_.isNull(), F.lit(False)).otherwise(listed(F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS)).cast("bigint")))
-    marked = docs.withColumn("_listed", maybe)
-    hits = marked.where("_listed").drop("_listed")
-    return (marked.where("NOT _listed").drop("_listed")
-            .unionByName(hits.join(drops, hits["doc_id"].cast("bigint") == drops["_drop"], "left_anti")))
+    marked = docs.withColumn(mark, maybe)
+    hits = marked.where(F.col(mark)).drop(mark)
+    drops = drops.withColumnRenamed("id", drop)
+    return (marked.where(~F.col(mark)).drop(mark)
+            .unionByName(hits.join(drops, hits["doc_id"].cast("bigint") == drops[drop], "left_anti")))

@@ -38,6 +38,8 @@ def test_pieces_equal_the_library(docs_df):
         want = processor.encode(r.text or "")
         assert r.pieces == want, r.text
         assert r.again == processor.decode(want) == (r.text or "").replace("▁", " ")
+    fused = own.encode(docs_df(rows[:40]), PIECES, again="back").collect()
+    assert all(r.back == processor.decode(r.pieces) and r.pieces == processor.encode(r.text or "") for r in fused)
     named = docs_df([(1, "a b")]).selectExpr("*", "'x' AS pieces", "1 AS _text")
     assert own.encode(named, PIECES).select("doc_id", "_text", "pieces").first().pieces == processor.encode("a b")
 

@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 LONG = 256
 #: Distinct units whose pieces a worker keeps; beyond, it starts anew.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 16
 #: An unknown character's score in a unigram model lies this far below the least piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -353,23 +353,26 @@ def _column_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def encode(docs: DataFrame, model: str, column: str = "text", into: str = "pieces") -> DataFrame:
+def encode(docs: DataFrame, model: str, column: str = "text", into: str = "pieces", again: str | None = None) -> DataFrame:
     """All columns and ``into``, the piece ids of ``column`` as the model file at ``model`` defines them.
 
-    No begin or end is added.  A null or empty text has no pieces (an empty list); a column that
-    is named ``into`` already is replaced.  Rows are neither joined nor merged.
+    With ``again``, a column of that name has the text that the ids decode to, made in the same
+    pass.  No begin or end is added.  A null or empty text has no pieces (an empty list); a
+    column that is named ``into`` already is replaced.  Rows are neither joined nor merged.
     """
-    rest = [c for c in docs.columns if c != into]
+    rest = [c for c in docs.columns if c not in (into, again)]
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").cast("string").alias(unused(docs, "_text")))
+    names = [*rest, into, *([again] if again else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, bounds, ids in _encoded(batch.column(len(rest)), model):
                 part = batch.slice(low, high - low)
-                yield pa.record_batch([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))],
-                                      names=[*rest, into])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.record_batch([*part.columns[:-1], lists, *([_decoded(lists, model)] if again else [])], names=names)
 
-    schema = source.select(*[F.col(f"`{c}`") for c in rest], F.array(F.lit(0)).alias(into)).schema
+    schema = source.select(*[F.col(f"`{c}`") for c in rest], F.array(F.lit(0)).alias(into),
+                           *([F.lit("").alias(again)] if again else [])).schema
     for field in schema.fields:
         field.nullable = True
     return source.mapInArrow(run, schema)

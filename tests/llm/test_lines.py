@@ -93,3 +93,27 @@ def test_edges(docs_df):
     assert lines.deduplicated(docs_df([])).count() == 0
     odd = docs_df([(1, "q w"), (2, "q w")]).withColumn("key", F.lit("k")).withColumn("_drop", F.lit(1))
     assert {(r.doc_id, r.text, r.key, r._drop) for r in lines.dedup_lines(odd).collect()} == {(1, "q w", "k", 1), (2, "", "k", 1)}
+
+
+def test_all_pairs_of_edit_similarity_at_any_length(spark, docs_df):
+    """Against edit distance alone, without fingerprints: every length finds its partners at the very limit."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 12)))
+    rows = []
+    for size in (1, 2, 3, 4, 5, 6, 9, 14, 15, 18, 19, 23, 30, 50, 90, 170, 400):
+        for extra in (0, 0, 1):
+            base = [word() for _ in range(size)]
+            base[0] = base[size // 2]
+            other = list(base)
+            for _ in range(size // 5 + extra):
+                at = rng.randrange(len(other))
+                other[at:at + 1] = rng.choice([[word()], [], [other[at], word()]])
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    norm = {i: t.split() for i, t in rows}
+    near = lambda x, y: 5 * brute.edit_distance(x, y) <= max(len(x), len(y))
+    links = [(i, j) for j in norm for i in range(j) if 4 * len(norm[j]) <= 5 * len(norm[i]) and 4 * len(norm[i]) <= 5 * len(norm[j])
+             and near(norm[i], norm[j])]
+    assert len(links) > 25
+    part = brute.groups(list(norm), links)
+    got = {r.doc_id for r in lines.dedup_lines(docs_df(rows)).collect() if r.text == "" and norm[r.doc_id]}
+    assert got == {i for i in norm if norm[i] and part[i] != i}

@@ -1,16 +1,18 @@
 """Fuzzy line deduplication over a whole corpus, in DataFrame operations only.
 
-Lines are normalised to their lower-case words.  A line's SimHash is computed where the line is
-read: 64 counters of its words' hash bits, kept in the byte lanes of 8 numbers for up to 127
-words at a time.  Equal lines collapse by aggregation.  Lines within RADIUS bits share one of
-RADIUS + 1 blocks, so a join on (block, its bits, length class) meets all of them; a line is also
-listed in the next length class if a longer partner may be there.  Candidates are verified by
-the edit similarity of their word sequences.
-
-A block's most repeated line leads it.  All lines of the block are first held against the leader
-alone (a bounded table: one row per block and value), and lines linked by then are one group that
-is not compared again; the join only leaves pairs of different groups.  Of each connected group
-the occurrence with the smallest document id, and in it the first line, stays.
+Lines are normalised to their lower-case words.  Equal lines collapse by aggregation.  Two lines
+link if the edit similarity of their words is 0.8 or more, and every such pair is found: it shares
+at least 0.8 of the longer line's words, so of any fixed order of words the first fifth of both
+lines shares one (and the first fifth and one more shares two).  The order is longest word first,
+which needs no table of frequencies.  A join on (shared words, length class) meets all pairs; a
+line is also listed in the next length class if a longer partner may be there.  Listings that
+stand alone leave first.  Candidates must be near in a parity sketch of 128 bits, in which an edit
+changes at most two, and are verified by edit distance.
+
+The most repeated line of a listing leads it.  All lines of the listing are first held against the
+leader alone, and lines linked by then are one group that is not compared again; the join only
+leaves pairs of different groups.  Of each connected group the occurrence with the smallest
+document id, and in it the first line, stays.
 """
 
 from __future__ import annotations
@@ -21,11 +23,14 @@ from pyspark.sql import functions as F
 from .graph import components
 from .storage import kept, unused
 
-RADIUS = 3
-BLOCKS = RADIUS + 1
-BLOCK_BITS = 64 // BLOCKS
+#: Bits in which the SimHashes of linked lines may differ: all, as edit similarity alone decides.
+RADIUS = 64
 #: Least edit similarity, in percent of the longer line's words.
 PERCENT = 80
+#: Length classes below this one (lines of up to 18 words) are listed by pairs of words, others by single ones.
+PAIR_CLASSES = 13
+#: Lines of fewer words link with equal lines only.
+LEAST_WORDS = 4
 #: Words that one set of byte lanes counts.
 LANE_WORDS = 127
 _LANES = 0x0101010101010101
@@ -74,28 +79,67 @@ def _majority(counts: Column, n_words: Column) -> Column:
     return F.when(F.size(counts) == 1, all_bits(lambda place: lane(F.element_at(counts, 1), place))).otherwise(all_bits(whole))
 
 
-def simhashed(docs: DataFrame) -> DataFrame:
-    """A row per line with words: doc_id, key, pos, h1, h2 (of its words), size (their number), print."""
+def _words(docs: DataFrame) -> DataFrame:
+    """A row per line with words: doc_id, key, pos, w."""
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key(docs).alias("key"),
                         F.posexplode(F.split(docs["text"].cast("string"), "\n")).alias("pos", "line"))
-    words = lines.select("doc_id", "key", "pos", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
-    words = words.select("doc_id", "key", "pos", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(17), "w").alias("h2"),
-                         F.size("w").cast("bigint").alias("size"), F.transform("w", lambda w: F.xxhash64(w)).alias("_h"))
+    return lines.select("doc_id", "key", "pos", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
+
+
+def simhashed(docs: DataFrame) -> DataFrame:
+    """A row per line with words: doc_id, key, pos, h1, h2 (of its words), size (their number), print."""
+    words = _words(docs).select("doc_id", "key", "pos", *_identity(), F.transform("w", lambda w: F.xxhash64(w)).alias("_h"))
     parts = F.transform(F.sequence(F.lit(1), F.size("_h"), F.lit(LANE_WORDS)), lambda k: _counted(F.slice("_h", k, LANE_WORDS)))
     # A generator keeps the counts from being worked out again for every bit.
     counted = words.select("doc_id", "key", "pos", "h1", "h2", "size", F.explode(F.array(parts)).alias("_c"))
     return counted.select("doc_id", "key", "pos", "h1", "h2", "size", _majority(F.col("_c"), F.col("size")).alias("print"))
 
 
-def _blocks(lines: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` with block and value, one row for each block of the fingerprint."""
-    value = lambda b: F.shiftrightunsigned("print", b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    each = F.array(*[F.struct(F.lit(b).alias("block"), value(b).alias("value")) for b in range(BLOCKS)])
-    return lines.select(*columns, F.explode(each).alias("_b")).select(*columns, "_b.block", "_b.value")
+def _identity() -> list[Column]:
+    return [F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(17), "w").alias("h2"), F.size("w").cast("bigint").alias("size")]
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """A row per line with words: doc_id, key, pos, h1, h2, size, first (words in order of listing), s0 and s1 (parities)."""
+    rank = lambda w: F.shiftleft(63 - F.least(F.length(w), F.lit(63)).cast("bigint"), 57).bitwiseOR(
+        F.shiftrightunsigned(F.xxhash64(w), 7))
+    words = _words(docs).select("doc_id", "key", "pos", *_identity(), F.explode(F.array(F.transform("w", rank))).alias("_h"))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda h, j: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(1)) == j, one(h)).otherwise(F.lit(0).cast("bigint"))
+    none = F.struct(*[F.lit(0).cast("bigint").alias(f"s{j}") for j in range(2)])
+    parity = F.aggregate("_h", none, lambda a, h: F.struct(*[a[f"s{j}"].bitwiseXOR(half(h, j)).alias(f"s{j}") for j in range(2)]))
+    rows = words.select("doc_id", "key", "pos", "h1", "h2", "size", F.explode(F.array(F.struct(
+        F.slice(F.sort_array("_h"), F.lit(1), _prefix(F.col("size")) + 1).alias("first"), parity.alias("s")))).alias("_x"))
+    return rows.select("doc_id", "key", "pos", "h1", "h2", "size", "_x.first", "_x.s.s0", "_x.s.s1")
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+def _prefix(size: Column) -> Column:
+    """Words at the start of the order of which similar lines share one."""
+    return F.floor(size * (100 - PERCENT) / 100).cast("int") + 1
+
+
+def _class(size: Column) -> Column:
+    return F.floor(F.log(100 / PERCENT, size)).cast("int")
+
+
+def _listed(lines: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with word (a hash of the shared words and the class) and own, one row for each listing of a line."""
+    classes = F.array_distinct(F.array(_class(F.col("size")), _class(F.floor(F.col("size") * 100 / PERCENT))))
+    rows = lines.where(F.col("size") >= LEAST_WORDS).select(*columns, "first", _class(F.col("size")).alias("_own"),
+                                                            F.explode(classes).alias("_c"))
+    n = F.size("first")
+    # Words that stand twice count twice, so a pair may be of one word.
+    pairs = F.flatten(F.transform(F.slice("first", F.lit(1), n - 1), lambda x, i: F.transform(
+        F.slice("first", i + 2, n), lambda y: F.xxhash64(x, y, F.col("_c")))))
+    single = F.transform(F.slice("first", F.lit(1), n - 1), lambda x: F.xxhash64(x, F.col("_c")))
+    each = F.array_distinct(F.when(F.col("_c") < PAIR_CLASSES, pairs).otherwise(single))
+    return rows.select(*columns, (F.col("_c") == F.col("_own")).alias("own"), F.explode(each).alias("word"))
+
+
+def _near(a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
+    """Whether the sketches (size, s0, s1) allow as few edits as the similarity does."""
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(a[1:], b[1:])), F.lit(0))
+    return apart <= 2 * F.floor(F.greatest(a[0], b[0]) * (100 - PERCENT) / 100)
 
 
 def _lengths(a: str, b: str) -> Column:
@@ -112,30 +156,35 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose word sequences have the edit similarity."""
+    """The pairs (a, b) whose word sequences have the edit similarity.
+
+    Each letter that only one text has takes an edit, so long texts with too many leave before the edit distance.
+    """
     most = F.floor(F.greatest(F.length("_x"), F.length("_y")) * (100 - PERCENT) / 100)
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("_x")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("norm").alias("_y")), "b")
-            .withColumn("_most", most.cast("int")).where("levenshtein(_x, _y, _most) >= 0").select("a", "b"))
+            .withColumn("_most", most.cast("int"))
+            .where("(length(_x) < 256 OR size(array_except(split(_x, ''), split(_y, ''))) <= _most) AND levenshtein(_x, _y, _most) >= 0")
+            .select("a", "b"))
 
 
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored occurrences (doc_id, key, pos, h1, h2), and of each repeated or linked line the one to keep."""
-    seen = kept(simhashed(docs), "line-occurrences")
+    seen = kept(sketched(docs), "line-occurrences")
     lines = kept(seen.groupBy("h1", "h2").agg(
-        F.min(F.struct("doc_id", "key", "pos")).alias("first"), F.count("*").alias("n"), F.max("print").alias("print"),
-        F.max("size").alias("size")), "distinct-lines")
-    # Leaders: at most BLOCKS * 2 ** BLOCK_BITS rows, whatever the corpus.
+        F.min(F.struct("doc_id", "key", "pos")).alias("where"), F.count("*").alias("n"), F.max("size").alias("size"),
+        F.first("first").alias("first"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "distinct-lines")
+    shared = kept(_listed(lines).groupBy("word").agg(F.count("*").alias("_n")).where("_n > 1").select("word"), "shared-words")
+    columns = ["size", "s0", "s1"]
+    index = kept(_listed(lines.withColumnRenamed("h1", "id"), "id", "n", *columns).join(shared, "word"), "line-index")
     # Of equal counts the line of the smallest hash leads.
-    leaders = (_blocks(lines, "h1", "print", "size", "n").groupBy("block", "value")
-               .agg(F.max(F.struct("n", F.col("h1").alias("id"), "print", "size")).alias("_l"))
-               .select("block", "value", F.col("_l.id").alias("_id"), F.col("_l.print").alias("_print"),
-                       F.col("_l.size").alias("_size")))
-    star = (_blocks(lines, "h1", "print", "size").join(F.broadcast(kept(leaders, "line-leaders")), ["block", "value"])
-            .where((F.col("h1") != F.col("_id")) & _near("print", "_print") & _lengths("size", "_size"))
-            .select(F.least("h1", "_id").alias("a"), F.greatest("h1", "_id").alias("b")).distinct())
+    leaders = (index.groupBy("word").agg(F.max(F.struct("n", (-F.col("id")).alias("less"), "id", *columns)).alias("_l"))
+               .select("word", F.col("_l.id").alias("_id"), *[F.col(f"_l.{c}").alias(f"_{c}") for c in columns]))
+    star = (index.join(kept(leaders, "line-leaders"), "word")
+            .where((F.col("id") != F.col("_id")) & _lengths("size", "_size") & _near(("size", "s0", "s1"), ("_size", "_s0", "_s1")))
+            .select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct())
     star = kept(star, "line-pairs")
-    where = lines.select(F.col("h1").alias("id"), "first.key", "first.pos")
+    where = lines.select(F.col("h1").alias("id"), "where.key", "where.pos")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -144,26 +193,23 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     links = verified(star)
     part = components(links)
-    named = kept(lines.select(F.col("h1").alias("id"), "print", "size").join(part, "id", "left")
-                 .select("id", "print", "size", F.coalesce("component", "id").alias("part")), "named-lines")
-    listed = _blocks(named, "id", "print", "size", "part")
-    # Length classes double; a line is also in the next class if partners a quarter longer reach it.
-    class_ = F.floor(F.log2("size")).cast("int")
-    beyond = F.floor(F.log2(F.col("size") * 100 / PERCENT)).cast("int")
-    listed = listed.withColumn("class", F.explode(F.array_distinct(F.array(class_, beyond)))).withColumn("own", F.col("class") == class_)
-    left = listed.select("block", "value", "class", F.col("id").alias("a"), F.col("print").alias("_x"), F.col("size").alias("_n"),
+    listed = kept(index.join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "grouped-index")
+    # Where all lines of a listing are one group, nothing is open.
+    mixed = listed.groupBy("word").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low <> _high").select("word")
+    listed = listed.join(kept(mixed, "open-words"), "word")
+    left = listed.select("word", F.col("id").alias("a"), F.col("size").alias("_n"), F.col("s0").alias("_x0"), F.col("s1").alias("_x1"),
                          F.col("part").alias("_p"), F.col("own").alias("_o"))
-    right = listed.select("block", "value", "class", F.col("id").alias("b"), F.col("print").alias("_y"), F.col("size").alias("_m"),
+    right = listed.select("word", F.col("id").alias("b"), F.col("size").alias("_m"), F.col("s0").alias("_y0"), F.col("s1").alias("_y1"),
                           F.col("part").alias("_q"), F.col("own").alias("_w"))
-    open_ = (left.join(right, ["block", "value", "class"])
+    open_ = (left.join(right, "word")
              .where((F.col("a") < F.col("b")) & (F.col("_p") != F.col("_q")) & (F.col("_o") | F.col("_w"))
-                    & _near("_x", "_y") & _lengths("_n", "_m")).select("a", "b").distinct())
+                    & _lengths("_n", "_m") & _near(("_n", "_x0", "_x1"), ("_m", "_y0", "_y1"))).select("a", "b").distinct())
     rest = kept(open_.join(star, ["a", "b"], "left_anti"), "open-line-pairs")
     links = links.unionByName(verified(rest))
     part = kept(components(links).select(F.col("id").alias("h1"), "component"), "line-components")
     named = lines.join(part, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     firsts = named.where(F.col("n") > 1).select("component").unionByName(part.select("component")).distinct()
-    keep = named.join(firsts, "component").groupBy("component").agg(F.min("first").alias("keep"))
+    keep = named.join(firsts, "component").groupBy("component").agg(F.min("where").alias("keep"))
     return seen, kept(named.select("h1", "h2", "component").join(keep, "component").select("h1", "h2", "keep"), "kept-lines")
 
 
@@ -177,8 +223,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All documents with their columns; in ``text``, repeated and nearly repeated lines are removed.
 
-    Two lines link if their SimHashes differ in at most RADIUS bits and the edit similarity of
-    their words is 0.8 or more; of each connected group one occurrence stays, that of the smallest document id
+    Two lines link if the edit similarity of their words is 0.8 or more; of each connected
+    group one occurrence stays, that of the smallest document id
     (a null id is smallest) and the smallest position.  Lines without a word are never
     removed.  A null text stays null, an empty one empty; a document that loses all its
     lines has an empty text.  Rows repeated with id and text are one document and keep the same

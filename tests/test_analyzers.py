@@ -213,3 +213,22 @@ def test_advisory_ranges(spark):
         got.setdefault(r.scan_id, set()).add(json.loads(r.meta)["id"])
     assert got == {0: {"open", "last", "two"}, 1: {"open", "fixed", "last"}, 2: {"open", "fixed", "last", "two"},
                    3: {"open", "fixed"}, 4: {"open", "fixed"}, 5: {"open"}}
+
+
+def test_scan_finds_advisories_that_carry_only_ranges(spark):
+    from toolwarden.plans.scan import ScanInputs, scan_findings, scan_scorecards
+
+    tools = spark.createDataFrame([(1, 0, "t", "Adds.", None)], "scan_id bigint, pos int, name string, description string, input_schema string")
+    specs = spark.createDataFrame([(1, "p@1.3.0", "npm", False)], "scan_id bigint, package_spec string, ecosystem string, offline boolean")
+    package = spark.createDataFrame([("npm", "p", "1.3.0", "1.3.0", False, 0, 3, "https://r", None, None, True)], (
+        "ecosystem string, name string, requested_version string, version string, has_install_script boolean, dependency_count int, "
+        "maintainer_count int, repo_url string, created timestamp, modified timestamp, found boolean"))
+    columns = "id string, summary string, severity string, ecosystem string, name string"
+    listed = spark.createDataFrame([], columns + ", version string")
+    ranges = spark.createDataFrame([("R", "", "HIGH", "npm", "p", "1.2.0", "1.4.0", None), ("S", "", "HIGH", "npm", "p", "1.4.0", None, None)],
+                                   columns + ", introduced string, fixed string, last_affected string")
+    inputs = ScanInputs(tools, specs=specs, packages=package, advisories=listed, advisory_ranges=ranges)
+    found = [r for r in scan_findings(inputs).collect() if r.rule_id == "supplychain.known_cve"]
+    assert len(found) == 1 and '"R"' in found[0].meta
+    without = ScanInputs(tools, specs=specs, packages=package, advisories=listed)
+    assert scan_scorecards(inputs).first().score < scan_scorecards(without).first().score

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import detect, jsontext, tokens
 from ..operators import capability, cost, injection, posture, supply
+from ..sources import packages
 from ..sources import rules as rule_files
 from ..sources import traces
 from . import bridge as B
@@ -370,6 +371,33 @@ def known_cve(spark, sf):
     return shown(supply.known_cve(joined, B.advisory_rows(spark, sf)))
 
 
+_RANGED = """ranged AS (SELECT 'ADV-' || l_orderkey || '-' || l_linenumber AS id, 'Flaw in ' || p_name AS summary,
+    CASE WHEN l_returnflag = 'A' THEN 'critical' ELSE '' END AS severity,
+    CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'other' END AS ecosystem,
+    '@parts/' || replace(p_name, ' ', '-') AS name, l_orderkey % 5 AS kind, p_partkey AS part
+    FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query("known_cve_ranges", f"""WITH {K.SPECS}, {_RANGED},
+  hits AS (SELECT scan_id, id, summary, CASE WHEN severity = 'critical' THEN 'high' ELSE 'medium' END AS level
+    FROM known k JOIN ranged r ON k.name = r.name AND k.ecosystem = r.ecosystem
+    WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN k.p_partkey > part WHEN 2 THEN k.p_partkey = part
+          WHEN 3 THEN false ELSE k.p_partkey <= part END)
+  SELECT scan_id, {K.finding("supplychain.known_cve", "10", severity="level", title=("id",), detail_sql="summary",
+                             remediation=("id",))} FROM hits""")
+def known_cve_ranges(spark, sf):
+    """Advisories without listed versions: open, bounded and several intervals."""
+    joined = supply.with_package(B.package_specs(spark, sf), B.packages(spark, sf))
+    docs = B.advisory_documents(spark, sf)
+    return shown(supply.known_cve(joined, packages.advisories(docs), packages.advisory_ranges(docs)))
+
+
+@query("advisory_rejects", f"""WITH {_RANGED} SELECT id, summary, severity, ecosystem, name,
+  'no versions and no version range' AS reason FROM ranged WHERE kind = 3""")
+def advisory_rejects(spark, sf):
+    return packages.advisory_rejects(B.advisory_documents(spark, sf))
+
+
 @query("supplychain_gate", f"WITH {K.SPECS} SELECT scan_id, name, version, ecosystem FROM specs")
 def supplychain_gate(spark, sf):
     return supply.in_scope(B.package_specs(spark, sf)).select("scan_id", "name", "version", "ecosystem")

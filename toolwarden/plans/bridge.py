@@ -246,6 +246,28 @@ def advisory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat('@parts/', {PACKAGE_NAME}) AS name", "concat('1.', p_partkey) AS version")
 
 
+#: Affected versions of ``advisory_documents``, by ``l_orderkey % 5``: all, those above the part's, two intervals, commits, up to the part's.
+RANGES = (
+    """concat('{"introduced":"0"}')""",
+    """concat('{"introduced":"1.', p_partkey + 1, '"}')""",
+    """concat('{"introduced":"0"},{"fixed":"0.5"},{"introduced":"1.', p_partkey, '"},{"fixed":"1.', p_partkey + 1, '"}')""",
+    """concat('{"introduced":"0"}')""",
+    """concat('{"introduced":"0"},{"last_affected":"1.', p_partkey, '"}')""",
+)
+
+
+def advisory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as advisory documents that list no version, only ranges."""
+    events = "CASE l_orderkey % 5 " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(RANGES)) + " END"
+    return table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "concat('{\"id\":\"ADV-', l_orderkey, '-', l_linenumber, '\",\"summary\":\"Flaw in ', p_name, "
+        "'\",\"database_specific\":{\"severity\":\"', CASE l_returnflag WHEN 'A' THEN 'critical' ELSE '' END, "
+        "'\"},\"affected\":[{\"package\":{\"ecosystem\":\"', CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'other' END, "
+        f"'\",\"name\":\"@parts/', {PACKAGE_NAME}, '\"}},\"ranges\":[{{\"type\":\"', "
+        f"CASE WHEN l_orderkey % 5 = 3 THEN 'GIT' ELSE 'ECOSYSTEM' END, '\",\"events\":[', {events}, ']}}]}}]}}') AS text")
+
+
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as system-call log lines of one run per user."""
     return table(spark, sf_dir, "events").selectExpr(

@@ -33,6 +33,8 @@ class ScanInputs:
     popular: tuple = C.POPULAR_PACKAGES
     as_of: Column | None = None
     extra: tuple[Analyzer, ...] = ()
+    #: Intervals of affected versions (``packages.advisory_ranges``), beside the versions that ``advisories`` lists.
+    advisory_ranges: DataFrame | None = None
 
 
 def tool_facts(tools: DataFrame, rules=C.INJECTION_RULES) -> DataFrame:
@@ -65,7 +67,7 @@ def scan_findings(inputs: ScanInputs, facts: DataFrame | None = None) -> DataFra
     if inputs.specs is not None:
         parts.append(supply.supply_chain(inputs.specs, inputs.packages, inputs.advisories,
                                          F.current_timestamp() if inputs.as_of is None else inputs.as_of,
-                                         inputs.popular))
+                                         inputs.popular, inputs.advisory_ranges))
     if inputs.endpoints is not None:
         parts.append(posture.posture_findings(inputs.endpoints))
     if inputs.baseline is not None:

@@ -70,3 +70,18 @@ def test_arrival_cells(spark):
         want[scan] = newest[server][1] if server in newest else None
         newest[server] = max(newest.get(server, (at, scan)), (at, scan))
     assert got == want
+
+
+def test_no_event_is_too_late_for_the_rate(spark, tmp_path):
+    """Events months behind the newest one, in later micro-batches, are counted."""
+    from toolwarden.streaming import rates
+
+    root, schema = str(tmp_path), "detected_at timestamp, severity string"
+    for month, n in ((7, 3), (7, 2), (2, 4)):
+        rows = [(dt.datetime(2026, month, 5, h), "high") for h in range(n)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        events = spark.readStream.schema(schema).parquet(f"{root}/in")
+        rates.drift_rate_stream(events, root, f"{root}/checkpoint").awaitTermination()
+    assert {(r.day.month, r.events) for r in rates.read_daily(spark, root).collect()} == {(7, 5), (2, 4)}
+    sums = rates.rolling(rates.read_daily(spark, root)).collect()
+    assert len(sums) == 60 and {r.events for r in sums} == {5, 4}

@@ -51,17 +51,9 @@ def drift_stream(spark, sf):
   SELECT epoch_us(s) AS start, epoch_us(s + INTERVAL 30 DAYS) AS "end", severity, CAST(sum(events) AS BIGINT) AS events
   FROM starts GROUP BY 1, 2, 3""")
 def drift_rate_30d(spark, sf):
-    """Daily counts through a watermarked stream, then 30-day sums."""
+    """Daily counts of each micro-batch of a stream, then 30-day sums."""
     root = shared_dir(spark, "drift-rate")
     B.index_events(spark, sf).write.parquet(f"{root}/events")
     events = spark.readStream.schema(spark.read.parquet(f"{root}/events").schema).parquet(f"{root}/events")
-
-    def store(frame, batch):
-        frame.write.mode("overwrite").parquet(f"{root}/daily/batch={batch}")
-
-    (rates.drift_rate_30d(events).writeStream.outputMode("update").foreachBatch(store)
-     .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    # In update mode the newest batch of a day holds its count.
-    daily = (spark.read.option("basePath", f"{root}/daily").parquet(f"{root}/daily").groupBy("day", "severity")
-             .agg(F.max_by("events", "batch").alias("events")))
-    return rates.rolling(daily)
+    rates.drift_rate_stream(events, root, f"{root}/checkpoint").awaitTermination()
+    return rates.rolling(rates.read_daily(spark, root))

@@ -108,9 +108,10 @@ def listings(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, Dat
     """Server headers and resource / prompt keys of both versions, from documents."""
     docs = table(spark, sf_dir, "documents")
     scan = "doc_id - doc_id % 4 AS scan_id"
-    one = docs.where("doc_id % 4 = 0")
-    servers = (one.selectExpr(scan, "source AS server_name", "concat('1.', doc_id % 3) AS server_version"),
-               one.selectExpr(scan, "source AS server_name", "concat('1.', doc_id % 2) AS server_version"))
+    # The first document of a scan, whichever it is, gives its header.
+    headers = docs.selectExpr(scan, "doc_id", "source").groupBy("scan_id").agg(F.min(F.struct("doc_id", "source")).alias("h"))
+    servers = tuple(headers.selectExpr("scan_id", "h.source AS server_name", f"concat('1.', h.doc_id % {n}) AS server_version")
+                    for n in (3, 2))
     resources = (docs.selectExpr(scan, "concat(lang, '://', doc_id % 3) AS uri"),
                  docs.selectExpr(scan, "concat(lang, '://', doc_id % 5) AS uri"))
     prompts = (docs.selectExpr(scan, "concat('p', doc_id % 3) AS name"),

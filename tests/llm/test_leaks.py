@@ -68,3 +68,24 @@ def test_radius_is_complete():
     apart = np.bitwise_count(windows[:, None] ^ index["prints"][None]).sum(axis=2)
     want = {tuple(map(int, x)) for x in np.argwhere(apart <= D.RADIUS)}
     assert set(zip(*(x.tolist() for x in D._near(windows, index)))) == want
+
+
+def test_texts_shorter_than_their_item(spark, docs_df):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 60, 25, 9, 5, 3))]
+    rows = [(100 * k + 10 * cut + side, " ".join(t.split()[cut if side else 0:len(t.split()) - (0 if side else cut)]))
+            for k, t in items for cut in (1, 2, 4, 7) for side in (0, 1)]
+    grams = lambda w, n: [tuple(w[j:j + n]) for j in range(len(w) - n + 1)]
+    want = set()
+    for i, t in rows:
+        for k, x in items:
+            w, v = brute.words(t), brute.words(x)
+            a, b = grams(w, min(5, len(v))), grams(v, min(5, len(v)))
+            shared = sum(min(a.count(g), b.count(g)) for g in set(a))
+            if len(w) < len(v) and shared and shared >= 0.8 * (len(a) + len(b) - shared):
+                want.add((i, k, len(w)))
+    assert len(want) > 12
+    df, bench = docs_df(rows), spark.createDataFrame(items, ITEMS)
+    assert {(r.doc_id, r.item_id, r.words) for r in D.leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in D.decontaminated(df, bench).collect()} == {i for i, _ in rows} - {i for i, _, _ in want}

@@ -9,7 +9,7 @@ Fingerprints within RADIUS of an item's are found without exception: of BLOCKS b
 fingerprint at least one then differs in at most RADIUS // BLOCKS bits, and every item is listed
 under all values that near.  Candidates are verified by the weighted Jaccard similarity of their
 shingles, a shingle's weight being how often it occurs.  Nothing is shuffled, and texts never
-leave their task.
+leave their task.  A text of fewer words than an item is one window as a whole.
 """
 
 from __future__ import annotations
@@ -114,9 +114,9 @@ def _enough(hit: np.ndarray, length: int, size: int, similarity_: float) -> np.n
     return np.flatnonzero(total[wide:] - total[:-wide] >= np.ceil(similarity_ * wide - 1e-9))
 
 
-def _matches(value: np.ndarray, index: dict, similarity_: float) -> list[tuple[int, int, float]]:
-    """(item, start, similarity) of the best verified window of each item in one text's words."""
-    best: dict[int, tuple[float, int]] = {}
+def _matches(value: np.ndarray, index: dict, similarity_: float) -> list[tuple[int, int, int, float]]:
+    """(item, start, words, similarity) of the best verified window of each item in one text's words."""
+    best: dict[int, tuple[float, int, int]] = {}
     hits = {}
     for size, known in index["known"].items():
         _, own = arrays.grams(value, np.zeros(len(value), np.int64), size)
@@ -129,19 +129,24 @@ def _matches(value: np.ndarray, index: dict, similarity_: float) -> list[tuple[i
     for length in np.unique(index["lengths"]).tolist():
         size = min(length, arrays.SHINGLE)
         hit, own = hits[size]
-        start = _enough(hit, length, size, similarity_)
+        # A shorter text is compared as a whole.
+        wide = min(length, len(value))
+        if wide == length:
+            start = _enough(hit, length, size, similarity_)
+        else:
+            start = np.zeros(int(hit.sum() >= np.ceil(similarity_ * (length - size + 1) - 1e-9)), np.int64)
         if not start.size:
             continue
         if votes is None:
             votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_votes(value), axis=0, dtype=np.int32)])
-        window, item = _near(_fingerprint(votes[start + length] - votes[start]), index)
+        window, item = _near(_fingerprint(votes[start + wide] - votes[start]), index)
         for w, i in zip(window.tolist(), item.tolist()):
             if index["lengths"][i] == length:
                 first = int(start[w])
-                s = similarity(own[first:first + length - size + 1], index["shingles"][i])
-                if s >= similarity_ and s > best.get(i, (0, 0))[0]:
-                    best[i] = (s, first)
-    return [(index["ids"][i], first, s) for i, (s, first) in best.items()]
+                s = similarity(own[first:first + wide - size + 1], index["shingles"][i])
+                if s >= similarity_ and s > best.get(i, (0, 0, 0))[0]:
+                    best[i] = (s, first, wide)
+    return [(index["ids"][i], first, words, s) for i, (s, first, words) in best.items()]
 
 
 def _candidates(found: arrays.Words, rows: int, index: dict, similarity_: float) -> np.ndarray:
@@ -160,7 +165,7 @@ def _candidates(found: arrays.Words, rows: int, index: dict, similarity_: float)
     return np.flatnonzero(some)
 
 
-def _row_matches(texts: pa.Array, index: dict, similarity_: float) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+def _row_matches(texts: pa.Array, index: dict, similarity_: float) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
     """The rows of a column that match an item, with their matches."""
     offsets, data = arrays.utf8(texts)
     for low, high in arrays.pieces(offsets):
@@ -181,11 +186,10 @@ def matches(docs: DataFrame, items: list[tuple[int, str | None]], radius: int =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        sizes = dict(zip(index["ids"], index["lengths"].tolist()))
         for batch in batches:
             ids = batch.column(0)
-            out = [(ids[row].as_py(), i, first, sizes[i], s)
-                   for row, found in _row_matches(batch.column(1), index, similarity_) for i, first, s in found]
+            out = [(ids[row].as_py(), i, first, words, s)
+                   for row, found in _row_matches(batch.column(1), index, similarity_) for i, first, words, s in found]
             columns = list(zip(*out)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])],
                                   names=["doc_id", "item_id", "start", "words", "similarity"])
@@ -199,6 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarit
 
     An item matches where a window of as many words has five-word shingles of weighted Jaccard
     similarity ``similarity_`` or more (an item of fewer words: where its words stand in order).
+    A text of fewer words than the item matches if the whole of it is as similar.
     Items and documents that are null, empty or without words match nothing; repeated documents
     and repeated items match each for themselves, null ids included.
     """

@@ -129,7 +129,8 @@ def unfolded(text: Column) -> Column:
 
 def lowered(text: Column) -> Column:
     """Lower case in which U+0130 is a plain ``i``, one character."""
-    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+    plain = F.when(text.contains("\u0130"), F.replace(text, F.lit("\u0130"), F.lit("i"))).otherwise(text)
+    return F.lower(plain)
 
 
 def matches(text: Column, pattern: str) -> Column:

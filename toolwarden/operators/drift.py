@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.jsontext import canonical_json, nfc
-from ..functions.regex import matches
+from ..functions import detect
+from ..functions.jsontext import canonical_json, nfc, schema_property_names
+from ..functions.regex import lowered, matches
 from ..functions.rows import unnest
-from .capability import classify_tools
 from .findings import explode_findings, finding
 from .ranking import previous_within
 
@@ -22,41 +24,78 @@ def steering_gained(before: Column, after: Column, pattern: str = C.STEERING_FIN
     return matches(after, pattern) & ~matches(before, pattern)
 
 
-def normalize_tools(tools: DataFrame) -> DataFrame:
-    """NFC names and descriptions, canonical schemas."""
-    return (tools.withColumn("name", nfc(F.col("name"))).withColumn("description", nfc(F.col("description")))
-            .withColumn("input_schema", canonical_json(F.col("input_schema"))))
+def tool_keys(tools: DataFrame, source: int = 0) -> DataFrame:
+    """What finds changed tools: (scan_id, name, k), k with hashes of the texts and where they stand.
+
+    One row per scan and NFC name; the highest position wins.  Hashes are of the texts as they
+    are, so nothing is decoded, normalised or searched here, and no text is shuffled.
+    """
+    digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")), 256)
+    key = F.struct(F.lit(source).alias("source"), F.col("scan_id").alias("own"), "pos",
+                   digest("description").alias("text"), digest("input_schema").alias("schema"))
+    named = tools.select("scan_id", F.coalesce(nfc(F.col("name")), F.lit("")).alias("name"), key.alias("k"))
+    return named.groupBy("scan_id", "name").agg(F.max_by("k", "k.pos").alias("k"))
 
 
-def tool_index(tools: DataFrame, texts: bool = True, classes: bool = True) -> DataFrame:
-    """One row per (scan_id, name) with what a comparison needs; the highest position wins.
+def changed_tools(base: DataFrame, cur: DataFrame) -> DataFrame:
+    """Tools that only one side has, or whose texts hash differently: (scan_id, name, b, c, reworded, reshaped)."""
+    both = base.withColumnRenamed("k", "b").join(cur.withColumnRenamed("k", "c"), ["scan_id", "name"], "full")
+    b, c = F.col("b"), F.col("c")
+    present = b.isNotNull() & c.isNotNull()
+    rows = both.select("scan_id", "name", "b", "c", (present & (b["text"] != c["text"])).alias("reworded"),
+                       (present & (b["schema"] != c["schema"])).alias("reshaped"))
+    return rows.where(~present | F.col("reworded") | F.col("reshaped"))
 
-    With ``texts=False`` descriptions and schemas are replaced by their SHA-256, so a
-    registry-wide comparison shuffles about a hundred bytes per tool instead of whole
-    texts; every severity still comes out the same, as the facts it depends on are
-    computed here.
+
+def _facts(changed: DataFrame, sources: list[DataFrame], texts: bool, classes: bool) -> DataFrame:
+    """The texts of changed tools, read where they stand, as facts of the older (role 0) and newer (1) tool.
+
+    Only here are texts moved, and only what a change needs is worked out: descriptions where
+    they were reworded, canonical schemas and capability classes where the schema was.
     """
-    rows = normalize_tools(tools)
-    if classes:
-        rows = classify_tools(rows)
-    text, schema = F.col("description"), F.coalesce("input_schema", F.lit(""))
-    keep = (lambda c: c) if texts else (lambda c: F.sha2(c, 256))
-    facts = [keep(text).alias("text"), keep(schema).alias("schema"), F.octet_length(text).alias("bytes"),
-             matches(text, C.STEERING_FINDING).alias("steers"),
-             matches(text, C.STEERING_EVENT).alias("event_steers"),
-             (F.col("classes") if classes else F.array().cast("array<string>")).alias("classes")]
-    # Facts first, then the aggregate: only the narrow row is shuffled.
-    narrow = rows.select("scan_id", "name", "pos", F.struct(*facts).alias("f"))
-    return narrow.groupBy("scan_id", "name").agg(F.max_by("f", "pos").alias("f"))
-
-
-def _tool_changes(base: DataFrame, cur: DataFrame, texts: bool) -> DataFrame:
-    old, new = base.withColumnRenamed("f", "b"), cur.withColumnRenamed("f", "c")
-    both = old.join(new, ["scan_id", "name"], "full")
     b, c = F.col("b"), F.col("c")
+
+    def side(role: int, key: Column, worded: Column) -> Column:
+        return F.when(key.isNotNull(), F.struct(F.lit(role).alias("role"), key["source"].alias("source"), key["own"].alias("own"),
+                                                key["pos"].alias("pos"), worded.alias("worded")))
+
+    added = b.isNull() if texts else F.lit(False)
+    sides = F.array(side(0, b, F.col("reworded")), side(1, c, F.col("reworded") | added))
+    needs = unnest(changed, ["scan_id", "name", "reshaped"], sides, "s").select("scan_id", "name", "reshaped", "s.*")
+    stored = [t.select(F.lit(i).alias("source"), F.col("scan_id").alias("own"), "pos", "description", "input_schema")
+              for i, t in enumerate(sources)]
+    rows = needs.join(reduce(DataFrame.unionByName, stored), ["source", "own", "pos"])
+    told, shaped = F.col("worded") | F.col("reshaped"), F.col("reshaped")
+    rows = (rows.withColumn("description", nfc(F.when(told, F.coalesce("description", F.lit("")))))
+            .withColumn("input_schema", F.when(shaped, F.coalesce(canonical_json(F.when(shaped, F.col("input_schema"))), F.lit("")))))
+    found = F.array().cast("array<string>")
+    if classes:
+        rows = rows.withColumn("_lower", lowered(F.when(shaped, F.concat("name", F.lit("\n"), "description"))))
+        rows = rows.withColumn("_properties", schema_property_names(
+            F.col("input_schema"), shaped & detect.schema_matters(F.col("input_schema"))))
+        found = F.when(shaped, detect.capability_classes(F.col("_lower"), F.col("_properties")))
+    text = F.when(F.col("worded"), F.col("description"))
+    keep = (lambda x: x) if texts else (lambda x: F.sha2(x, 256))
+    return rows.select("scan_id", "name", "role", keep(text).alias("text"), keep(F.col("input_schema")).alias("schema"),
+                       F.octet_length(text).alias("bytes"), matches(text, C.STEERING_FINDING).alias("steers"),
+                       matches(text, C.STEERING_EVENT).alias("event_steers"), found.alias("classes"))
+
+
+def _tool_changes(base: DataFrame, cur: DataFrame, sources: list[DataFrame], texts: bool, classes: bool = True) -> DataFrame:
+    """Changes between keyed tools, in two phases: hashes first, then the texts of what differs.
+
+    ``sources`` are the tables that the keys' texts stand in.  Tools that hash differently may
+    still be equal, as text in another normal form or schemas in another order.
+    """
+    facts = _facts(changed_tools(base, cur), sources, texts, classes)
+    names = ("text", "schema", "bytes", "steers", "event_steers", "classes")
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    both = facts.groupBy("scan_id", "name").agg(
+        F.bool_or(F.col("role") == 0).alias("was"), F.bool_or(F.col("role") == 1).alias("is"),
+        *[of(0, c).alias(f"old_{c}") for c in names], *[of(1, c).alias(f"new_{c}") for c in names])
+    old, new = ({c: F.col(f"{side}_{c}") for c in names} for side in ("old", "new"))
     null = F.lit(None).cast("string")
-    none = F.array().cast("array<string>")
-    no = F.lit(False)
+    no, none = F.lit(False), F.array().cast("array<string>")
 
     def change(kind, before=null, after=null, steered=no, event=no, shorter=no, added=none) -> Column:
         return F.struct(
@@ -65,16 +104,16 @@ def _tool_changes(base: DataFrame, cur: DataFrame, texts: bool) -> DataFrame:
             steered.alias("steered"), event.alias("event_steered"), shorter.alias("shorter"),
             added.alias("added_classes"))
 
-    present = b.isNotNull() & c.isNotNull()
+    present = F.col("was") & F.col("is")
     hits = F.array(
-        F.when(b.isNull(), change("tool_added", after=c["text"])),
-        F.when(c.isNull(), change("tool_removed")),
-        F.when(present & ~b["text"].eqNullSafe(c["text"]), change(
-            "tool_description_changed", b["text"], c["text"], c["steers"] & ~b["steers"],
-            c["event_steers"] & ~b["event_steers"], c["bytes"] < b["bytes"])),
-        F.when(present & ~b["schema"].eqNullSafe(c["schema"]), change(
-            "tool_schema_changed", b["schema"], c["schema"],
-            added=F.array_except(c["classes"], b["classes"]))),
+        F.when(~F.col("was"), change("tool_added", after=new["text"])),
+        F.when(~F.col("is"), change("tool_removed")),
+        F.when(present & ~old["text"].eqNullSafe(new["text"]), change(
+            "tool_description_changed", old["text"], new["text"], new["steers"] & ~old["steers"],
+            new["event_steers"] & ~old["event_steers"], new["bytes"] < old["bytes"])),
+        F.when(present & ~old["schema"].eqNullSafe(new["schema"]), change(
+            "tool_schema_changed", old["schema"], new["schema"],
+            added=F.array_except(new["classes"], old["classes"]))),
     )
     return unnest(both, ["scan_id"], hits, "x").select("scan_id", "x.*")
 
@@ -113,20 +152,26 @@ def version_changed(base: DataFrame, cur: DataFrame) -> DataFrame:
 
 def tool_diff(base_tools: DataFrame, cur_tools: DataFrame, texts: bool = True,
               classes: bool = True) -> DataFrame:
-    """Tool changes of every pair; both sides carry the pair's ``scan_id``."""
-    return _tool_changes(tool_index(base_tools, texts, classes), tool_index(cur_tools, texts, classes), texts)
+    """Tool changes of every pair; both sides carry the pair's ``scan_id``.
+
+    With ``texts=False`` the changes carry no texts, and texts go into no later shuffle; every
+    severity still comes out the same.
+    """
+    return _tool_changes(tool_keys(base_tools), tool_keys(cur_tools, 1), [base_tools, cur_tools], texts, classes)
 
 
 def manifest_diff(base: dict[str, DataFrame], cur: dict[str, DataFrame], texts: bool = True) -> DataFrame:
     """All changes between two captures per ``scan_id``.
 
-    ``base`` and ``cur`` are dicts of tables: ``tools`` (or ``tool_index``, made from them)
-    and, if there are any, ``servers``, ``resources``, ``prompts``.  Pairs must exist on
-    both sides: leave out captures without a baseline.
+    ``base`` and ``cur`` are dicts of tables: ``tools`` and, if there are any, ``servers``,
+    ``resources``, ``prompts``.  Pairs must exist on both sides: leave out captures without a
+    baseline.
     """
-    old, new = (side["tool_index"] if "tool_index" in side else tool_index(side["tools"], texts)
-                for side in (base, cur))
-    changes = _tool_changes(old, new, texts)
+    return _with_lists(tool_diff(base["tools"], cur["tools"], texts), base, cur)
+
+
+def _with_lists(changes: DataFrame, base: dict[str, DataFrame], cur: dict[str, DataFrame]) -> DataFrame:
+    """Tool changes with those of the server's header, resources and prompts, where there are tables of them."""
     if "servers" in base:
         changes = changes.unionByName(_plain(version_changed(base["servers"], cur["servers"])))
     if "resources" in base:
@@ -216,16 +261,15 @@ def drift_events(scans: DataFrame, tables: dict[str, DataFrame], texts: bool = T
 def pair_changes(pairs: DataFrame, tables: dict[str, DataFrame], texts: bool = True) -> DataFrame:
     """Changes of all pairs between captures of the same tables.
 
-    Most captures are the newer side of one pair and the older side of the next.  Tools
-    are reduced to their facts before they take either role, so Spark shuffles that
-    result once and reads it twice, and no text is analyzed twice.
+    Most captures are the newer side of one pair and the older side of the next.  Tools are
+    hashed before they take either role, and the texts are read for changed tools only.
     """
     tables = dict(tables)
-    tables["tool_index"] = tool_index(tables.pop("tools"), texts)
+    tools = tables.pop("tools")
     base, cur = {}, {}
-    for name, table in tables.items():
+    for name, table in {**tables, "keys": tool_keys(tools)}.items():
         base[name], cur[name] = for_pairs(table, pairs)
-    return manifest_diff(base, cur, texts)
+    return _with_lists(_tool_changes(base["keys"], cur["keys"], [tools], texts), base, cur)
 
 
 def events_of(changes: DataFrame, pairs: DataFrame) -> DataFrame:

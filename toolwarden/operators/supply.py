@@ -147,7 +147,7 @@ def in_range(version: Column, introduced: Column, fixed: Column, last: Column) -
 
 
 def known_cve(joined: DataFrame, advisories: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """One finding per advisory that names the package version or has a range around it.
+    """One finding per scan and advisory id that names the package version or has a range around it.
 
     Advisories meet distinct package versions first and fan out to scans after, so a package
     that many servers share is matched once.  They carry no tool, so all of a server's
@@ -162,9 +162,12 @@ def known_cve(joined: DataFrame, advisories: DataFrame, ranges: DataFrame | None
     if ranges is not None:
         key = lambda c: version_key(F.col("ecosystem"), F.col(c))
         inside = in_range(key("version"), F.when(F.col("introduced") != "0", key("introduced")), key("fixed"), key("last_affected"))
-        hits = hits.unionByName(versions.join(ranges, ["ecosystem", "name"]).where(inside).select(*columns)).distinct()
-    word = F.upper(F.coalesce(F.col("osv_severity"), F.lit("")))
-    level = F.when(word.isin("CRITICAL", "HIGH"), F.lit("high")).otherwise(F.lit("medium"))
+        hits = hits.unionByName(versions.join(ranges, ["ecosystem", "name"]).where(inside).select(*columns))
+    # An id is one finding of a package version, however often and by whatever it matches; the worst severity counts.
+    severe = F.upper(F.coalesce(F.col("osv_severity"), F.lit(""))).isin("CRITICAL", "HIGH")
+    worst = F.min(F.struct((~severe).alias("mild"), F.col("osv_severity"), F.col("summary")))
+    hits = hits.groupBy(*package, "id").agg(worst.alias("w")).select(*package, "id", "w.*")
+    level = F.when(F.col("mild"), F.lit("medium")).otherwise(F.lit("high"))
     return explode_findings(found.join(hits, package), finding(
         "supplychain.known_cve", F.lit(_CVE_SEQ), severity=level, title=(F.col("id"),),
         detail=T.trim_space(F.coalesce(F.col("summary"), F.lit(""))), remediation=(F.col("id"),),

@@ -361,9 +361,9 @@ for _name, (_seq, _detail, _from) in _PACKAGE_CHECKS.items():
 
 
 @query("known_cve", f"""WITH {K.SPECS},
-  hits AS (SELECT scan_id, 'ADV-' || l_orderkey || '-' || l_linenumber AS id, 'Flaw in ' || p_name AS summary,
-    CASE WHEN l_returnflag = 'A' THEN 'high' ELSE 'medium' END AS level
-    FROM known JOIN lineitem ON l_partkey = p_partkey)
+  hits AS (SELECT scan_id, 'ADV-' || l_orderkey || '-' || l_linenumber AS id, min('Flaw in ' || p_name) AS summary,
+    CASE WHEN bool_or(l_returnflag = 'A') THEN 'high' ELSE 'medium' END AS level
+    FROM known JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2)
   SELECT scan_id, {K.finding("supplychain.known_cve", "10", severity="level", title=("id",), detail_sql="summary",
                              remediation=("id",))} FROM hits""")
 def known_cve(spark, sf):
@@ -379,10 +379,10 @@ _RANGED = """ranged AS (SELECT 'ADV-' || l_orderkey || '-' || l_linenumber AS id
 
 
 @query("known_cve_ranges", f"""WITH {K.SPECS}, {_RANGED},
-  hits AS (SELECT scan_id, id, summary, CASE WHEN severity = 'critical' THEN 'high' ELSE 'medium' END AS level
+  hits AS (SELECT scan_id, id, min(summary) AS summary, CASE WHEN bool_or(severity = 'critical') THEN 'high' ELSE 'medium' END AS level
     FROM known k JOIN ranged r ON k.name = r.name AND k.ecosystem = r.ecosystem
     WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN k.p_partkey > part WHEN 2 THEN k.p_partkey = part
-          WHEN 3 THEN false ELSE k.p_partkey <= part END)
+          WHEN 3 THEN false ELSE k.p_partkey <= part END GROUP BY 1, 2)
   SELECT scan_id, {K.finding("supplychain.known_cve", "10", severity="level", title=("id",), detail_sql="summary",
                              remediation=("id",))} FROM hits""")
 def known_cve_ranges(spark, sf):

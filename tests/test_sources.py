@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from toolwarden import constants as C
 from toolwarden.functions import targets as T
-from toolwarden.sources import baselines, discovery, packages, rules, store, traces
+from toolwarden.sources import baselines, discovery, packages, rules, traces
 
 PAGES = [
     {"servers": [
@@ -109,22 +109,3 @@ def test_rule_files(spark, tmp_path):
 
 def test_absent_baselines_are_empty(spark, tmp_path):
     assert baselines.read_baselines(spark, str(tmp_path / "none")).count() == 0
-
-
-def test_store_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "store")
-    scans = spark.createDataFrame([(1, 10)], "id bigint, server_id bigint")
-    found = spark.createDataFrame([(1, "a", "r", "low", "t", None, "", None, None)],
-                                  "scan_id bigint, analyzer string, rule_id string, severity string, title string, "
-                                  "detail string, tool string, remediation string, meta string")
-    defs = spark.createDataFrame([(1, "x", "d", "", 3)], "scan_id bigint, name string, description string, "
-                                                         "input_schema string, tokens int")
-    for batch in ("a", "b", "b"):
-        store.record_scans(path, batch, scans, found, store.tool_definitions(defs))
-    assert store.read_table(spark, path, "scans").count() == 2
-    row = store.read_table(spark, path, "findings").first()
-    assert row.tool_name is None and json.loads(row.detail_json) == {"detail": "", "remediation": ""}
-    tool = store.read_table(spark, path, "tool_defs").first()
-    assert tool.schema_json is None and tool.token_count_by_model_json == '{"representative":3}'
-    with pytest.raises(ValueError):
-        store.read_table(spark, path, "other")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import detect
 from ..functions.jsontext import canonical_json, nfc, schema_property_names
-from ..functions.regex import lowered, matches
+from ..functions.regex import lowered, matches, matches_hinted
 from ..functions.rows import unnest
 from .findings import explode_findings, finding
 from .ranking import previous_within
@@ -75,10 +75,12 @@ def _facts(changed: DataFrame, sources: list[DataFrame], texts: bool, classes: b
             F.col("input_schema"), shaped & detect.schema_matters(F.col("input_schema"))))
         found = F.when(shaped, detect.capability_classes(F.col("_lower"), F.col("_properties")))
     text = F.when(F.col("worded"), F.col("description"))
+    rows = rows.withColumn("_told", lowered(text))
+    steers = lambda pattern: matches_hinted(text, F.col("_told"), [pattern])
     keep = (lambda x: x) if texts else (lambda x: F.sha2(x, 256))
     return rows.select("scan_id", "name", "role", keep(text).alias("text"), keep(F.col("input_schema")).alias("schema"),
-                       F.octet_length(text).alias("bytes"), matches(text, C.STEERING_FINDING).alias("steers"),
-                       matches(text, C.STEERING_EVENT).alias("event_steers"), found.alias("classes"))
+                       F.octet_length(text).alias("bytes"), steers(C.STEERING_FINDING).alias("steers"),
+                       steers(C.STEERING_EVENT).alias("event_steers"), found.alias("classes"))
 
 
 def _tool_changes(base: DataFrame, cur: DataFrame, sources: list[DataFrame], texts: bool, classes: bool = True) -> DataFrame:

@@ -141,6 +141,19 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'\",\"description\":\"', lang, '\"}]}') END AS prompts_list")
 
 
+def capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One capture per document, of the server its source is: the document as a tool, and one named by its language."""
+    text = f"substring(to_json(named_struct('v', concat(text, {PHRASE_CASE}))), 6)"
+    none = "CAST(NULL AS STRING)"
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS scan_id", "'http' AS source", "concat('http://', source) AS identifier",
+        "timestamp_seconds(1704067200 + (doc_id - doc_id % 3) * 1200) AS scanned_at",
+        "concat('{\"protocolVersion\":\"2025-06-18\",\"serverInfo\":{\"name\":\"', source, '\",\"version\":\"1.0\"}}') AS initialize",
+        # The JSON of {"v": text} without its first six characters ends in text"}.
+        f"concat('{{\"tools\": [{{\"name\":\"shared\",\"description\":', {text}, ', {{\"name\":\"', lang, '\",\"description\":\"', lang, '\"}}]}}')"
+        " AS tools_list", f"{none} AS resources_list", f"{none} AS prompts_list")
+
+
 SEVERITY_CASE = ("CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' "
                  "WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END")
 

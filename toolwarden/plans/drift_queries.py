@@ -267,7 +267,7 @@ def drift_event_severity(spark, sf):
 
 
 #: Each document is one capture of its source; its tools are the document and one shared tool.
-_HISTORY = f"""
+HISTORY = f"""
   WITH scans AS (SELECT doc_id AS id, source, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id // 3 AS INT)) AS seen FROM documents),
   pairs AS (SELECT id, source, seen, lag(id) OVER (PARTITION BY source ORDER BY seen, id) AS prev FROM scans),
   tools AS (SELECT doc_id AS id, 'shared' AS name, nfc_normalize(text || {B.PHRASE_CASE}) AS text FROM documents
@@ -292,7 +292,7 @@ def history(spark, sf):
     return scans, shared.unionByName(other)
 
 
-@query("drift_events", _HISTORY + f""" SELECT p.prev AS from_scan_id, p.id AS to_scan_id, kind, target,
+@query("drift_events", HISTORY + f""" SELECT p.prev AS from_scan_id, p.id AS to_scan_id, kind, target,
   {_EVENT_SEVERITY} AS severity, epoch_us(p.seen) AS detected_at, length(before) AS before_chars, length(after) AS after_chars
   FROM changes c JOIN pairs p ON p.id = c.id""")
 def drift_events(spark, sf):

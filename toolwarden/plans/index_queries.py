@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.scales import SEVERITY_NAMES
 from ..operators import findings as findings_ops
-from ..operators import index, report, scoring
+from ..operators import cost, index, injection, manifest, report, scoring
 from ..sources import captures, store
 from . import bridge as B
 from . import checks as K
+from . import recording
+from .drift_queries import HISTORY
 from .registry import query
 from .scan import ScanInputs, scan_findings, scan_scorecards, tool_facts
 
@@ -238,33 +240,57 @@ def batch_summary(spark, sf):
     return index.batch_summary(discovery.work_items(B.discovered(spark, sf)))
 
 
-@query("record_scans", f"""WITH findings AS ({K.FINDINGS}), scans AS (SELECT DISTINCT scan_id FROM findings),
-  tools AS ({K.TOOLS})
-  SELECT 'scans' AS stored, count(*) AS row_count, CAST(sum(scan_id) AS BIGINT) AS checksum FROM scans
-  UNION ALL SELECT 'findings', count(*), CAST(sum(scan_id) AS BIGINT) FROM findings
-  UNION ALL SELECT 'tool_defs', count(*), CAST(sum(scan_id) AS BIGINT) FROM tools""")
+_HISTORY_TOOLS = """
+  SELECT scan_id, pos, name, description, doc_id FROM (
+    SELECT doc_id AS scan_id, 0 AS pos, 'shared' AS name, nfc_normalize(text || {phrase}) AS description, doc_id FROM documents
+    UNION ALL SELECT doc_id, 1, lang, lang, doc_id FROM documents)""".format(phrase=B.PHRASE_CASE)
+
+
+def _record_sql() -> str:
+    hits = " UNION ALL ".join(f"SELECT scan_id, '{r['id']}' AS rule_id, '{r['severity']}' AS severity FROM tools "
+                              f"WHERE {K.rule_match(r, 'name || chr(10) || description')}" for r in C.INJECTION_RULES)
+    count = "count(*) AS row_count, CAST(sum({}) AS BIGINT) AS checksum"
+    return HISTORY.replace("tools AS (", "both_tools AS (").replace("JOIN tools t", "JOIN both_tools t") + f""",
+  tools AS ({_HISTORY_TOOLS}), hits AS ({hits}),
+  points AS (SELECT scan_id, sum(penalty) AS points, bool_or(severity = 'critical') AS critical
+    FROM hits JOIN (VALUES {K.SEVERITY_ROWS}) s(name, rank, penalty) ON s.name = severity GROUP BY 1),
+  scored AS (SELECT id, CASE WHEN critical AND points < 61 THEN 39 ELSE greatest(100 - coalesce(points, 0), 0) END AS score
+    FROM scans LEFT JOIN points ON scan_id = id)
+  SELECT 'servers' AS stored, {count.format("epoch(seen)")} FROM (SELECT max(seen) AS seen FROM scans GROUP BY source)
+  UNION ALL SELECT 'scans', {count.format("score + id")} FROM scored
+  UNION ALL SELECT 'findings', {count.format("scan_id")} FROM hits
+  UNION ALL SELECT 'tool_defs', {count.format("scan_id")} FROM tools
+  UNION ALL SELECT 'drift ' || kind, {count.format("p.id + p.prev")} FROM changes c JOIN pairs p ON p.id = c.id GROUP BY kind"""
+
+
+@query("record_scans", _record_sql())
 def record_scans(spark, sf):
-    """Write two batches, the second one twice, and read the store back."""
+    """Captures of each source scanned and recorded in two batches, the second one twice; the store read back."""
     from ..session import shared_dir
     path = shared_dir(spark, "store")
-    scans = B.findings(spark, sf).select(
-        F.col("scan_id").alias("id"), (F.col("scan_id") % 97).alias("server_id"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("scan_id") % 7 * 86400).alias("scanned_at")).distinct()
-    found, tools = B.findings(spark, sf), B.tools(spark, sf)
-    for batch, part in (("b1", 0), ("b2", 1), ("b2", 1)):
-        mine = lambda df, key: df.where(F.pmod(F.col(key), F.lit(2)) == part)
-        store.record_scans(path, batch, mine(scans, "id"), mine(found, "scan_id"),
-                           store.tool_definitions(tool_facts_of(mine(tools, "scan_id"))))
-    rows = []
-    for name, key in (("scans", "id"), ("findings", "scan_id"), ("tool_defs", "scan_id")):
-        rows.append(store.read_table(spark, path, name).agg(
-            F.lit(name).alias("stored"), F.count("*").alias("row_count"), F.sum(key).alias("checksum")))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
-
-
-def tool_facts_of(tools):
-    from ..operators.cost import tool_tokens
-    return tool_tokens(tools)
+    hashed = manifest.manifest_hash(captures.captured(captures.ingest_manifests(B.capture_history(spark, sf))))
+    hashed.write.parquet(f"{path}/staged")
+    manifests = spark.read.parquet(f"{path}/staged")
+    middle = manifests.agg(F.expr("percentile_approx(scan_id, 0.5, 10000)").alias("m")).first()["m"]
+    for batch, mine in (("b1", F.col("scan_id") <= middle), ("b2", F.col("scan_id") > middle), ("b2", F.col("scan_id") > middle)):
+        part = manifests.where(mine)
+        tools = captures.tools_table(part)
+        found = injection.rule_findings(tools)
+        cards = scoring.scorecards(found, part).select("scan_id", "score", "grade")
+        scans = part.join(cards, "scan_id").select(
+            "scan_id", "source", "identifier", F.lit("").alias("canonical_url"), F.lit("official").alias("registry"),
+            F.col("server_version").alias("version"), "scanned_at", "score", "grade", "manifest_hash",
+            F.col("canonical").alias("manifest_json"))
+        recording.record_scans(spark, path, batch, recording.Reports(scans, found, cost.tool_tokens(tools), "0.1.0"))
+    get = lambda name: store.read_table(spark, path, name)
+    counted = lambda rows, name, key: rows.agg(
+        F.lit(name).alias("stored"), F.count("*").alias("row_count"), F.sum(key).cast("bigint").alias("checksum"))
+    kinds = get("drift_events").groupBy(F.concat(F.lit("drift "), "kind").alias("stored")).agg(
+        F.count("*").alias("row_count"), F.sum(F.col("to_scan_id") + F.col("from_scan_id")).alias("checksum"))
+    return (counted(store.read_servers(spark, path), "servers", F.unix_timestamp("last_seen"))
+            .unionByName(counted(get("scans"), "scans", F.col("score") + F.col("id")))
+            .unionByName(counted(get("findings"), "findings", F.col("scan_id")))
+            .unionByName(counted(get("tool_defs"), "tool_defs", F.col("scan_id"))).unionByName(kinds))
 
 
 # --- reports ----------------------------------------------------------------------

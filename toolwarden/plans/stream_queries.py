@@ -9,7 +9,7 @@ from ..streaming import drift_stream as stream
 from ..streaming import rates
 from . import bridge as B
 from . import checks as K
-from .drift_queries import _EVENT_SEVERITY, _HISTORY, history
+from .drift_queries import _EVENT_SEVERITY, HISTORY, history
 from .registry import query
 
 
@@ -24,7 +24,7 @@ def _captures(spark, sf):
         "server_id", "scan_id", "scanned_at", F.col("id").alias("arrival"), F.transform("t", item).alias("tools"))
 
 
-@query("drift_stream", _HISTORY + f""" SELECT p.prev AS from_scan_id, p.id AS to_scan_id, kind, target,
+@query("drift_stream", HISTORY + f""" SELECT p.prev AS from_scan_id, p.id AS to_scan_id, kind, target,
   {_EVENT_SEVERITY} AS severity FROM changes c JOIN pairs p ON p.id = c.id""")
 def drift_stream(spark, sf):
     """Captures arrive as files, three micro-batches in time order; events as recorded."""

@@ -36,8 +36,12 @@ def write_baselines(baselines: DataFrame, path: str) -> None:
 
 def baseline_tables(baselines: DataFrame, scans: DataFrame) -> dict[str, DataFrame]:
     """Baseline side of a diff, keyed by the scans (scan_id, target) it is compared with."""
-    rows = scans.join(baselines.select("target", "manifest"), "target").withColumn(
-        "m", F.from_json("manifest", _MANIFEST))
+    return document_tables(scans.join(baselines.select("target", "manifest"), "target"))
+
+
+def document_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The per-scan tables of recorded manifests (scan_id, manifest)."""
+    rows = rows.withColumn("m", F.from_json("manifest", _MANIFEST))
     tools = unnest(rows.withColumn("t", tools_of(F.col("manifest"))), ["scan_id"], "t", "tool", "pos")
     return {
         "tools": tools.select("scan_id", "pos", "tool.*"),

@@ -50,8 +50,7 @@ def publish(spark: SparkSession, path: str, text: str) -> bool:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), fs.getConf()) if where.toUri().getScheme() \
-        else jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(where).toUri(), fs.getConf())
     none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
         context.rename(context.makeQualified(aside), context.makeQualified(where), none)

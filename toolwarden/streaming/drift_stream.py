@@ -5,36 +5,29 @@ batch, captures of a server count as arriving in ``arrival`` order.  The previou
 capture of a new one is the newest by (scanned_at, scan_id) among all that arrived
 before it, so a late capture is compared with that one and does not become the latest.
 
-State is not kept in executor memory.  The latest header of each server and the tools
-of every capture are tables in the shared folder, split by batch; a batch is written
-under its own id and replaced as a whole when it is run again, so a lost executor or a
-restart changes nothing.  All comparisons are joins and partial aggregates: no server,
-however busy, is handled by one task.
+State is not kept in executor memory.  The newest capture of each server and its tools are two
+tables in the shared folder, dealt over buckets of servers.  A micro-batch reads the buckets of
+the servers that it names and writes these anew; all else it leaves alone, and versions that
+nobody needs any more are removed.  What it wrote becomes visible with one small commit file
+under its own id, so a lost executor, a restart or the same batch again changes nothing.  All
+comparisons are joins and partial aggregates: no server, however busy, is handled by one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from ..functions.rows import unnest
 from ..operators.drift import events_of, pair_changes
+from ..sources import files, store
 
-HEADER = "server_id bigint, scan_id bigint, scanned_at timestamp, batch bigint"
+HEADER = "server_id bigint, scan_id bigint, scanned_at timestamp"
+TOOLS = "server_id bigint, scan_id bigint, pos int, name string, description string, input_schema string"
 #: Captures of one server and batch that are put into one cell of arrival order.
 CELL_WIDTH = 4096
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as err:
-        if err.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
-
-
 def arrival_pairs(captures: DataFrame, known: DataFrame, width: int = CELL_WIDTH) -> DataFrame:
     """Each capture with the newest one that arrived before it.
 
@@ -42,7 +35,7 @@ def arrival_pairs(captures: DataFrame, known: DataFrame, width: int = CELL_WIDTH
     header per server from earlier batches.  A running maximum over arrival order, in two
     levels: inside cells of ``width`` arrivals, and over one maximum per cell.
     """
-    newest = F.struct("scanned_at", "scan_id", "batch")
+    newest = F.struct("scanned_at", "scan_id")
     rows = captures.withColumn("_cell", F.floor(F.col("arrival") / width)).withColumn("_key", newest)
     before = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy("server_id", "_cell").orderBy("arrival", "scan_id").rowsBetween(*before)
@@ -53,39 +46,53 @@ def arrival_pairs(captures: DataFrame, known: DataFrame, width: int = CELL_WIDTH
     previous = F.greatest("_local", "_earlier", "_stored")
     return (rows.withColumn("_local", F.max("_key").over(inside))
             .join(cells, ["server_id", "_cell"]).join(stored, "server_id", "left")
-            .select("server_id", "scan_id", "scanned_at", "batch",
-                    previous["scan_id"].alias("prev_scan_id"), previous["batch"].alias("prev_batch")))
+            .select("server_id", "scan_id", "scanned_at", previous["scan_id"].alias("prev_scan_id")))
 
 
-def process_batch(captures: DataFrame, tools: DataFrame, batch: int, path: str) -> None:
-    """Compare one micro-batch with the store and append it.
+def process_batch(captures: DataFrame, tools: DataFrame, batch: int, path: str, buckets: int = store.BUCKETS) -> None:
+    """Compare one micro-batch with the store and append it; a batch that is there already is left alone.
 
     ``captures`` has (server_id, scan_id, scanned_at, arrival); ``tools`` the tools table
     of the same captures.
     """
     spark = captures.sparkSession
-    tool_schema = "scan_id bigint, pos int, name string, description string, input_schema string, batch bigint"
-    rows = captures.withColumn("batch", F.lit(batch).cast("bigint"))
-    known = _read(spark, f"{path}/latest/version={batch - 1}", HEADER) if batch else spark.createDataFrame([], HEADER)
-
-    tools.write.mode("overwrite").parquet(f"{path}/tools/batch={batch}")
-    arrival_pairs(rows, known).write.mode("overwrite").parquet(f"{path}/pairs/batch={batch}")
-    pairs = spark.read.parquet(f"{path}/pairs/batch={batch}")
-
-    stored = _read(spark, f"{path}/tools", tool_schema)
-    # Only tools of scans a pair names are read: the batches they lie in prune the table.
-    wanted = pairs.where(F.col("prev_scan_id").isNotNull())
-    needed = (wanted.select(F.col("prev_scan_id").alias("scan_id"), F.col("prev_batch").alias("batch"))
-              .unionByName(wanted.select("scan_id", "batch")).distinct())
-    table = stored.join(needed, ["scan_id", "batch"], "left_semi").drop("batch")
-    events = events_of(pair_changes(pairs, {"tools": table}), pairs)
-    events.write.mode("overwrite").parquet(f"{path}/events/batch={batch}")
-
-    latest = (known.unionByName(rows.select("server_id", "scan_id", "scanned_at", "batch"))
-              .groupBy("server_id")
-              .agg(F.max(F.struct("scanned_at", "scan_id", "batch")).alias("m")))
-    latest.select("server_id", "m.scan_id", "m.scanned_at", "m.batch").write.mode("overwrite").parquet(
-        f"{path}/latest/version={batch}")
+    if store.read_commit(spark, path, batch) is not None:
+        return
+    earlier = [n for n in store.commit_numbers(spark, path) if n < batch]
+    known = store.read_commit(spark, path, earlier[-1]) if earlier else None
+    if known is not None:
+        # What the batch before replaced: its readers have moved on by now.
+        for folder in known.replaced:
+            files.remove(spark, folder)
+
+    rows = captures.withColumn("bucket", store.bucket_of(F.col("server_id"), buckets))
+    named = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+    heads = store.read_state(spark, path, "heads", HEADER, known, named)
+    held = store.read_state(spark, path, "newest_tools", TOOLS, known, named)
+
+    work = f"{path}/work/batch={batch}"
+    arrival_pairs(captures, heads).write.mode("overwrite").parquet(f"{work}/pairs")
+    pairs = spark.read.parquet(f"{work}/pairs")
+    # A previous capture is one of this batch or the newest that is stored.
+    own = rows.select("server_id", "scan_id").join(tools, "scan_id").select(*held.columns)
+    every = own.unionByName(held)
+    every.write.mode("overwrite").parquet(f"{work}/tools")
+    every = spark.read.schema(TOOLS).parquet(f"{work}/tools")
+    events = events_of(pair_changes(pairs, {"tools": every.drop("server_id").dropDuplicates(["scan_id", "pos"])}), pairs)
+
+    newest = (heads.unionByName(rows.select(*heads.columns)).groupBy("server_id")
+              .agg(F.max(F.struct("scanned_at", "scan_id")).alias("m")).select("server_id", "m.scan_id", "m.scanned_at")
+              .withColumn("bucket", store.bucket_of(F.col("server_id"), buckets)))
+    versions, replaced = dict(known.versions) if known else {}, []
+    versions["heads"], gone = store.write_state(spark, path, "heads", newest, batch, known, named)
+    replaced += gone
+    newest = spark.read.schema(f"{HEADER}, bucket int").option("basePath", f"{path}/heads/version={batch}").parquet(f"{path}/heads/version={batch}")
+    stay = every.dropDuplicates(["scan_id", "pos"]).join(newest.select("server_id", "scan_id", "bucket"), ["server_id", "scan_id"])
+    versions["newest_tools"], gone = store.write_state(
+        spark, path, "newest_tools", stay.select(*held.columns, "bucket"), batch, known, named)
+    replaced += gone
+    store.publish(spark, path, str(batch), {"drift_events": events}, batch, versions, replaced)
+    files.remove(spark, work)
 
 
 def drift_stream(captures: DataFrame, path: str, checkpoint: str, **trigger):
@@ -110,4 +117,4 @@ def drift_stream(captures: DataFrame, path: str, checkpoint: str, **trigger):
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """All events recorded so far."""
-    return spark.read.parquet(f"{path}/events")
+    return store.read_table(spark, path, "drift_events").drop("day")

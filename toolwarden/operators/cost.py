@@ -26,12 +26,11 @@ def tool_tokens(tools: DataFrame, tokenizer=token_base) -> DataFrame:
             .withColumn("tokens", scale_tokens(F.col("token_base"), C.MODELS[0][3])))
 
 
-def model_cost(tools: DataFrame, scans: DataFrame | None = None) -> DataFrame:
-    """Tokens and price per request for each model.
+def model_costs(tools: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """One row per scan: tool_count, and ``models`` with tokens and price per request of each model.
 
-    Per-tool counts are rounded before they are summed.  One row per scan is
-    shuffled and fanned out to the models only afterwards.  ``scans`` adds zero
-    rows for scans without tools.
+    Per-tool counts are rounded before they are summed.  ``scans`` adds zero rows for scans
+    without tools.
     """
     sums = [F.sum(scale_tokens(F.col("token_base"), factor)).alias(f"t{i}")
             for i, (_, _, _, factor) in enumerate(C.MODELS)]
@@ -43,7 +42,13 @@ def model_cost(tools: DataFrame, scans: DataFrame | None = None) -> DataFrame:
                  F.col(f"t{i}").cast("bigint").alias("tokens"),
                  (F.col(f"t{i}") / F.lit(1_000_000.0) * F.lit(price)).alias("usd_per_request"))
         for i, (name, family, price, _) in enumerate(C.MODELS)])
-    return totals.select("scan_id", "tool_count", F.explode(rows).alias("m")).select("scan_id", "tool_count", "m.*")
+    return totals.select("scan_id", "tool_count", rows.alias("models"))
+
+
+def model_cost(tools: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Tokens and price per request for each model; scans are fanned out to the models last."""
+    return model_costs(tools, scans).select("scan_id", "tool_count", F.explode("models").alias("m")).select(
+        "scan_id", "tool_count", "m.*")
 
 
 def per_tool_tokens(tools: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..sources.documents import fixed, write_document
 
 GRADES = [letter for letter, _ in C.GRADE_FLOORS] + [C.LOWEST_GRADE]
 SUMMARY_COLUMNS = ("id", "source", "identifier", "canonical_url", "registry", "version", "grade", "score",
@@ -145,6 +146,27 @@ def snapshot(summary: DataFrame, stats_row: DataFrame, drift_rows: DataFrame, ge
     return head.unionByName(totals).unionByName(servers).unionByName(board).unionByName(feed)
 
 
+def snapshot_document(rows: DataFrame, path: str) -> None:
+    """The published snapshot as one JSON object, from the rows of ``snapshot``."""
+    sections = ["header", "stats", "servers", "context_cost_leaderboard", "recent_drift"]
+    place = F.array_position(F.array(*[F.lit(x) for x in sections]), F.col("section")) * 2
+    body = F.col("body")
+    inner = F.substring(body, F.lit(2), F.length(body) - 2)
+    # Grades are columns of the statistics and members of one object in the document.
+    total = lambda c: F.get_json_object(body, f"$.{c}").cast("bigint").alias(c)
+    grades = F.struct(*[total(f"grade_{g.lower()}").alias(g) for g in GRADES])
+    statistics = F.to_json(F.struct(total("total_servers"), grades.alias("grade_distribution"), total("servers_with_critical"),
+                                    total("drift_events_30d")))
+    text = F.when(F.col("section") == "header", inner).when(F.col("section") == "stats", statistics).otherwise(body)
+    listed = ~F.col("section").isin("header", "stats")
+    pieces = rows.select(place.cast("int").alias("place"), "ord_a", "ord_b", text.alias("text"), listed.alias("starts"), listed.alias("ends"))
+    between = fixed(rows.sparkSession, {1: "{", 3: ',"stats":', 5: ',"servers":[', 7: '],"context_cost_leaderboard":[',
+                                        9: '],"recent_drift":[', 11: "]}"})
+    zero = F.lit(0).cast("bigint")
+    write_document(pieces.unionByName(between.select("place", zero.alias("ord_a"), zero.alias("ord_b"), "text", "starts", "ends")),
+                   path, ["place", "ord_a", "ord_b"])
+
+
 def batch_summary(outcomes: DataFrame) -> DataFrame:
     """How many targets were scanned and how many failed; ``outcomes`` has ``error`` per target."""
     return outcomes.agg(F.count_if(F.col("error").isNull()).alias("scanned"),

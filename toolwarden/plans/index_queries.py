@@ -8,7 +8,7 @@ from .. import constants as C
 from ..functions.scales import SEVERITY_NAMES
 from ..operators import findings as findings_ops
 from ..operators import cost, index, injection, manifest, report, scoring
-from ..sources import captures, store
+from ..sources import captures, documents, store
 from . import bridge as B
 from . import checks as K
 from . import recording
@@ -335,17 +335,81 @@ def grade_notes(spark, sf):
     return report.grade_notes(B.findings(spark, sf), _cards(spark, sf))
 
 
+def _reports(spark, sf):
+    return report.report_pieces(_targets(spark, sf), _cards(spark, sf), B.findings(spark, sf))
+
+
 @query("report_json", f"""{_SCORES} SELECT c.scan_id, score, grade, CAST(critical + high + medium + low + info AS BIGINT) AS findings
   FROM cards c""")
 def report_json(spark, sf):
-    cards = _cards(spark, sf)
-    headers = _targets(spark, sf)
-    docs = report.report_json(cards, B.findings(spark, sf), headers)
-    item = lambda path: F.get_json_object("report", path)
-    return docs.select("scan_id", item("$.score.score").cast("bigint").alias("score"),
-                       item("$.score.grade").alias("grade"),
-                       F.variant_get(F.parse_json("report"), "$.findings", "array<variant>").alias("f")).select(
-        "scan_id", "score", "grade", F.size("f").cast("bigint").alias("findings"))
+    """The reports of all scans as pieces: findings are pieces of their own, the score is one."""
+    pieces = _reports(spark, sf)
+    scored = F.when(F.col("place") == 6, F.concat(F.lit("{"), F.regexp_extract("text", r'^\],"score":\{(.*),"deductions":\[$', 1), F.lit("}")))
+    item = lambda key: F.get_json_object("scored", f"$.{key}")
+    return pieces.withColumn("scored", scored).groupBy("scan_id").agg(
+        F.max(item("score")).cast("bigint").alias("score"), F.max(item("grade")).alias("grade"),
+        F.count_if(F.col("place") == 5).alias("findings"))
+
+
+_JSON_LINE = "struct<name:string,rule_id:string,severity:string,title:string,tool:string,points:int,identifier:string,token_estimate:bigint>"
+
+
+@query("report_document", f"""WITH findings AS ({K.FINDINGS}), scans AS ({K.SCANS})
+  SELECT 'finding' AS part, rule_id, severity, title, coalesce(tool, '') AS tool, count(*) AS n FROM findings GROUP BY ALL
+  UNION ALL SELECT 'report', '', '', '', '', count(*) FROM scans""")
+def report_document(spark, sf):
+    """All reports as one JSON file, read back in splits."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "reports") + ".json"
+    report.write_reports(_reports(spark, sf), path)
+    lines = documents.read_lines(spark, path)
+    item = F.from_json("text", _JSON_LINE)
+    found = lines.where(F.col("text").startswith('{"analyzer"')).select(item.alias("f")).select(
+        F.lit("finding").alias("part"), "f.rule_id", "f.severity", "f.title", F.coalesce("f.tool", F.lit("")).alias("tool"))
+    opened = lines.where(F.col("text").startswith('{"scan_id"')).select(F.lit("report").alias("part"), *[
+        F.lit("").alias(c) for c in ("rule_id", "severity", "title", "tool")])
+    return found.unionByName(opened).groupBy("part", "rule_id", "severity", "title", "tool").agg(F.count("*").alias("n"))
+
+
+@query("sarif_document", f"""WITH findings AS ({K.FINDINGS}), t AS (SELECT *,
+  CASE WHEN scan_id % 10 <> 0 THEN 'srv-' || scan_id ELSE '' END AS target FROM findings)
+  SELECT rule_id, {_LEVEL} AS level, title || CASE WHEN detail <> '' THEN '. ' || detail ELSE '' END
+      || coalesce(' Fix: ' || remediation, '') AS message,
+    CASE WHEN target <> '' THEN 'mcp-server/' || target ELSE 'mcp-server' END AS uri,
+    target || coalesce('/' || tool, '') AS logical_name FROM t
+  UNION ALL SELECT DISTINCT rule_id, 'rule', '', '', '' FROM findings""")
+def sarif_document(spark, sf):
+    """All findings as one SARIF file, read back in splits."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "sarif") + ".sarif"
+    found = B.findings(spark, sf)
+    report.sarif_document(report.sarif_results(found, _targets(spark, sf)), report.sarif_rules(found), path, "scan", "0.1.0")
+    lines = documents.read_lines(spark, path).where(F.col("text").rlike(r'^\{"(ruleId|id)"'))
+    item = lambda p: F.coalesce(F.get_json_object("text", p), F.lit(""))
+    at = "$.locations[0]"
+    is_rule = F.col("text").startswith('{"id"')
+    return lines.select(F.coalesce(F.get_json_object("text", "$.ruleId"), item("$.id")).alias("rule_id"),
+                        F.when(is_rule, "rule").otherwise(item("$.level")).alias("level"), item("$.message.text").alias("message"),
+                        item(f"{at}.physicalLocation.artifactLocation.uri").alias("uri"),
+                        item(f"{at}.logicalLocations[0].name").alias("logical_name"))
+
+
+@query("snapshot_document", f"""WITH {K.LATEST}, {K.DRIFT_ROWS}, feed AS ({_RECENT}),
+  board AS (SELECT * FROM summary ORDER BY token_estimate DESC, score, id LIMIT 20)
+  SELECT identifier AS name, token_estimate AS value FROM summary UNION ALL SELECT identifier, token_estimate FROM board
+  UNION ALL SELECT server_identifier, NULL FROM feed UNION ALL SELECT 'total', count(*) FROM summary""")
+def snapshot_document(spark, sf):
+    """The snapshot as one JSON file, read back in splits."""
+    from ..session import shared_dir
+    path = shared_dir(spark, "snapshot") + ".json"
+    summary = _summary(spark, sf)
+    servers, events = B.index_servers(spark, sf), B.index_events(spark, sf)
+    index.snapshot_document(index.snapshot(summary, index.stats(summary, events, _as_of()),
+                                           index.recent_drift(events, servers), _as_of(), "0.1.0"), path)
+    item = lambda key: F.get_json_object("text", f"$.{key}")
+    name = F.coalesce(item("identifier"), item("server_identifier"), F.when(item("total_servers").isNotNull(), "total"))
+    return documents.read_lines(spark, path).select(
+        name.alias("name"), F.coalesce(item("token_estimate"), item("total_servers")).cast("bigint").alias("value")).where("name IS NOT NULL")
 
 
 @query("text_hygiene", r"""

@@ -8,7 +8,8 @@ from toolwarden.plans.catalog import CHECKS, QUERIES
 
 from .conftest import DATA
 
-WRITES = {"read_baselines", "record_scans", "read_rules", "drift_stream", "drift_rate_30d"}
+WRITES = {"read_baselines", "record_scans", "read_rules", "drift_stream", "drift_rate_30d", "baseline_documents",
+          "report_document", "sarif_document", "snapshot_document"}
 
 
 def plan(spark, name):
@@ -34,5 +35,36 @@ def test_no_python_where_builtins_do(spark):
         assert "Python" not in plan(spark, name), name
 
 
+def scans(spark, name, folder=DATA):
+    """How often the executed plan of a query, and of what it stores on the way, reads each given table."""
+    import collections
+
+    found = collections.Counter()
+    df = QUERIES[name](spark, DATA)
+    df.write.format("noop").mode("overwrite").save()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    for path in re.findall(r"InMemoryFileIndex\(\d+ paths?\)\[file:([^\],]*)", text):
+        if path.startswith(folder):
+            found[path.rsplit("/", 1)[-1].removesuffix(".parquet")] += 1
+    return found
+
+
+def test_what_is_stored_is_read_once(spark):
+    assert scans(spark, "per_tool_tokens")["conversations"] == 0  # the counts are stored; ranking reads only these
+    assert set(scans(spark, "snapshot")) <= {"events", "customer"} and scans(spark, "snapshot")["customer"] <= 1
+
+
+def test_texts_move_after_changes_are_known(spark):
+    """No exchange of a diff of hashes has a text column before the join that fetches texts."""
+    from toolwarden.operators import drift
+    from toolwarden.plans import bridge
+
+    base, cur = bridge.versions(spark, DATA)
+    plan = drift.changed_tools(drift.tool_keys(base), drift.tool_keys(cur, 1))._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join")[1]
+    above = joined.split("Aggregate")[0]
+    assert "description" not in above and "input_schema" not in above
+
+
 def test_every_check_has_a_query():
     assert set(CHECKS) <= set(QUERIES)

@@ -87,14 +87,37 @@ _CONTROL = r"\x00-\x1f\x7f-\x9f"
 _DIRECTION = r"\x{061c}\x{200e}\x{200f}" + BIDI
 
 
+#: One character of well-formed UTF-8, its bytes read as Latin-1: no overlong form, no surrogate, nothing beyond U+10FFFF.
+_TAIL = r"[\x80-\xbf]"
+_SEQUENCE = "|".join((
+    r"[\x00-\x7f]", rf"[\xc2-\xdf]{_TAIL}", rf"\xe0[\xa0-\xbf]{_TAIL}", rf"[\xe1-\xec\xee\xef]{_TAIL}{{2}}",
+    rf"\xed[\x80-\x9f]{_TAIL}", rf"\xf0[\x90-\xbf]{_TAIL}{{2}}", rf"[\xf1-\xf3]{_TAIL}{{3}}", rf"\xf4[\x80-\x8f]{_TAIL}{{2}}"))
+
+
 def is_hostile(text: Column, keep_lines: bool = False) -> Column:
-    """Does the text carry control or direction characters a terminal would obey?"""
+    """Does the text carry broken bytes, or control or direction characters a terminal would obey?
+
+    ``text`` is a string or the bytes of one.
+    """
     control = r"\x00-\x08\x0b-\x1f\x7f-\x9f" if keep_lines else _CONTROL
-    return text.rlike(f"[{control}{_DIRECTION}]")
+    text = text.cast("string")
+    return ~F.is_valid_utf8(text) | text.rlike(f"[{control}{_DIRECTION}]")
 
 
 def escape_controls(text: Column, keep_lines: bool = False) -> Column:
-    """The text with every control, direction and invalid byte made visible."""
+    """The text with every control, direction and invalid byte made visible.
+
+    ``text`` is a string or the bytes of one; bytes that are no UTF-8 show one by one.
+    """
+    text = text.cast("string")
+    latin = F.decode(text.cast("binary"), "ISO-8859-1")
+    # Whole characters where the bytes are one, single bytes elsewhere.
+    units = F.regexp_extract_all(latin, F.lit(f"(?s){_SEQUENCE}|."), F.lit(0))
+
+    def show_bytes(unit: Column) -> Column:
+        broken = (F.length(unit) == 1) & (F.ascii(unit) >= 0x80)
+        return F.when(broken, F.concat(F.lit("\\x"), _hex(F.ascii(unit), 2))).otherwise(
+            show(F.decode(F.encode(unit, "ISO-8859-1"), "UTF-8")))
 
     def show(char: Column) -> Column:
         code = F.ascii(char)
@@ -105,7 +128,8 @@ def escape_controls(text: Column, keep_lines: bool = False) -> Column:
                                       F.concat(F.lit("\\u"), _hex(code, 4))), char)
 
     shown = F.array_join(F.transform(F.split(text, ""), show), "")
-    return F.when(is_hostile(text, keep_lines), shown).otherwise(text)
+    return (F.when(~F.is_valid_utf8(text), F.array_join(F.transform(units, show_bytes), ""))
+            .when(is_hostile(text, keep_lines), shown).otherwise(text))
 
 
 _CLASS_ORDER = sorted(name for name, _, _ in C.CAPABILITY_WORDS)

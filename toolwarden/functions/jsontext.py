@@ -16,6 +16,7 @@ import unicodedata
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,9 +25,6 @@ from pyspark.sql import types as T
 # Ship the helpers with each task, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TOOLS_TYPE = T.ArrayType(T.StructType([
-    T.StructField(name, T.StringType()) for name in ("name", "description", "input_schema")]))
-
 _SURROGATE = re.compile("[\ud800-\udfff]")
 _SPACES = re.compile(r"[ \t\n\r]*")
 
@@ -47,9 +45,13 @@ def _reader() -> json.JSONDecoder:
     return json.JSONDecoder(parse_float=_finite, parse_int=_finite, parse_constant=_refuse)
 
 
+class _Numeral(str):
+    """A number as it stands in the text; no string of the document."""
+
+
 def _shallow() -> json.JSONDecoder:
-    """Numbers left as text, for walks that only need the structure."""
-    return json.JSONDecoder(parse_float=str, parse_int=str, parse_constant=_refuse)
+    """Numbers left as they stand, for walks that only need the structure."""
+    return json.JSONDecoder(parse_float=_Numeral, parse_int=_Numeral, parse_constant=_refuse)
 
 
 def _number_text(x: float) -> str:
@@ -186,39 +188,161 @@ def _elements(decoder, text: str, at: int):
             at = _skip(text, at + 1)
 
 
-def tool_list(text: str | None):
-    """Tools of a list result, schemas as source text; None if it is no list result."""
+_FIELDS = ("protocolVersion", "serverInfo", "version", "tools", "resources", "prompts", "name", "description", "inputSchema",
+           "uri", "mimeType", "server", "schema_version", "protocol_version", "input_schema", "mime_type")
+_FOLDED = {name.casefold(): name for name in _FIELDS}
+
+
+def _odd(node: dict) -> bool:
+    """Whether a member name is one of ours but for its case."""
+    return any(k not in _FOLDED.values() and k.casefold() in _FOLDED for k in node)
+
+
+def _object(decoder, text: str, at: int, node: dict) -> tuple[dict, dict]:
+    """Members by their proper names, and where their source text stands.
+
+    A name counts in any case, as it does for the servers' usual clients; of several that mean the
+    same member the last one counts, unless it is null.
+    """
+    if not isinstance(node, dict):
+        raise ValueError("no object")
+    spans = {}
+    if not _odd(node):
+        for key, start, end in _members(decoder, text, at):
+            spans[key] = (start, end)
+        return node, spans
+    found: dict = {}
+    for key, start, end in _members(decoder, text, at):
+        name = _FOLDED.get(key.casefold(), key)
+        value = decoder.decode(text[start:end])
+        if value is not None or name not in found:
+            found[name] = value
+        if value is not None or name in ("inputSchema", "input_schema") or name not in spans:
+            spans[name] = (start, end)
+    return found, spans
+
+
+def _plain_text(value) -> str:
+    if value is None:
+        return ""
+    if type(value) is not str:
+        raise ValueError("no text")
+    return _SURROGATE.sub("\ufffd", value)
+
+
+def _list_of(decoder, text: str | None, name: str) -> list[tuple[dict, dict]] | None:
+    """Members and spans of the elements of a list result; None if there is no such list."""
     if text is None:
         return None
+    document, spans = _object(decoder, text, _skip(text, 0), decoder.decode(text))
+    items = document.get(name)
+    if items is None:
+        return []
+    if not isinstance(items, list):
+        return None
+    return [({}, {}) if item is None else _object(decoder, text, start, item)
+            for item, (start, _) in zip(items, _elements(decoder, text, spans[name][0]))]
+
+
+def tool_list(text: str | None):
+    """Tools of a list result, schemas as source text; None if it is no list result."""
     try:
-        decoder = _shallow()
-        document = decoder.decode(text)
-        if not isinstance(document, dict):
-            return None
-        tools = document.get("tools")
-        if tools is None:
-            return []
-        if not isinstance(tools, list):
+        items = _list_of(_shallow(), text, "tools")
+        if items is None:
             return None
-        begin = [s for k, s, _ in _members(decoder, text, _skip(text, 0)) if k == "tools"][-1]
-        found = []
-        for tool, (start, _) in zip(tools, _elements(decoder, text, begin)):
-            if tool is None:
-                tool, schema = {}, None
-            else:
-                spans = {k: (s, e) for k, s, e in _members(decoder, text, start)}
-                span = spans.get("inputSchema") or spans.get("input_schema")
-                schema = text[slice(*span)] if span else None
-            texts = [tool.get("name"), tool.get("description")]
-            if any(t is not None and not isinstance(t, str) for t in texts):
-                return None
-            name, description = (_SURROGATE.sub("\ufffd", t or "") for t in texts)
-            found.append((name, description, schema))
-        return found
+        out = []
+        for tool, spans in items:
+            span = spans.get("inputSchema") or spans.get("input_schema")
+            out.append((_plain_text(tool.get("name")), _plain_text(tool.get("description")), text[slice(*span)] if span else None))
+        return out
     except (ValueError, AttributeError, RecursionError):
         return None
 
 
+def _texts_list(text: str | None, name: str, fields: tuple[tuple[str, ...], ...]) -> list[tuple]:
+    """The texts of the elements of a list result; anything that is no such list is an empty one."""
+    try:
+        items = _list_of(_shallow(), text, name) or []
+        return [tuple(_plain_text(next((item[f] for f in names if f in item), None)) for names in fields) for item, _ in items]
+    except (ValueError, AttributeError, RecursionError):
+        return []
+
+
+def resource_list(text: str | None) -> list[tuple]:
+    return _texts_list(text, "resources", (("uri",), ("name",), ("description",), ("mimeType", "mime_type")))
+
+
+def prompt_list(text: str | None) -> list[tuple]:
+    return _texts_list(text, "prompts", (("name",), ("description",)))
+
+
+def server_info(text: str | None, member: str = "serverInfo") -> tuple[str, str, str]:
+    """Name, version and protocol version from an initialize result, or from the ``server`` of a manifest."""
+    try:
+        decoder = _shallow()
+        document, spans = _object(decoder, text, _skip(text, 0), decoder.decode(text))
+        info = {}
+        if isinstance(document.get(member), dict):
+            info, _ = _object(decoder, text, spans[member][0], document[member])
+        protocol = info.get("protocol_version") if member == "server" else document.get("protocolVersion")
+        return _plain_text(info.get("name")), _plain_text(info.get("version")), _plain_text(protocol)
+    except (TypeError, ValueError, AttributeError, RecursionError):
+        return "", "", ""
+
+
+def _normal(rows: list[tuple] | None) -> list[tuple] | None:
+    return None if rows is None else [tuple(unicodedata.normalize("NFC", t) for t in row) for row in rows]
+
+
+def _normal_tools(rows: list[tuple] | None) -> list[tuple] | None:
+    return None if rows is None else [(*_normal([row[:2]])[0], canonical_text(row[2])) for row in rows]
+
+
+_TOOL, _RESOURCE, _PROMPT = ("name", "description", "input_schema"), ("uri", "name", "description", "mime_type"), ("name", "description")
+
+
+def _rows_type(names: tuple[str, ...]) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+_SERVER = ("server_name", "server_version", "protocol_version")
+PARTS_TYPE = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in _SERVER],
+    T.StructField("tools", _rows_type(_TOOL)), T.StructField("resources", _rows_type(_RESOURCE)), T.StructField("prompts", _rows_type(_PROMPT)),
+    T.StructField("canonical_tools", _rows_type(_TOOL)), T.StructField("canonical_resources", _rows_type(_RESOURCE)),
+    T.StructField("canonical_prompts", _rows_type(_PROMPT))])
+
+
+def _arrow_rows(lists: list, names: tuple[str, ...]) -> pa.Array:
+    kind = pa.list_(pa.struct([pa.field(n, pa.string()) for n in names]))
+    return pa.array([None if rows is None else [dict(zip(names, row)) for row in rows] for rows in lists], kind)
+
+
+def _parts(init: list, tools: list, resources: list, prompts: list, member: str, canonical: bool) -> pa.Array:
+    servers = [server_info(t, member) for t in init]
+    raw = [[tool_list(t) for t in tools], [resource_list(t) for t in resources], [prompt_list(t) for t in prompts]]
+    normal = ([[_normal_tools(r) for r in raw[0]], *[[_normal(r) for r in rows] for rows in raw[1:]]] if canonical
+              else [[None] * len(init)] * 3)
+    shapes = (_TOOL, _RESOURCE, _PROMPT)
+    return pa.StructArray.from_arrays(
+        [*[pa.array([s[k] for s in servers], pa.string()) for k in range(3)],
+         *[_arrow_rows(rows, names) for rows, names in zip(raw, shapes)],
+         *[_arrow_rows(rows, names) for rows, names in zip(normal, shapes)]], PARTS_TYPE.names)
+
+
+def _capture_parts(init: pa.Array, tools: pa.Array, resources: pa.Array, prompts: pa.Array) -> pa.Array:
+    return _parts(init.to_pylist(), tools.to_pylist(), resources.to_pylist(), prompts.to_pylist(), "serverInfo", False)
+
+
+def _canonical_capture_parts(init: pa.Array, tools: pa.Array, resources: pa.Array, prompts: pa.Array) -> pa.Array:
+    return _parts(init.to_pylist(), tools.to_pylist(), resources.to_pylist(), prompts.to_pylist(), "serverInfo", True)
+
+
+def _manifest_parts(manifest: pa.Array) -> pa.Array:
+    texts = manifest.to_pylist()
+    return _parts(texts, texts, texts, texts, "server", True)
+
+
 @F.pandas_udf(T.StringType())
 def _nfc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
@@ -239,15 +363,11 @@ def _property_batch(texts: pd.Series) -> pd.Series:
     return texts.map(property_names)
 
 
-def _tool_rows(texts: pd.Series) -> pd.Series:
-    keys = ("name", "description", "input_schema")
-    return texts.map(
-        lambda s: None if (rows := tool_list(s)) is None else [dict(zip(keys, r)) for r in rows])
-
-
-# Declared non-deterministic so that a filter on failed captures stays above it, instead of
-# running the function once more below.
-_tools_batch = F.pandas_udf(_tool_rows, TOOLS_TYPE).asNondeterministic()
+# Declared non-deterministic so that a filter on failed captures stays above them, instead of
+# running them once more below.
+_capture = F.arrow_udf(_capture_parts, PARTS_TYPE).asNondeterministic()
+_canonical_capture = F.arrow_udf(_canonical_capture_parts, PARTS_TYPE).asNondeterministic()
+_manifest = F.arrow_udf(_manifest_parts, PARTS_TYPE).asNondeterministic()
 
 
 def nfc(text: Column) -> Column:
@@ -267,9 +387,17 @@ def schema_property_names(schema: Column, only_if: Column | None = None) -> Colu
     return F.coalesce(_property_batch(text), F.lit(""))
 
 
-def tools_of(tools_list: Column) -> Column:
-    """Array of (name, description, input_schema); NULL for a failed capture."""
-    return _tools_batch(tools_list)
+def capture_parts(initialize: Column, tools: Column, resources: Column, prompts: Column, canonical: bool = True) -> Column:
+    """Everything a capture says, as one struct (``PARTS_TYPE``), from one decode of each message.
+
+    ``tools`` is NULL for a failed capture.  Without ``canonical`` the canonical lists are NULL and cost nothing.
+    """
+    return (_canonical_capture if canonical else _capture)(initialize, tools, resources, prompts)
+
+
+def manifest_parts(manifest: Column) -> Column:
+    """The same struct from a recorded manifest document."""
+    return _manifest(manifest)
 
 
 # Non-characters stand in for escape pairs while strings are matched.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -72,6 +72,15 @@ def _watched(traces: DataFrame) -> DataFrame:
     return traces.where(F.coalesce(F.col("unobserved"), F.lit("")) == "")
 
 
+def _listed(traces: DataFrame, name: str, member: str) -> tuple[Column, Column]:
+    """The listed things as text and as JSON, with the number of those beyond the list, if there are any."""
+    items = F.col(name)
+    more = F.col(f"more_{name}") if f"more_{name}" in traces.columns else F.lit(0)
+    beyond = F.when(more > 0, more)
+    text = F.concat(F.array_join(items, ", "), F.when(more > 0, F.format_string(" and %d more", more)).otherwise(F.lit("")))
+    return text, F.to_json(F.struct(items.alias(member), beyond.alias("more")))
+
+
 def not_observed(traces: DataFrame) -> DataFrame:
     reason = F.coalesce(F.col("unobserved"), F.lit(""))
     return explode_findings(traces, F.when(
@@ -80,26 +89,23 @@ def not_observed(traces: DataFrame) -> DataFrame:
 
 def observed_decoy_read(traces: DataFrame) -> DataFrame:
     """A server that read planted credentials: one finding for all paths."""
-    paths = F.col("decoy_reads")
-    return explode_findings(_watched(traces), F.when(F.size(paths) > 0, finding(
-        "capability.decoy_read", F.lit(SERVER_SEQ), detail=(F.array_join(paths, ", "),),
-        meta=F.to_json(F.struct(paths.alias("paths"))))))
+    text, meta = _listed(traces, "decoy_reads", "paths")
+    return explode_findings(_watched(traces), F.when(F.size("decoy_reads") > 0, finding(
+        "capability.decoy_read", F.lit(SERVER_SEQ), detail=(text,), meta=meta)))
 
 
 def observed_egress(traces: DataFrame) -> DataFrame:
     """Connections attempted while the network was denied; name lookups do not count."""
-    hosts = F.col("egress_hosts")
-    return explode_findings(_watched(traces), F.when(F.col("net_denied") & (F.size(hosts) > 0), finding(
-        "capability.egress_unexpected", F.lit(SERVER_SEQ + 1), detail=(F.array_join(hosts, ", "),),
-        meta=F.to_json(F.struct(hosts.alias("hosts"))))))
+    text, meta = _listed(traces, "egress_hosts", "hosts")
+    return explode_findings(_watched(traces), F.when(F.col("net_denied") & (F.size("egress_hosts") > 0), finding(
+        "capability.egress_unexpected", F.lit(SERVER_SEQ + 1), detail=(text,), meta=meta)))
 
 
 def declared_observed_gap(traces: DataFrame, summary: DataFrame) -> DataFrame:
     """Egress seen, while no tool of the server declares net:egress."""
     declared = (summary.where(F.array_contains("classes", "net:egress"))
                 .select("scan_id"))
-    hosts = F.col("egress_hosts")
-    seen = _watched(traces).where(F.col("net_denied") & (F.size(hosts) > 0))
+    _, meta = _listed(traces, "egress_hosts", "hosts")
+    seen = _watched(traces).where(F.col("net_denied") & (F.size("egress_hosts") > 0))
     return explode_findings(seen.join(declared, "scan_id", "left_anti"), finding(
-        "capability.declared_observed_gap", F.lit(SERVER_SEQ + 2),
-        meta=F.to_json(F.struct(hosts.alias("hosts")))))
+        "capability.declared_observed_gap", F.lit(SERVER_SEQ + 2), meta=meta))

@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions.detect import quoted
 from ..functions.jsontext import json_depth
 from ..functions.tokens import scale_tokens, serialize_tool, token_base
+from ..session import stored
 from .findings import SERVER_SEQ, TOOL_STRIDE, explode_findings, finding
 from .ranking import rank_within
 
@@ -52,8 +53,11 @@ def model_cost(tools: DataFrame, scans: DataFrame | None = None) -> DataFrame:
 
 
 def per_tool_tokens(tools: DataFrame) -> DataFrame:
-    """Tools of each scan, most expensive first; ``rank`` starts at 1, ties keep list order."""
-    counted = tool_tokens(tools).select("scan_id", "pos", F.col("name").alias("tool"), "tokens")
+    """Tools of each scan, most expensive first; ``rank`` starts at 1, ties keep list order.
+
+    Texts are read once: their counts are stored, and the ranking reads only these.
+    """
+    counted = stored(tool_tokens(tools).select("scan_id", "pos", F.col("name").alias("tool"), "tokens"), "token-counts")
     return rank_within(counted, ["scan_id"], major=-F.col("tokens"), minor=F.col("pos"), name="rank")
 
 

@@ -53,14 +53,14 @@ def latest_scan(scans: DataFrame) -> DataFrame:
 
 def finding_counts(findings: DataFrame, scan_ids: DataFrame) -> DataFrame:
     """Findings by severity for the given scans, one column per severity."""
-    wanted = scan_ids.select("scan_id").distinct()
+    wanted = scan_ids.select("scan_id")
     return (findings.join(wanted, "scan_id", "left_semi").groupBy("scan_id")
             .agg(*[F.count_if(F.col("severity") == s).alias(s) for s, _, _ in C.SEVERITIES]))
 
 
 def tool_counts(tool_defs: DataFrame, scan_ids: DataFrame) -> DataFrame:
     """Tools and their representative tokens for the given scans."""
-    wanted = scan_ids.select("scan_id").distinct()
+    wanted = scan_ids.select("scan_id")
     tokens = F.get_json_object("token_count_by_model_json", "$.representative").cast("bigint")
     return (tool_defs.join(wanted, "scan_id", "left_semi").groupBy("scan_id")
             .agg(F.count("*").alias("tool_count"), F.coalesce(F.sum(tokens), F.lit(0)).alias("token_estimate")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.jsontext import json_quote, nfc
+from ..functions.jsontext import json_quote, manifest_parts, nfc
 
 BASELINE_COLUMNS = ("target", "server_name", "manifest_hash", "manifest", "rubric_version", "recorded_at")
 
@@ -47,8 +47,9 @@ def canonical_manifest(manifests: DataFrame) -> DataFrame:
         ("name", "server_name"), ("version", "server_version"), ("protocol_version", "protocol_version"))])
     prompts = F.transform(F.array_sort("canonical_prompts"), lambda p: _json_object(
         ("name", json_quote(p["name"])), ("description", json_quote(p["description"]))))
+    schema = json_quote(F.col("schema_version")) if "schema_version" in manifests.columns else F.lit(f'"{C.MANIFEST_SCHEMA_VERSION}"')
     document = _json_object(
-        ("schema_version", F.lit(f'"{C.MANIFEST_SCHEMA_VERSION}"')), ("server", server),
+        ("schema_version", schema), ("server", server),
         ("tools", _json_array(F.transform(F.array_sort("canonical_tools"), _tool_json))),
         ("resources", _json_array(F.transform(F.array_sort("canonical_resources"), _resource_json))),
         ("prompts", _json_array(prompts)))
@@ -62,12 +63,28 @@ def manifest_hash(manifests: DataFrame) -> DataFrame:
     return manifests.withColumn("manifest_hash", F.sha2("canonical", 256))
 
 
+def recorded_hash(baselines: DataFrame) -> DataFrame:
+    """Add ``baseline_hash``: that of the canonical form of each recorded manifest.
+
+    A manifest that already is the canonical text of itself hashes as it is.
+    """
+    columns = baselines.columns
+    rows = baselines.select(*columns, F.get_json_object("manifest", "$.schema_version").alias("schema_version"),
+                            manifest_parts(F.col("manifest")).alias("p"))
+    parts = rows.select(*[F.struct(*columns).alias("_row")], F.coalesce("schema_version", F.lit(C.MANIFEST_SCHEMA_VERSION)).alias("schema_version"),
+                        "p.*")
+    # Without a tool list it is no manifest: its text stands for itself.
+    text = F.when(F.col("canonical_tools").isNotNull(), F.col("canonical")).otherwise(F.col("_row.manifest"))
+    return canonical_manifest(parts).select("_row.*", F.sha2(text, 256).alias("baseline_hash"))
+
+
 def baseline_state(current: DataFrame, baselines: DataFrame) -> DataFrame:
     """first_scan, unchanged or drifted for each (target, manifest_hash) row.
 
-    The baseline's hash is recomputed from its manifest, not trusted.
+    The baseline's hash is recomputed, not trusted: from the canonical form of its manifest, so
+    spaces, key order and unnormalised text in a recorded document are no drift.
     """
-    known = baselines.select("target", F.sha2("manifest", 256).alias("baseline_hash"))
+    known = recorded_hash(baselines).select("target", "baseline_hash")
     state = (F.when(F.col("baseline_hash").isNull(), F.lit("first_scan"))
              .when(F.col("baseline_hash") == F.col("manifest_hash"), F.lit("unchanged"))
              .otherwise(F.lit("drifted")))

@@ -176,7 +176,10 @@ def sarif_document(results: DataFrame, rules: DataFrame, path: str, tool: str, v
 
 
 def text_hygiene(texts: DataFrame, column: str, keep_lines: bool = False) -> DataFrame:
-    """Add ``hostile`` and ``safe_text``: text a terminal would obey, and its visible form."""
+    """Add ``hostile`` and ``safe_text``: text a terminal would obey, and its visible form.
+
+    The column may be binary: bytes as a server sent them, before anything replaced broken ones.
+    """
     text = F.col(column)
     return (texts.withColumn("hostile", is_hostile(text, keep_lines))
             .withColumn("safe_text", escape_controls(text, keep_lines)))

@@ -157,9 +157,9 @@ def declared_findings(spark, sf):
 
 
 _RUNS = """
-  runs AS (SELECT DISTINCT user_id AS scan_id, user_id % 3 <> 0 AS net_denied, user_id % 10 = 7 AS unobserved
+  runs AS (SELECT DISTINCT user_id * 8 AS scan_id, user_id % 3 <> 0 AS net_denied, user_id % 10 = 7 AS unobserved
            FROM events),
-  calls AS (SELECT DISTINCT user_id AS scan_id, event_type,
+  calls AS (SELECT DISTINCT user_id * 8 AS scan_id, event_type,
     '203.0.113.' || (event_id % 4) || CASE WHEN event_id % 5 = 0 THEN ':53' ELSE ':443' END AS remote,
     CASE WHEN event_id % 5 = 0 THEN 'dns' ELSE 'egress' END AS remote_kind, user_id % 2 = 0 AS stub,
     CASE event_id % 90 WHEN 0 THEN '.ssh/id_rsa' WHEN 1 THEN '.env' WHEN 2 THEN '.aws/credentials' END AS decoy
@@ -182,7 +182,13 @@ def _traces(spark, sf):
   SELECT scan_id, decoy_reads, egress_hosts, dns_resolve, net_denied,
          CASE WHEN unobserved THEN 'strace is not installed' ELSE '' END AS unobserved FROM traces""")
 def trace_behavior(spark, sf):
-    return _traces(spark, sf)
+    return _traces(spark, sf).drop(*[f"more_{c}" for c in traces.KINDS.values()])
+
+
+@query("trace_observations", f"WITH {_RUNS.format(sep=' ')} SELECT * FROM facts")
+def trace_observations(spark, sf):
+    """Every path, address and lookup of every run as a row of its own."""
+    return traces.observations(B.trace_lines(spark, sf))
 
 
 _SERVER = str(1 << 50)
@@ -271,12 +277,20 @@ def schema_bloat(spark, sf):
     return shown(cost.schema_bloat(B.tools(spark, sf)))
 
 
-@query("oversized_tool", _TURNS + f""", ranked AS (SELECT *, sum(tokens) OVER (PARTITION BY scan_id) AS total,
+def _oversized(counted: str) -> str:
+    return f""", ranked AS (SELECT *, sum(tokens) OVER (PARTITION BY scan_id) AS total,
     count(*) OVER (PARTITION BY scan_id) AS n,
-    row_number() OVER (PARTITION BY scan_id ORDER BY tokens DESC, pos) AS rank FROM counted)
+    row_number() OVER (PARTITION BY scan_id ORDER BY tokens DESC, pos) AS rank FROM {counted})
   SELECT scan_id, {K.finding("context.oversized_tool", _SERVER, tool="name",
          detail=("'\"' || name || '\"'", "CAST(round_even(tokens / total * 100, 0) AS BIGINT)"))}
-  FROM ranked WHERE rank = 1 AND tokens / total > 0.4 AND tokens / total > 2.0 / n""")
+  FROM ranked WHERE rank = 1 AND tokens / total > 0.4 AND tokens / total > 2.0 / n"""
+
+
+#: The same check over documents as tools, for the union of all analyzers.
+OVERSIZED_DOCUMENTS = _TOKENS + f", sized AS (SELECT *, {K.rounded('base', 1.0)} AS tokens FROM counted)" + _oversized("sized")
+
+
+@query("oversized_tool", _TURNS + _oversized("counted"))
 def oversized_tool(spark, sf):
     return shown(cost.oversized_tool(B.turns(spark, sf)))
 

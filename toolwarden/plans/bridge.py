@@ -283,9 +283,9 @@ def advisory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as system-call log lines of one run per user."""
+    """Events as system-call log lines of one run per user; runs and the scans of ``tools`` share their ids."""
     return table(spark, sf_dir, "events").selectExpr(
-        "user_id AS scan_id",
+        "user_id * 8 AS scan_id",
         "CASE event_type "
         "WHEN 'error' THEN concat('connect(3, {sa_family=AF_INET, sin_port=htons(', "
         "CASE WHEN event_id % 5 = 0 THEN 53 ELSE 443 END, '), sin_addr=inet_addr(\"203.0.113.', event_id % 4, '\")}, 16)') "
@@ -297,9 +297,9 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("user_id AS scan_id").distinct().selectExpr(
-        "scan_id", "scan_id % 3 <> 0 AS net_denied",
-        "CASE WHEN scan_id % 10 = 7 THEN 'strace is not installed' ELSE '' END AS unobserved")
+    return table(spark, sf_dir, "events").select("user_id").distinct().selectExpr(
+        "user_id * 8 AS scan_id", "user_id % 3 <> 0 AS net_denied",
+        "CASE WHEN user_id % 10 = 7 THEN 'strace is not installed' ELSE '' END AS unobserved")
 
 
 def discovered(spark: SparkSession, sf_dir: str) -> DataFrame:

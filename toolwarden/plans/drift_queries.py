@@ -56,7 +56,7 @@ def canonical_json(spark, sf):
   UNION ALL SELECT doc_id, 'prompt', 0, 'p' || (doc_id % 5), lang, NULL FROM docs
     WHERE doc_id % 2 = 1 AND doc_id % 50 < 48""")
 def ingest_manifests(spark, sf):
-    m = _manifests(spark, sf)
+    m = captures.ingest_manifests(B.captures(spark, sf), canonical=False)
     null = F.lit(None).cast("string")
     tools = captures.tools_table(m).select("scan_id", F.lit("tool").alias("part"), "pos", "name", "description",
                                            F.col("input_schema").alias("schema"))
@@ -142,6 +142,18 @@ def read_baselines(spark, sf):
     return baseline_files.read_baselines(spark, path).select("target", F.sha2("manifest", 256).alias("manifest_hash"))
 
 
+@query("baseline_documents", _STATE + """ SELECT target, CASE WHEN baseline_state = 'drifted' THEN 'drifted' ELSE 'unchanged' END
+    AS baseline_state, source AS server_name FROM states WHERE baseline_state <> 'first_scan'""")
+def baseline_documents(spark, sf):
+    """Baselines written as one JSON document, read back, and compared with the captures they came from."""
+    path = shared_dir(spark, "baselines") + ".json"
+    baseline_files.write_baseline_document(_recorded(spark, sf), path)
+    known = baseline_files.read_baseline_documents(spark, path)
+    return manifest.baseline_state(_current(spark, sf), known).where("baseline_state <> 'first_scan'").join(
+        known.select("target", F.col("server_name").alias("recorded_name")), "target").select(
+        "target", "baseline_state", F.col("recorded_name").alias("server_name"))
+
+
 @query("verify_gate", _STATE + """ SELECT count(*) AS targets,
   count(*) FILTER (baseline_state = 'first_scan') AS errors, count(*) FILTER (baseline_state = 'drifted') AS drifted,
   CASE WHEN count(*) FILTER (baseline_state = 'first_scan') > 0 THEN 'error'
@@ -152,7 +164,8 @@ def verify_gate(spark, sf):
 
 # --- changes -------------------------------------------------------------------
 
-def _sides(spark, sf):
+def versions_of(spark, sf):
+    """Both versions of every scan, as the tables a diff takes."""
     base_tools, cur_tools = B.versions(spark, sf)
     base, cur = {"tools": base_tools}, {"tools": cur_tools}
     for name, (old, new) in B.listings(spark, sf).items():
@@ -170,7 +183,7 @@ def _digested(changes):
 
 @query("manifest_diff", f"WITH {K.CHANGES} SELECT scan_id, kind, target, {_TEXTS} FROM changes")
 def manifest_diff(spark, sf):
-    return _digested(drift.manifest_diff(*_sides(spark, sf)))
+    return _digested(drift.manifest_diff(*versions_of(spark, sf)))
 
 
 @query("tool_diff", f"WITH {K.VERSIONS} SELECT scan_id, kind, target, {_TEXTS} FROM tool_changes")
@@ -193,7 +206,7 @@ def version_changed(spark, sf):
 
 @query("diff_order", f"WITH {K.CHANGES} SELECT scan_id, kind, target FROM changes ORDER BY scan_id, kind, target")
 def diff_order(spark, sf):
-    return drift.diff_order(drift.manifest_diff(*_sides(spark, sf), texts=False)).select("scan_id", "kind", "target")
+    return drift.diff_order(drift.manifest_diff(*versions_of(spark, sf), texts=False)).select("scan_id", "kind", "target")
 
 
 def _gained(pattern: str, old: str = "old", new: str = "new") -> str:
@@ -249,7 +262,7 @@ def _drift_sql() -> str:
 
 @query("drift_findings", _drift_sql())
 def drift_findings(spark, sf):
-    return shown(drift.drift_findings(drift.manifest_diff(*_sides(spark, sf), texts=False)))
+    return shown(drift.drift_findings(drift.manifest_diff(*versions_of(spark, sf), texts=False)))
 
 
 _EVENT_SEVERITY = f"""CASE kind WHEN 'tool_description_changed' THEN
@@ -261,7 +274,7 @@ _EVENT_SEVERITY = f"""CASE kind WHEN 'tool_description_changed' THEN
 
 @query("drift_event_severity", f"WITH {K.CHANGES} SELECT scan_id, kind, target, {_EVENT_SEVERITY} AS severity FROM changes")
 def drift_event_severity(spark, sf):
-    changes = drift.manifest_diff(*_sides(spark, sf), texts=False)
+    changes = drift.manifest_diff(*versions_of(spark, sf), texts=False)
     return changes.select("scan_id", "kind", "target", drift.drift_event_severity(
         F.col("kind"), F.col("event_steered"), F.col("shorter")).alias("severity"))
 

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.scales import SEVERITY_NAMES
-from ..operators import findings as findings_ops
 from ..operators import cost, index, injection, manifest, report, scoring
-from ..sources import captures, documents, store
+from ..session import stored
+from ..sources import captures, documents, store, traces
 from . import bridge as B
 from . import checks as K
 from . import recording
-from .drift_queries import HISTORY
-from .registry import query
+from .analysis_queries import OVERSIZED_DOCUMENTS
+from .drift_queries import HISTORY, versions_of
+from .registry import CHECKS, query
 from .scan import ScanInputs, scan_findings, scan_scorecards, tool_facts
 
 # --- scoring -------------------------------------------------------------------
@@ -36,12 +37,26 @@ def _cards(spark, sf):
     return scoring.scorecards(B.findings(spark, sf), B.clean_scans(spark, sf))
 
 
-@query("findings_union", f"""WITH findings AS ({K.FINDINGS})
-  SELECT scan_id, analyzer, seq, rule_id, severity FROM findings""")
+#: The checks of all analyzers that ``findings_union`` runs over the given tables.
+_ANALYZERS = (
+    "rule_findings", "invisible_chars", "encoded_blob", "excessive_length", "declared_findings", "schema_bloat",
+    "observed_decoy_read", "observed_egress", "declared_observed_gap", "not_observed", "typosquat", "metadata_unavailable",
+    "install_script", "no_source", "single_maintainer", "young_package", "known_cve", "unauthenticated_listing",
+    "plaintext_http", "weak_tls", "drift_findings",
+)
+_FOUND = ", ".join(K.FINDING_COLUMNS)
+
+
+@query("findings_union", " UNION ALL ".join(
+    f"SELECT {_FOUND} FROM ({sql})" for sql in (*[CHECKS[name] for name in _ANALYZERS], OVERSIZED_DOCUMENTS)))
 def findings_union(spark, sf):
-    rows = B.findings(spark, sf)
-    parts = [rows.where(F.col("analyzer") == name) for name in C.ANALYZER_ORDER]
-    return findings_ops.findings_union(*parts).select("scan_id", "analyzer", "seq", "rule_id", "severity")
+    """The findings of all six analyzers, each over its own tables, in one scan."""
+    base, cur = versions_of(spark, sf)
+    inputs = ScanInputs(
+        B.tools(spark, sf), specs=B.package_specs(spark, sf), packages=B.packages(spark, sf), advisories=B.advisory_rows(spark, sf),
+        endpoints=B.endpoints(spark, sf), traces=traces.trace_behavior(B.trace_lines(spark, sf), B.trace_runs(spark, sf)),
+        baseline=base, current=cur, as_of=F.lit(K.AS_OF).cast("timestamp"))
+    return scan_findings(inputs).select(*K.FINDING_COLUMNS)
 
 
 @query("dedup_rule_tool", _FIRST + """ SELECT scan_id, rule_id, tool, max(severity) FILTER (nth = 1) AS severity,
@@ -223,7 +238,7 @@ def cost_leaderboard(spark, sf):
   UNION ALL SELECT 'context_cost_leaderboard', -token_estimate, identifier, token_estimate FROM board
   UNION ALL SELECT 'recent_drift', -detected_at, server_identifier, NULL FROM feed""")
 def snapshot(spark, sf):
-    summary = _summary(spark, sf)
+    summary = stored(_summary(spark, sf), "summary")
     servers, events = B.index_servers(spark, sf), B.index_events(spark, sf)
     rows = index.snapshot(summary, index.stats(summary, events, _as_of()), index.recent_drift(events, servers),
                           _as_of(), "0.1.0")
@@ -402,7 +417,7 @@ def snapshot_document(spark, sf):
     """The snapshot as one JSON file, read back in splits."""
     from ..session import shared_dir
     path = shared_dir(spark, "snapshot") + ".json"
-    summary = _summary(spark, sf)
+    summary = stored(_summary(spark, sf), "summary")
     servers, events = B.index_servers(spark, sf), B.index_events(spark, sf)
     index.snapshot_document(index.snapshot(summary, index.stats(summary, events, _as_of()),
                                            index.recent_drift(events, servers), _as_of(), "0.1.0"), path)
@@ -426,8 +441,23 @@ def text_hygiene(spark, sf):
     return report.text_hygiene(docs, "text").drop("text")
 
 
+@query("byte_hygiene", r"""
+  WITH t AS (SELECT doc_id, doc_id % 4 AS kind, text FROM documents)
+  SELECT doc_id, kind <> 3 OR regexp_matches(text,
+    '[\x00-\x1f\x{7f}-\x{9f}\x{061c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]') AS hostile,
+    replace(replace(replace(replace(text, chr(9), '\x09'), chr(10), '\x0a'), chr(13), '\x0d'), chr(155), '\u009b')
+      || CASE kind WHEN 0 THEN '\xffb' WHEN 1 THEN '\xe2\x82(' WHEN 2 THEN '\xed\xa0\x80é' ELSE '' END AS safe_text FROM t""")
+def byte_hygiene(spark, sf):
+    """Texts as bytes, three of four with bytes that are no UTF-8: a lone one, a cut character, a surrogate."""
+    kind = F.col("doc_id") % 4
+    tail = F.when(kind == 0, F.unhex(F.lit("ff62"))).when(kind == 1, F.unhex(F.lit("e28228"))).when(
+        kind == 2, F.unhex(F.lit("eda080c3a9"))).otherwise(F.unhex(F.lit("")))
+    docs = B.table(spark, sf, "documents").select("doc_id", F.concat(F.col("text").cast("binary"), tail).alias("raw"))
+    return report.text_hygiene(docs, "raw").drop("raw")
+
+
 @query("scan_report_counts", None)
 def scan_report_counts(spark, sf):
     """Captures from JSON to findings: how often each rule fires over all captures."""
-    tools = captures.tools_table(captures.ingest_manifests(B.captures(spark, sf)))
+    tools = captures.tools_table(captures.ingest_manifests(B.captures(spark, sf), canonical=False))
     return scan_findings(ScanInputs(tools)).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the library wants on any session it runs in.  They are runtime SQL
 #: settings, so they can be applied to a session somebody else created.
@@ -63,3 +63,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="toolwarden-")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: worked out once, whatever reads it how often."""
+    path = shared_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from ..functions.jsontext import tools_of
+from .. import constants as C
+from ..functions.jsontext import json_quote, manifest_parts
 from ..functions.rows import unnest
+from .documents import element, fixed, write_document
 
 BASELINE_SCHEMA = (
     "target string, server_name string, manifest_hash string, manifest string, "
     "rubric_version int, recorded_at timestamp"
 )
-_MANIFEST = (
-    "struct<server:struct<name:string,version:string,protocol_version:string>,"
-    "resources:array<struct<uri:string>>,prompts:array<struct<name:string>>>"
-)
 
 
 def read_baselines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,12 +39,37 @@ def baseline_tables(baselines: DataFrame, scans: DataFrame) -> dict[str, DataFra
 
 def document_tables(rows: DataFrame) -> dict[str, DataFrame]:
     """The per-scan tables of recorded manifests (scan_id, manifest)."""
-    rows = rows.withColumn("m", F.from_json("manifest", _MANIFEST))
-    tools = unnest(rows.withColumn("t", tools_of(F.col("manifest"))), ["scan_id"], "t", "tool", "pos")
+    rows = rows.select("scan_id", manifest_parts(F.col("manifest")).alias("m"))
     return {
-        "tools": tools.select("scan_id", "pos", "tool.*"),
-        "servers": rows.select("scan_id", F.col("m.server.name").alias("server_name"),
-                               F.col("m.server.version").alias("server_version")),
+        "tools": unnest(rows, ["scan_id"], "m.tools", "tool", "pos").select("scan_id", "pos", "tool.*"),
+        "servers": rows.select("scan_id", "m.server_name", "m.server_version"),
         "resources": unnest(rows, ["scan_id"], "m.resources", "r").select("scan_id", "r.uri"),
         "prompts": unnest(rows, ["scan_id"], "m.prompts", "p").select("scan_id", "p.name"),
     }
+
+
+def read_baseline_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Baselines from JSON documents that map targets to baselines, one file per project.
+
+    Each file is one value of Spark's variant type, unfolded to a row per target; files are dealt
+    over the tasks.  A file without baselines gives none, one that is no JSON is an error.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("document"))
+    rows = spark.sql("SELECT e.key AS target, e.value AS v FROM {files}, LATERAL variant_explode(document:baselines) AS e", files=files)
+    get = lambda member, kind: F.try_variant_get("v", f"$.{member}", kind).alias(member)
+    return rows.select("target", get("server_name", "string"), get("manifest_hash", "string"),
+                       F.to_json(F.variant_get("v", "$.manifest", "variant")).alias("manifest"), get("rubric_version", "int"),
+                       F.try_to_timestamp(get("recorded_at", "string")).alias("recorded_at"))
+
+
+def write_baseline_document(baselines: DataFrame, path: str) -> None:
+    """All baselines as one such document, targets in order, each on a line of its own."""
+    fields = F.to_json(F.struct("target", "server_name", "manifest_hash"))
+    rest = F.to_json(F.struct("rubric_version", F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at")))
+    body = F.concat(json_quote(F.col("target")), F.lit(":"), F.substring(fields, F.lit(1), F.length(fields) - 1),
+                    F.lit(',"manifest":'), F.translate("manifest", "\n\r", "  "), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    spark = baselines.sparkSession
+    between = fixed(spark, {0: '{"version":"%s","baselines":{' % C.MANIFEST_SCHEMA_VERSION, 2: "}}"})
+    pieces = baselines.select(F.lit(1).alias("place"), "target", *element(body)).unionByName(
+        between.select("place", F.lit("").alias("target"), "text", "starts", "ends"))
+    write_document(pieces, path, ["place", "target"])

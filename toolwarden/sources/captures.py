@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import canonical_json, tools_of
+from ..functions.jsontext import capture_parts
 from ..functions.rows import unnest
 
 CAPTURE_SCHEMA = (
     "scan_id bigint, source string, identifier string, scanned_at timestamp, "
     "initialize string, tools_list string, resources_list string, prompts_list string"
 )
-_INIT = "struct<protocolVersion:string,serverInfo:struct<name:string,version:string>>"
-_RESOURCES = "struct<resources:array<struct<uri:string,name:string,description:string,mimeType:string>>>"
-_PROMPTS = "struct<prompts:array<struct<name:string,description:string>>>"
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -22,44 +19,20 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CAPTURE_SCHEMA).json(path)
 
 
-def _text(col: Column) -> Column:
-    return F.coalesce(col, F.lit(""))
-
-
-def _resources(text: Column) -> Column:
-    items = F.coalesce(F.from_json(text, _RESOURCES)["resources"], F.array())
-    return F.transform(items, lambda r: F.struct(
-        _text(r["uri"]).alias("uri"), _text(r["name"]).alias("name"),
-        _text(r["description"]).alias("description"), _text(r["mimeType"]).alias("mime_type")))
-
-
-def _prompts(text: Column) -> Column:
-    items = F.coalesce(F.from_json(text, _PROMPTS)["prompts"], F.array())
-    return F.transform(items, lambda p: F.struct(
-        _text(p["name"]).alias("name"), _text(p["description"]).alias("description")))
-
-
-def ingest_manifests(captures: DataFrame) -> DataFrame:
+def ingest_manifests(captures: DataFrame, canonical: bool = True) -> DataFrame:
     """One row per capture with its lists as arrays, in captured and canonical form.
 
-    Messages are read whole, whatever their length.  A missing or malformed tool list is a
-    failed capture: its row carries ``error`` and no tools.  Missing resources and prompts
-    are just empty.  Columns nobody asks for are pruned together with the work behind them.
+    Messages are read whole, whatever their length, and decoded once; names of members count in
+    any case.  A missing or malformed tool list is a failed capture: its row carries ``error`` and
+    no tools.  Missing or malformed resources and prompts are just empty.  Without ``canonical`` the
+    canonical lists are NULL: only hashing needs them.
     """
-    init = F.from_json("initialize", _INIT)
     rows = captures.select(
-        "scan_id", "source", "identifier", "scanned_at",
-        _text(init["serverInfo"]["name"]).alias("server_name"),
-        _text(init["serverInfo"]["version"]).alias("server_version"),
-        _text(init["protocolVersion"]).alias("protocol_version"),
-        tools_of(F.col("tools_list")).alias("tools"), tools_of(canonical_json(F.col("tools_list"))).alias("canonical_tools"),
-        _resources(F.col("resources_list")).alias("resources"),
-        _resources(canonical_json(F.col("resources_list"))).alias("canonical_resources"),
-        _prompts(F.col("prompts_list")).alias("prompts"),
-        _prompts(canonical_json(F.col("prompts_list"))).alias("canonical_prompts"),
-        F.when(F.col("tools_list").isNull(), F.lit("no tools result")).alias("early"))
-    return rows.withColumn("error", F.coalesce("early", F.when(
-        F.col("tools").isNull(), F.lit("tools result is not a tool list")))).drop("early")
+        "scan_id", "source", "identifier", "scanned_at", F.col("tools_list").isNull().alias("early"),
+        capture_parts(F.col("initialize"), F.col("tools_list"), F.col("resources_list"), F.col("prompts_list"), canonical).alias("p"))
+    rows = rows.select("scan_id", "source", "identifier", "scanned_at", "p.*", "early")
+    return rows.withColumn("error", F.when(F.col("early"), F.lit("no tools result")).when(
+        F.col("tools").isNull(), F.lit("tools result is not a tool list"))).drop("early")
 
 
 def captured(manifests: DataFrame) -> DataFrame:

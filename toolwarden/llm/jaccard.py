@@ -7,12 +7,15 @@ shingle's position, and both skip: two entries can only belong to similar sets i
 ``9 * min(size - position) >= 4 * (size + size')`` (for similarity 4/5), so whole blocks of a
 list (by size class, and entries too far back to be the smaller partner) are never compared.
 
-Lists of more than two sets are answered through set relations.  An entry that stands far ahead
-(in sixteenths of its set, so that one set leads most lists of a group) leads its list; every
-other set is compared with the leader alone, and sets similar to it share its answer, one
-component.  What the leader's answer doesn't decide is worked out incrementally: only sets
-outside its component are still compared, and only with entries that size and position leave
-possible.  Nothing is capped; every comparison counts whole sets.
+Lists of more than two sets are answered through set relations.  The set with the fewest shingles
+of its own leads its list (one set leads nearly all lists of a group), and every
+other set is compared with the leader alone.  What that comparison brings is the set's answer,
+if the two are similar, and its difference from the leader.  All else is derived from the
+differences: two sets of which one is not similar to the leader can only be similar if they share
+differences, at least ``(d + d' - (size + size') / 9) / 2`` of them.  So the differences are an
+index of their own, again on prefixes with the rarest first and skipped by position, and only
+sets that meet there and are of different components by then are compared: first with the first
+of their list, then what is left.  Nothing is capped; every comparison counts whole sets.
 
 The text is tokenised in numpy inside its task; what is shuffled are index entries, and one text
 of each class that has a candidate (half the bytes of its set, as texts compress).
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .graph import components
-from .storage import kept, unused
+from .storage import dropped, kept, unused
 
 #: Similar from 80 percent: the intersection has at least 4/9 of both sizes' sum.
 PERCENT = 80
@@ -41,8 +44,9 @@ TASK_FROM = 3
 TASK_COUNTED = 1 << 20
 #: Lists up to this length are compared entry by entry; longer ones through a leader.
 SHORT_LIST = 2
-#: Bits of the filter that keeps texts without a candidate out of the shuffle.
+#: The filter that keeps texts without a candidate out of the shuffle has sixteen bits for each of them, so many at least and at most.
 FILTER_BITS = 1 << 23
+MOST_FILTER_BITS = 1 << 30
 
 
 def _sets(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,14 +97,14 @@ def _sketch(docs: DataFrame) -> DataFrame:
             value_of, count_of = value_of[count_of >= least], count_of[count_of >= least]
 
         none = lambda n, t: pa.nulls(n, t)
-        names = ["doc_id", "n_shingles", "class", "shingle", "seen"]
+        names = ["doc_id", "n_shingles", "class", "shingle", "seen", "key"]
         for batch in batches:
             for low, high, bounds, value in _sets(batch):
                 size = np.diff(bounds)
                 waiting.append(value)
                 yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array(size.astype(np.int64)),
                                        arrays.long(_class_ids(bounds, value)), none(high - low, pa.int64()),
-                                       none(high - low, pa.int64())], names=names)
+                                       none(high - low, pa.int64()), batch.column(2).slice(low, high - low)], names=names)
             if len(value_of) + sum(map(len, waiting)) > TASK_COUNTED:
                 add_up(1)
                 if len(value_of) > TASK_COUNTED // 2:
@@ -108,9 +112,10 @@ def _sketch(docs: DataFrame) -> DataFrame:
         add_up(TASK_FROM)
         n = len(value_of)
         yield pa.record_batch([none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), arrays.long(value_of),
-                               pa.array(count_of)], names=names)
+                               pa.array(count_of), none(n, pa.string())], names=names)
 
-    return docs.mapInArrow(scan, "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, seen bigint")
+    return docs.withColumn("key", _key()).mapInArrow(
+        scan, "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, seen bigint, key string")
 
 
 ENTRY = "shingle bigint, class bigint, size int, place int"
@@ -206,58 +211,163 @@ def _size_class(size: Column) -> Column:
     return F.floor(F.log(size) / np.log(1.25)).cast("int")
 
 
-def _filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap with a bit set for every id: a fixed size, fuller with more ids, and never without one of them."""
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap with a bit set for every id; never without one of them, and of at most 128 MB."""
+    bits = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (16 * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = (ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p % 64 AS int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     out = np.zeros(bits // 64, np.int64)
-    for r in words:
-        out[r.w] = r.b
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out
 
 
+def _may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes of ids the bitmap can't rule out."""
+    place = hashes % (len(bitmap) * 64)
+    return (bitmap[place >> 6] >> (place & 63)) & 1 == 1
+
+
 def _chosen_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, text) of the given classes (class, doc_id); more than one where doc_ids repeat."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(classes.select(F.col("doc_id").alias("id"))))
+    """(class, text) of the given classes (class, key); more than one where doc_ids repeat."""
+    sent = docs.sparkSession.sparkContext.broadcast(_filter(classes.select(F.col("key").alias("id"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sent.value
         for batch in batches:
-            place = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((bitmap[place >> 6] >> (place & 63)) & 1 == 1)).select(["doc_id", "text"])
+            yield batch.filter(pa.array(_may_hold(sent.value, batch.column(2).to_numpy()))).select(["key", "text"])
+
+    near = (docs.select(_key().alias("key"), "text").withColumn("_hash", F.xxhash64("key"))
+            .mapInArrow(pick, "key string, text string"))
+    return near.join(classes, "key").select("class", "text").dropDuplicates(["class", "text"])
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    near = (docs.where("doc_id IS NOT NULL").withColumn("_place", place)
-            .mapInArrow(pick, "doc_id bigint, text string"))
-    return near.join(classes, "doc_id").select("class", "text")
 
+def _key() -> Column:
+    """What a document's text is fetched by: its id, or a hash of the text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string")))
 
-def _row_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
-    """The shingle set and the class of each text of a column."""
-    for low, high, bounds, value in _sets(pa.record_batch([column], names=["text"]), 0):
+
+def _text_sets(ids: list[int], column: pa.Array) -> list[tuple[np.ndarray, int]]:
+    """The shingle set and the class of each text; of neighbours with one id only the first is taken apart."""
+    fresh = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1] or column[k] != column[k - 1]]
+    found = []
+    for _, _, bounds, value in _sets(pa.record_batch([column.take(pa.array(fresh, pa.int64()))], names=["text"]), 0):
         for k, own in enumerate(_class_ids(bounds, value).view(np.int64).tolist()):
-            yield value[bounds[k]:bounds[k + 1]], own
+            found.append((value[bounds[k]:bounds[k + 1]], own))
+    return [found[at] for at in np.searchsorted(fresh, np.arange(len(ids)), side="right") - 1]
+
+
+COMPARED = "a bigint, b bigint, element bigint, place int, size int, delta int, apart boolean"
+
+
+def _difference(x: np.ndarray, y: np.ndarray, hits: np.ndarray, apart: bool, frequent: np.ndarray) -> np.ndarray:
+    """The first differences of ``y`` from its leader ``x``: as many as a partner's must share one of.
+
+    Ordered with the rarest first: own shingles that are not frequent, then own frequent ones and
+    those of the leader that are missing.
+    """
+    n, lead, shared = len(y), len(x), int(hits.sum())
+    own, missing = y[~hits], np.setdiff1d(x, y[hits], assume_unique=True)
+    at = np.searchsorted(frequent, own)
+    at[at == len(frequent)] = 0
+    late = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
+    ordered = np.concatenate([own[~late], np.sort(np.concatenate([own[late], missing]))])
+    size = n + lead - 2 * shared
+    most = n // 4 + 1 if apart else size - (9 * size + lead - n) // 18
+    return ordered[:max(0, min(size, most))]
+
 
+def _compared(pairs: DataFrame, texts: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+    """What whole sets say about pairs (a, b, wanted).
+
+    A row with no element for each pair (a, b) that reaches the similarity; and of each wanted
+    pair, b's first differences from its leader a: element, its place, b's size, the number of all
+    differences, and whether the two are not similar.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast(frequent)
+    names = [part.split()[0] for part in COMPARED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
-def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, by counting their whole intersection."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                fine = np.zeros(batch.num_rows, bool)
-                ends = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                found = zip(ends, _row_sets(batch.column(2)), _row_sets(batch.column(3)))
-                for k, ((a, b), (x, own_x), (y, own_y)) in enumerate(found):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    fine[k] = (a, b) == (own_x, own_y) and 100 * both >= percent * (len(x) + len(y) - both)
-                yield batch.filter(pa.array(fine)).select(["a", "b"])
+                ids = [batch.column(k).to_pylist() for k in range(3)]
+                out: list[list] = [[] for _ in names]
+                both = zip(*ids, _text_sets(ids[0], batch.column(3)), _text_sets(ids[1], batch.column(4)))
+                for a, b, wanted, (x, own_x), (y, own_y) in both:
+                    if (a, b) != (own_x, own_y):
+                        continue
+                    at = np.searchsorted(x, y)
+                    at[at == len(x)] = 0
+                    hits = x[at] == y
+                    shared = int(hits.sum())
+                    apart = 100 * shared < percent * (len(x) + len(y) - shared)
+                    first = _difference(x, y, hits, apart, sent.value).view(np.int64).tolist() if wanted else []
+                    n = len(first) + (not apart)
+                    rows = [[a] * n, [b] * n, first + [None] * (not apart), list(range(n)), [len(y)] * n,
+                            [len(x) + len(y) - 2 * shared] * n, [apart] * n]
+                    for have, more in zip(out, rows):
+                        have.extend(more)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("_x"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("_y"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y")
-            .mapInArrow(verify, "a bigint, b bigint"))
+    # Joined with the leader's text last: rows of one leader stand together, and its text is taken apart once.
+    return (pairs.join(right, "b").join(left, "a").select("a", "b", "wanted", "_x", "_y").mapInArrow(verify, COMPARED))
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("element IS NULL").select("a", "b")
+
+
+def _with_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (class, ...) with the component of their class as ``part``."""
+    parts = components(links).select(F.col("id").alias("class"), F.col("component").alias("part"))
+    return rows.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+
+
+def _derivable(d: str, i: str, n: str, e: str, j: str, m: str) -> Column:
+    """Whether sets of sizes n and m with d and e differences, meeting at places i and j of them, can be similar."""
+    sizes = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    enough = 18 * F.least(F.col(d) - F.col(i), F.col(e) - F.col(j)) >= 9 * (F.col(d) + F.col(e)) - F.col(n) - F.col(m)
+    return sizes & enough & (9 * F.abs(F.col(d) - F.col(e)) <= F.col(n) + F.col(m))
+
+
+def _open_links(differences: DataFrame, links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All links that lists of shared differences add to ``links``: at least those between different components.
+
+    ``differences`` has (leader, element, class, place, size, delta, apart).  Of each list the first
+    set that is apart from the leader is compared with all others; then what is still of different
+    components is compared pair by pair.
+    """
+    list_ = ["leader", "element"]
+    nothing = np.zeros(0, np.uint64)
+
+    def opened(links: DataFrame, purpose: str) -> DataFrame:
+        rows = kept(_with_parts(differences, links), purpose)
+        mixed = (rows.groupBy(*list_).agg(F.min("part").alias("_l"), F.max("part").alias("_h"), F.bool_or("apart").alias("_a"))
+                 .where("_a AND _l <> _h").select(*list_))
+        return rows.join(mixed, list_)
+
+    def sides(x: DataFrame, y: DataFrame) -> DataFrame:
+        named = lambda df, names: df.select(*list_, *[F.col(c).alias(n) for c, n in names.items()])
+        left = named(x, {"class": "a", "delta": "_d", "place": "_i", "size": "_n", "part": "_p"})
+        right = named(y, {"class": "b", "delta": "_e", "place": "_j", "size": "_m", "part": "_q", "apart": "_f"})
+        # Two sets that are both apart meet twice; one meeting is enough.
+        meet = (F.col("_p") != F.col("_q")) & (F.col("a") != F.col("b")) & _derivable("_d", "_i", "_n", "_e", "_j", "_m")
+        return left.join(right, list_).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                                                          (~F.col("_f") | (F.col("a") < F.col("b"))).alias("_once"))
+
+    rows = opened(links, "differences")
+    columns = ["class", "delta", "place", "size", "part", "apart"]
+    first = (rows.where("apart").groupBy(*list_).agg(F.min(F.struct("place", *[c for c in columns if c != "place"])).alias("_l"))
+             .select(*list_, *[F.col(f"_l.{c}").alias(c) for c in columns]))
+    star = kept(sides(first, rows).select("a", "b").distinct().withColumn("wanted", F.lit(False)), "second-pairs")
+    more = kept(links.unionByName(_links(_compared(star, texts, percent, nothing))), "second-links")
+    rows = opened(more, "open-differences")
+    rest = sides(rows.where("apart"), rows).where("_once").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = kept(rest.withColumn("wanted", F.lit(False)), "open-pairs")
+    return kept(more.unionByName(_links(_compared(rest, texts, percent, nothing))), "all-links")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -267,8 +377,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shorter text has its whole sequence as one).  ``component_id`` is the smallest doc_id that
     links lead to, the document's own included; ``copies`` counts documents of the same set.
     Null and empty texts, or texts without words, have 0 shingles and link with nothing.
-    Repeated doc_ids are one document for the links and keep their rows; a null doc_id has the
-    component of its class, null if no other is in it.  Further columns are not read.
+    Rows link by their texts: a repeated doc_id has each row's own component, and rows of a null
+    doc_id link like any other; the component is null if no row in it has an id.  Further columns
+    are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -276,69 +387,53 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     top = (sketch.where("seen IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("n"))
            .where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
     frequent = np.sort(np.array([r.shingle for r in top], np.int64).view(np.uint64))
-    rows = sketch.where("seen IS NULL").select("doc_id", "n_shingles", "class")
-    classes = kept(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"),
-                                                                     F.count("*").alias("copies")), "classes")
+    rows = sketch.where("seen IS NULL").select("doc_id", "n_shingles", "class", "key")
+    # A class is fetched by one of its documents, if it can by one with an id.
+    classes = kept(rows.where("n_shingles > 0").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), F.col("key")))["key"].alias("key"),
+        F.count("*").alias("copies")), "classes")
     short = kept(_short_lists(_index(docs, frequent, False)), "short-lists")
     pairs = short.where("b IS NOT NULL").select("a", "b").distinct()
 
     # Lists of frequent shingles, and long ones: each class once, in blocks by size.
-    listed = (_index(docs, frequent, True)
-              .unionByName(short.where("b IS NULL").select("shingle", F.col("a").alias("class"), "size", "place"))
+    late = kept(_index(docs, frequent, True), "frequent-lists")
+    listed = (late.unionByName(short.where("b IS NULL").select("shingle", F.col("a").alias("class"), "size", "place"))
               .groupBy("shingle", "class").agg(F.min("size").alias("size"), F.min("place").alias("place")))
-    listed = kept(listed.withColumn("block", _size_class(F.col("size"))), "long-lists")
-    leaders = kept(listed.groupBy("shingle", "block").agg(
-        F.min(F.struct(F.floor(16 * F.col("place") / F.col("size")).alias("_s"), "class", "size", "place")).alias("_l"),
-        F.count("*").alias("_n")).where("_n > 1")
-        .select("shingle", "block", F.col("_l.class").alias("leader"), F.col("_l.size").alias("_m"),
-                F.col("_l.place").alias("_j")), "leaders")
-    led = kept(listed.join(leaders, ["shingle", "block"]), "led-lists")
-    star = led.where((F.col("class") != F.col("leader")) & _fits("size", "place", "_m", "_j")).select(
-        F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
-    pairs = kept(pairs.unionByName(star).distinct(), "pairs")
-
-    ahead = 9 * (F.col("size") - F.col("place")) >= 8 * F.col("size")  # entries that can be the smaller partner's
-
-    def texts_of(pairs_: DataFrame) -> DataFrame:
-        ids = pairs_.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        return kept(_chosen_texts(docs, kept(ids.join(classes, "class").where("doc_id IS NOT NULL")
-                                            .select("class", "doc_id"), "asked")), "asked-texts")
-
-    links = kept(_similar(pairs, texts_of(pairs), PERCENT), "similar")
-    parts = kept(components(links), "parts")
-
-    # What the leaders' answers leave open: sets outside their leader's component.
-    part_of = lambda c: F.coalesce(F.col(c), F.col(c.replace("part", "class")))
-    named = listed.join(parts.select(F.col("id").alias("class"), F.col("component").alias("part")), "class", "left")
-    named = kept(named.withColumn("part", part_of("part")), "named-lists")
-    heads = (leaders.join(named.select("shingle", "block", F.col("class").alias("leader"), F.col("part").alias("_lead")),
-                          ["shingle", "block", "leader"]).select("shingle", "block", "_lead"))
-    named = kept(named.join(heads, ["shingle", "block"], "left")
-                 .withColumn("apart", F.col("_lead").isNull() | (F.col("part") != F.col("_lead"))).drop("_lead"), "open-lists")
-    small = named.where(ahead).select("shingle", F.col("class").alias("a"), F.col("size").alias("_n"), F.col("place").alias("_i"),
-                                      F.col("part").alias("_p"), F.col("apart").alias("_f"), "block")
-    above = small.withColumn("block", F.col("block") + 1)
-    large = named.select("shingle", "block", F.col("class").alias("b"), F.col("size").alias("_m"), F.col("place").alias("_j"),
-                         F.col("part").alias("_q"), F.col("apart").alias("_g"))
-    fits = (F.col("_n") <= F.col("_m")) & (F.col("_p") != F.col("_q")) & _fits("_n", "_i", "_m", "_j")
-    meet = lambda x, y: x.join(y, ["shingle", "block"]).where(fits).select("a", "b")
-    # The block above has a leader of its own: what follows that one is open if the two leaders are apart.
-    crossing = above.where("NOT _f").join(heads, ["shingle", "block"]).where("_p <> _lead").drop("_lead")
-    rest = (meet(small.where("_f").unionByName(above.where("_f")), large)
-            .unionByName(meet(small.where("NOT _f").unionByName(above.where("NOT _f")), large.where("_g")))
-            .unionByName(meet(crossing, large.where("NOT _g"))))
-    rest = kept(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    links = kept(links.unionByName(_similar(rest, texts_of(rest), PERCENT)), "similar")
-
-    # Components by the classes' smallest doc_ids, so the smallest label is the smallest id.
-    ids = classes.select("class", "doc_id")
-    edges = (links.join(ids.select(F.col("class").alias("a"), F.col("doc_id").alias("_x")), "a")
-             .join(ids.select(F.col("class").alias("b"), F.col("doc_id").alias("_y")), "b")
-             .select(F.col("_x").alias("a"), F.col("_y").alias("b")))
-    found = components(edges)
-    known = kept(classes.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-                 .select("class", F.coalesce("component", "doc_id").alias("_component"), "copies"), "class-components")
+    # Before its first frequent shingle a set has only its own: the set with the smallest share of
+    # these leads: one set for nearly all lists of a group, and the one that most others come from.
+    alone = late.groupBy("class").agg(F.min(F.floor(1024 * F.col("place") / F.col("size"))).alias("own"))
+    listed = kept(listed.join(alone, "class", "left").withColumn("own", F.coalesce("own", F.lit(1024)))
+                  .withColumn("block", _size_class(F.col("size"))), "long-lists")
+    leaders = kept(listed.groupBy("shingle", "block").agg(F.min(F.struct("own", "class", "size", "place")).alias("_l"))
+                   .select("shingle", "block", F.col("_l.class").alias("leader"), F.col("_l.size").alias("_m"),
+                           F.col("_l.place").alias("_j")), "leaders")
+    # Entries that can be the smaller partner's are also in the list of the next block.
+    ahead = 9 * (F.col("size") - F.col("place")) >= 8 * F.col("size")
+    members = listed.unionByName(listed.where(ahead).withColumn("block", F.col("block") + 1))
+    led = members.join(leaders, ["shingle", "block"]).where(F.col("class") != F.col("leader"))
+    # A difference is wanted where the list holds a third set; the leader's own answer, where the two can be similar.
+    others = members.groupBy("shingle", "block").agg((F.count("*") > 2).alias("_more"))
+    star = (led.join(others, ["shingle", "block"]).select(F.col("leader").alias("a"), F.col("class").alias("b"), F.col("_more").alias("wanted"),
+                                                          _fits("size", "place", "_m", "_j").alias("_fits"))
+            .where("wanted OR _fits").groupBy("a", "b").agg(F.max("wanted").alias("wanted")))
+    pairs = kept(pairs.withColumn("wanted", F.lit(False)).unionByName(star).groupBy("a", "b").agg(F.max("wanted").alias("wanted")), "pairs")
+    dropped(late, listed, leaders)
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    asked = kept(ids.join(classes, "class").select("class", "key"), "asked")
+    texts = kept(_chosen_texts(docs, asked), "asked-texts")
+    compared = kept(_compared(pairs, texts, PERCENT, frequent), "compared")
+    dropped(short, pairs, asked)
+    differences = compared.where("element IS NOT NULL").select(
+        F.col("a").alias("leader"), "element", F.col("b").alias("class"), "place", "size", "delta", "apart")
+    links = _open_links(differences, _links(compared).distinct(), texts, PERCENT)
+    dropped(texts)
+
+    # Components of classes; the smallest doc_id of all their documents names them.
+    found = components(links).select(F.col("id").alias("class"), "component")
+    named = classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("_component"))
+    known = kept(named.join(smallest, "component").select("class", "_component", "copies"), "class-components")
     lonely = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"),
                                                  F.lit(1).cast("bigint").alias("copies"))
     return (rows.where("n_shingles > 0").join(known, "class")
@@ -360,11 +455,10 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def listed(place: pa.Array) -> pa.Array:
-        at = place.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pa.array(_may_hold(sent.value, place.to_numpy(zero_copy_only=False)))
 
     id_ = F.col("doc_id").cast("bigint")
-    maybe = F.when(id_.isNull(), F.lit(False)).otherwise(listed(F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS)).cast("bigint")))
+    maybe = F.when(id_.isNull(), F.lit(False)).otherwise(listed(F.xxhash64(id_)))
     marked = docs.withColumn(mark, maybe)
     hits = marked.where(F.col(mark)).drop(mark)
     drops = drops.withColumnRenamed("id", drop)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..session import shared_dir
+from ..sources import files
 
 
 def kept(df: DataFrame, purpose: str) -> DataFrame:
@@ -15,7 +16,15 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Remove tables that ``kept`` wrote, once nothing reads them any more."""
+    for df in frames:
+        files.remove(df.sparkSession, df._kept)
 
 
 def unused(df: DataFrame, name: str) -> str:

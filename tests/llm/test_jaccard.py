@@ -64,7 +64,7 @@ def edited(seed, copies, size=120, subgroups=4):
 
 
 def test_sets_apart_from_their_leader(docs_df):
-    for seed in range(4):
+    for seed in range(2):
         rows = edited(seed, 150) + [(1000 + i, t) for i, t in edited(seed + 50, 60, 40)]
         want = brute.jaccard(rows)
         assert len({c for _, c in want.values()}) > 5
@@ -96,7 +96,7 @@ def test_pairs_grow_with_the_group_not_with_its_square(docs_df, monkeypatch):
 
     monkeypatch.setattr(module, "kept", counted)
     total = []
-    for copies in (60, 120, 240):
+    for copies in (60, 240):
         counts.clear()
         rng = random.Random(copies)
         base = [f"w{i}" for i in range(200)]
@@ -108,7 +108,7 @@ def test_pairs_grow_with_the_group_not_with_its_square(docs_df, monkeypatch):
             rows.append((k, " ".join(text)))
         assert result(jaccard_components(docs_df(rows))) == brute.jaccard(rows)
         total.append(sum(counts.values()))
-    assert total[2] <= 6 * total[0], total
+    assert total[1] <= 6 * total[0], total
 
 
 def test_whole_table(table_df):

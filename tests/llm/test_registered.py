@@ -10,7 +10,7 @@ from ..test_queries import con, rows  # noqa: F401
 from . import brute
 
 
-@pytest.mark.parametrize("name", ["op1_top_k", "op4_url_filter"])
+@pytest.mark.parametrize("name", sorted(entry.llm.CHECKS))
 def test_sql(spark, con, name):  # noqa: F811
     df = entry.queries()[name](spark, DATA)
     want = con.execute(entry.oracle_sql()[name])
@@ -20,7 +20,7 @@ def test_sql(spark, con, name):  # noqa: F811
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in entry.queries()}
     assert "pipeline" in entry.queries()
 
 

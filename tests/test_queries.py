@@ -1,4 +1,4 @@
-"""Registered queries against DuckDB on the smallest tables; ALL_QUERIES=1 runs every one."""
+"""Every registered query that has check SQL against DuckDB, on the smallest tables."""
 
 import os
 
@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from toolwarden.plans import catalog
 
 from .conftest import DATA
 
@@ -25,11 +26,7 @@ def rows(columns, values):
     return sorted(([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order] for r in values), key=key)
 
 
-SMOKE = ("rule_findings", "score", "drift_findings", "list_latest", "stats", "recent_drift", "manifest_hash",
-         "known_cve", "upsert_servers", "per_tool_tokens")
-
-
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()) if os.environ.get("ALL_QUERIES") else SMOKE)
+@pytest.mark.parametrize("name", sorted(catalog.CHECKS))
 def test_query(spark, con, name):
     df = entry_module.queries()[name](spark, DATA)
     want = con.execute(entry_module.oracle_sql()[name])

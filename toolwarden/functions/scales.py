@@ -40,8 +40,3 @@ def grade(score: Column) -> Column:
     for letter, floor in reversed(C.GRADE_FLOORS):
         col = F.when(score >= floor, F.lit(letter)).otherwise(col)
     return col
-
-
-def normal_severity(text: Column) -> Column:
-    """Known severity names stay; anything else reads as info."""
-    return F.when(text.isin(*SEVERITY_NAMES), text).otherwise(F.lit("info"))

@@ -99,8 +99,3 @@ def spec_version(spec: Column) -> Column:
 def unscoped(name: Column) -> Column:
     """Text after the last slash."""
     return F.substring_index(name, "/", -1)
-
-
-def scheme_of(url: Column) -> Column:
-    """``https`` only for that exact prefix."""
-    return F.when(F.startswith(url, F.lit("https://")), F.lit("https")).otherwise(F.lit("http"))

@@ -226,16 +226,16 @@ def drift_event_severity(kind: Column, steered: Column, shorter: Column) -> Colu
             .otherwise(F.lit("info")))
 
 
-def scan_pairs(scans: DataFrame, cell: Column | None = None) -> DataFrame:
+def scan_pairs(scans: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Each scan with the server's previous one: (server_id, scan_id, prev_scan_id, scanned_at).
 
-    Scans of one server are cut into hours, or by ``cell``; a scan takes seconds, so an
-    hour of one server is small however long its history.
+    Scans of one server are cut into hours, and these by time and ranges of ``width`` ids, so
+    neither a long history nor a bulk import under one time is sorted by one task.
     """
-    hour = F.date_trunc("hour", F.col("scanned_at")) if cell is None else cell
+    together = F.struct(F.col("scanned_at"), F.floor(F.col("scan_id") / width).alias("ids"))
     return previous_within(
         scans.select("server_id", F.col("id").alias("scan_id"), "scanned_at"), ["server_id"],
-        ["scanned_at", "scan_id"], hour, F.col("scan_id"), "prev_scan_id")
+        ["scanned_at", "scan_id"], [together, F.date_trunc("hour", F.col("scanned_at"))], F.col("scan_id"), "prev_scan_id")
 
 
 def for_pairs(table: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

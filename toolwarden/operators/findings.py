@@ -69,10 +69,6 @@ def rows_of(df: DataFrame, hits: Column) -> DataFrame:
     return unnest(df, ["scan_id"], hits, "f").select("scan_id", "f.*")
 
 
-def empty_findings(spark) -> DataFrame:
-    return spark.createDataFrame([], FINDINGS_SCHEMA)
-
-
 def findings_union(*parts: DataFrame) -> DataFrame:
     """All analyzers' findings as one table; ``analyzer_ord``, ``seq`` keep the listing order."""
     return reduce(DataFrame.unionByName, parts)

@@ -44,22 +44,26 @@ def rank_within(df: DataFrame, keys: list[str], major: Column, minor: Column, na
             .drop("_major", "_minor", "_range", "_local", "_offset"))
 
 
-def previous_within(df: DataFrame, keys: list[str], order: list[str], cell: Column,
+def previous_within(df: DataFrame, keys: list[str], order: list[str], cells: list[Column],
                     value: Column, name: str) -> DataFrame:
     """Add the ``value`` of the preceding row of the group in ``order``; NULL for the first.
 
-    ``cell`` must not decrease along ``order`` (for times, a truncated time).  Rows look
-    back inside their cell; the first row of a cell takes the last row of the nearest
-    earlier cell, found among one row per cell.
+    ``cells`` go from fine to coarse, each inside the next, and none may decrease along
+    ``order``.  Rows look back inside their finest cell; the first row of a cell takes the last
+    row of the nearest earlier one, found in the same way among one row per cell.
     """
-    rows = df.withColumn("_cell", cell).withColumn("_value", value)
-    group = keys + ["_cell"]
+    around = [f"_around{len(cells)}_{k}" for k in range(len(cells) - 1)]
+    cell, own, tail, carried = (f"{c}{len(cells)}" for c in ("_cell", "_value", "_tail", "_carried"))
+    rows = df.withColumns({cell: cells[0], own: value, **dict(zip(around, cells[1:]))})
+    group = [*keys, cell]
     local = Window.partitionBy(*group).orderBy(*order)
-    tails = (rows.groupBy(*group).agg(F.max_by("_value", F.struct(*order)).alias("_tail"))
-             .withColumn("_carried", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_cell")))
-             .drop("_tail"))
-    return (rows.withColumn("_prev", F.lag("_value").over(local))
+    tails = rows.groupBy(*group, *around).agg(F.max_by(own, F.struct(*order)).alias(tail))
+    if around:
+        tails = previous_within(tails, keys, [cell], [F.col(c) for c in around], F.col(tail), carried)
+    else:
+        tails = tails.withColumn(carried, F.lag(tail).over(Window.partitionBy(*keys).orderBy(cell)))
+    return (rows.drop(*around).withColumn("_prev", F.lag(own).over(local))
             .withColumn("_first", F.row_number().over(local) == 1)
-            .join(tails, group)
-            .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_prev")))
-            .drop("_cell", "_value", "_prev", "_first", "_carried"))
+            .join(tails.select(*group, carried), group)
+            .withColumn(name, F.when(F.col("_first"), F.col(carried)).otherwise(F.col("_prev")))
+            .drop(cell, own, "_prev", "_first", carried))

@@ -63,8 +63,11 @@ def edited(seed, copies, size=120, subgroups=4):
     return list(enumerate(rows))
 
 
-def test_sets_apart_from_their_leader(docs_df):
-    for seed in range(2):
+def test_sets_apart_from_their_leader(docs_df, monkeypatch):
+    import toolwarden.llm.jaccard as module
+
+    for seed, small in ((0, 2), (1, 16)):
+        monkeypatch.setattr(module, "SMALL_LIST", small)
         rows = edited(seed, 150) + [(1000 + i, t) for i, t in edited(seed + 50, 60, 40)]
         want = brute.jaccard(rows)
         assert len({c for _, c in want.values()}) > 5

@@ -15,7 +15,8 @@ differences: two sets of which one is not similar to the leader can only be simi
 differences, at least ``(d + d' - (size + size') / 9) / 2`` of them.  So the differences are an
 index of their own, again on prefixes with the rarest first and skipped by position, and only
 sets that meet there and are of different components by then are compared: first with the first
-of their list, then what is left.  Nothing is capped; every comparison counts whole sets.
+of their list, then what is left.  In lists of a few sets, where a leader decides little, those
+left open are compared directly.  Nothing is capped; every comparison counts whole sets.
 
 The text is tokenised in numpy inside its task; what is shuffled are index entries, and one text
 of each class that has a candidate (half the bytes of its set, as texts compress).
@@ -42,8 +43,10 @@ FREQUENT_FROM = 16
 #: A task reports a shingle as frequent from this count, and forgets the rarest beyond TASK_COUNTED.
 TASK_FROM = 3
 TASK_COUNTED = 1 << 20
-#: Lists up to this length are compared entry by entry; longer ones through a leader.
+#: Lists of two are one pair.  In longer ones every entry is compared with a leader, and what that leaves open
+#: entry by entry up to SMALL_LIST entries, through differences from the leader beyond.
 SHORT_LIST = 2
+SMALL_LIST = 16
 #: The filter that keeps texts without a candidate out of the shuffle has sixteen bits for each of them, so many at least and at most.
 FILTER_BITS = 1 << 23
 MOST_FILTER_BITS = 1 << 30
@@ -320,12 +323,28 @@ def _links(compared: DataFrame) -> DataFrame:
     return compared.where("element IS NULL").select("a", "b")
 
 
-def _with_parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _parts(links: DataFrame, purpose: str) -> DataFrame:
+    return kept(components(links).select(F.col("id").alias("class"), F.col("component").alias("part")), purpose)
+
+
+def _with_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
     """``rows`` (class, ...) with the component of their class as ``part``."""
-    parts = components(links).select(F.col("id").alias("class"), F.col("component").alias("part"))
     return rows.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
 
 
+def _small_lists(small: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a short list and can be similar by size and position."""
+    rows = _with_parts(small, parts)
+    mixed = rows.groupBy("shingle", "block").agg(F.min("part").alias("_l"), F.max("part").alias("_h")).where("_l <> _h")
+    rows = rows.join(mixed.select("shingle", "block"), ["shingle", "block"])
+    named = lambda names: rows.select("shingle", "block", *[F.col(c).alias(n) for c, n in names.items()])
+    left = named({"class": "a", "size": "_n", "place": "_i", "part": "_p", "own": "_o"})
+    right = named({"class": "b", "size": "_m", "place": "_j", "part": "_q", "own": "_w"})
+    # Two that are both guests of a block meet in their own.
+    meet = (F.col("a") < F.col("b")) & (F.col("_p") != F.col("_q")) & (F.col("_o") | F.col("_w")) & _fits("_n", "_i", "_m", "_j")
+    return left.join(right, ["shingle", "block"]).where(meet).select("a", "b").distinct()
+
+
 def _derivable(d: str, i: str, n: str, e: str, j: str, m: str) -> Column:
     """Whether sets of sizes n and m with d and e differences, meeting at places i and j of them, can be similar."""
     sizes = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
@@ -333,18 +352,19 @@ def _derivable(d: str, i: str, n: str, e: str, j: str, m: str) -> Column:
     return sizes & enough & (9 * F.abs(F.col(d) - F.col(e)) <= F.col(n) + F.col(m))
 
 
-def _open_links(differences: DataFrame, links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """All links that lists of shared differences add to ``links``: at least those between different components.
+def _open_links(small: DataFrame, differences: DataFrame, links: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All links that ``small`` lists and lists of shared differences add to ``links``, at least between components.
 
-    ``differences`` has (leader, element, class, place, size, delta, apart).  Of each list the first
-    set that is apart from the leader is compared with all others; then what is still of different
-    components is compared pair by pair.
+    ``small`` has (shingle, block, class, size, place, own), ``differences`` (leader, element, class,
+    place, size, delta, apart).  Of each list of differences the first set that is apart from the
+    leader is compared with all others; then what is still of different components is compared
+    pair by pair.  ``pairs`` have been compared.
     """
     list_ = ["leader", "element"]
     nothing = np.zeros(0, np.uint64)
 
-    def opened(links: DataFrame, purpose: str) -> DataFrame:
-        rows = kept(_with_parts(differences, links), purpose)
+    def opened(parts: DataFrame) -> DataFrame:
+        rows = _with_parts(differences, parts)
         mixed = (rows.groupBy(*list_).agg(F.min("part").alias("_l"), F.max("part").alias("_h"), F.bool_or("apart").alias("_a"))
                  .where("_a AND _l <> _h").select(*list_))
         return rows.join(mixed, list_)
@@ -358,13 +378,17 @@ def _open_links(differences: DataFrame, links: DataFrame, texts: DataFrame, perc
         return left.join(right, list_).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                                                           (~F.col("_f") | (F.col("a") < F.col("b"))).alias("_once"))
 
-    rows = opened(links, "differences")
+    parts = _parts(links, "parts")
+    rows = kept(opened(parts), "differences")
     columns = ["class", "delta", "place", "size", "part", "apart"]
     first = (rows.where("apart").groupBy(*list_).agg(F.min(F.struct("place", *[c for c in columns if c != "place"])).alias("_l"))
              .select(*list_, *[F.col(f"_l.{c}").alias(c) for c in columns]))
-    star = kept(sides(first, rows).select("a", "b").distinct().withColumn("wanted", F.lit(False)), "second-pairs")
+    star = (sides(first, rows).select("a", "b").unionByName(_small_lists(small, parts)).distinct()
+            .join(pairs, ["a", "b"], "left_anti").withColumn("wanted", F.lit(False)))
+    star = kept(star, "second-pairs")
     more = kept(links.unionByName(_links(_compared(star, texts, percent, nothing))), "second-links")
-    rows = opened(more, "open-differences")
+    dropped(rows, parts)
+    rows = kept(opened(_parts(more, "second-parts")), "open-differences")
     rest = sides(rows.where("apart"), rows).where("_once").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     rest = kept(rest.withColumn("wanted", F.lit(False)), "open-pairs")
     return kept(more.unionByName(_links(_compared(rest, texts, percent, nothing))), "all-links")
@@ -401,33 +425,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
               .groupBy("shingle", "class").agg(F.min("size").alias("size"), F.min("place").alias("place")))
     # Before its first frequent shingle a set has only its own: the set with the smallest share of
     # these leads: one set for nearly all lists of a group, and the one that most others come from.
-    alone = late.groupBy("class").agg(F.min(F.floor(1024 * F.col("place") / F.col("size"))).alias("own"))
-    listed = kept(listed.join(alone, "class", "left").withColumn("own", F.coalesce("own", F.lit(1024)))
+    alone = late.groupBy("class").agg(F.min(F.floor(1024 * F.col("place") / F.col("size"))).alias("alone"))
+    listed = kept(listed.join(alone, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(1024)))
                   .withColumn("block", _size_class(F.col("size"))), "long-lists")
-    leaders = kept(listed.groupBy("shingle", "block").agg(F.min(F.struct("own", "class", "size", "place")).alias("_l"))
+    leaders = kept(listed.groupBy("shingle", "block").agg(F.min(F.struct("alone", "class", "size", "place")).alias("_l"))
                    .select("shingle", "block", F.col("_l.class").alias("leader"), F.col("_l.size").alias("_m"),
                            F.col("_l.place").alias("_j")), "leaders")
     # Entries that can be the smaller partner's are also in the list of the next block.
     ahead = 9 * (F.col("size") - F.col("place")) >= 8 * F.col("size")
-    members = listed.unionByName(listed.where(ahead).withColumn("block", F.col("block") + 1))
+    members = listed.withColumn("own", F.lit(True)).unionByName(
+        listed.where(ahead).withColumn("block", F.col("block") + 1).withColumn("own", F.lit(False))).select(
+        "shingle", "block", "class", "size", "place", "own")
     led = members.join(leaders, ["shingle", "block"]).where(F.col("class") != F.col("leader"))
-    # A difference is wanted where the list holds a third set; the leader's own answer, where the two can be similar.
-    others = members.groupBy("shingle", "block").agg((F.count("*") > 2).alias("_more"))
-    star = (led.join(others, ["shingle", "block"]).select(F.col("leader").alias("a"), F.col("class").alias("b"), F.col("_more").alias("wanted"),
-                                                          _fits("size", "place", "_m", "_j").alias("_fits"))
-            .where("wanted OR _fits").groupBy("a", "b").agg(F.max("wanted").alias("wanted")))
+    sizes = members.groupBy("shingle", "block").agg(F.count("*").alias("_c")).where("_c > 2")
+    # Differences are wanted in long lists; the leader's own answer, where the two can be similar.
+    star = (led.join(sizes, ["shingle", "block"], "left").select(
+        F.col("leader").alias("a"), F.col("class").alias("b"), F.coalesce(F.col("_c") > SMALL_LIST, F.lit(False)).alias("wanted"),
+        _fits("size", "place", "_m", "_j").alias("_fits")).where("wanted OR _fits").select("a", "b", "wanted"))
     pairs = kept(pairs.withColumn("wanted", F.lit(False)).unionByName(star).groupBy("a", "b").agg(F.max("wanted").alias("wanted")), "pairs")
+    small = kept(members.join(sizes.where(F.col("_c") <= SMALL_LIST), ["shingle", "block"]).drop("_c"), "small-lists")
     dropped(late, listed, leaders)
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(small.select("class")).distinct()
     asked = kept(ids.join(classes, "class").select("class", "key"), "asked")
     texts = kept(_chosen_texts(docs, asked), "asked-texts")
     compared = kept(_compared(pairs, texts, PERCENT, frequent), "compared")
-    dropped(short, pairs, asked)
+    dropped(short, asked)
     differences = compared.where("element IS NOT NULL").select(
         F.col("a").alias("leader"), "element", F.col("b").alias("class"), "place", "size", "delta", "apart")
-    links = _open_links(differences, _links(compared).distinct(), texts, PERCENT)
-    dropped(texts)
+    links = _open_links(small, differences, _links(compared).distinct(), pairs.select("a", "b"), texts, PERCENT)
+    dropped(texts, compared, pairs, small)
 
     # Components of classes; the smallest doc_id of all their documents names them.
     found = components(links).select(F.col("id").alias("class"), "component")

@@ -1,28 +1,16 @@
-"""Physical plans: no cross joins, no unbounded single-task work, pruned scans."""
+"""Physical plans: pruned scans, no unbounded single-task work.  Cross joins are looked for where the queries run."""
 
 import re
 
-import pytest
-
 from toolwarden.plans.catalog import CHECKS, QUERIES
 
 from .conftest import DATA
 
-WRITES = {"read_baselines", "record_scans", "read_rules", "drift_stream", "drift_rate_30d", "baseline_documents",
-          "report_document", "sarif_document", "snapshot_document"}
-
-
 def plan(spark, name):
     df = QUERIES[name](spark, DATA)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
-def test_no_cross_join(spark, name):
-    text = plan(spark, name)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_columns_are_pruned(spark):
     text = plan(spark, "model_cost")
     for schema in re.findall(r"ReadSchema: (\S+)", text):

@@ -33,6 +33,8 @@ def test_query(spark, con, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, want.fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_entry(spark):

@@ -79,7 +79,8 @@ def record_scans(spark: SparkSession, path: str, batch: str, reports: Reports, b
 
     Servers are inserted or seen again, each scan is compared with the newest of its server that
     arrived before it, in this batch or an earlier one, and servers, scans, findings, tools and
-    drift events appear together, with one commit.  A batch of that name that is already there is
+    drift events appear together, with one commit.  Findings and tools of scans that are not in the
+    batch are left out.  A batch of that name that is already there is
     returned as it is.  Work that fails before its commit leaves nothing that a reader sees and can
     be repeated; of two batches written at a time one ends with ``store.Conflict``.
 

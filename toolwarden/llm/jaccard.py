@@ -16,7 +16,8 @@ differences, at least ``(d + d' - (size + size') / 9) / 2`` of them.  So the dif
 index of their own, again on prefixes with the rarest first and skipped by position, and only
 sets that meet there and are of different components by then are compared: first with the first
 of their list, then what is left.  In lists of a few sets, where a leader decides little, those
-left open are compared directly.  Nothing is capped; every comparison counts whole sets.
+left open are compared directly.  Before any text is moved, a pair's signatures (parities of
+their shingles) must allow the similarity.  Nothing is capped; every comparison counts whole sets.
 
 The text is tokenised in numpy inside its task; what is shuffled are index entries, and one text
 of each class that has a candidate (half the bytes of its set, as texts compress).
@@ -47,6 +48,9 @@ TASK_COUNTED = 1 << 20
 #: entry by entry up to SMALL_LIST entries, through differences from the leader beyond.
 SHORT_LIST = 2
 SMALL_LIST = 16
+#: Words of a set's signature: each shingle flips one of so many times 64 bits.
+SIGNATURE = 8
+_SIGNS = [f"s{k}" for k in range(SIGNATURE)]
 #: The filter that keeps texts without a candidate out of the shuffle has sixteen bits for each of them, so many at least and at most.
 FILTER_BITS = 1 << 23
 MOST_FILTER_BITS = 1 << 30
@@ -67,6 +71,18 @@ def _class_ids(bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
     return arrays.mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
+def _signatures(bounds: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Parities of each set's shingles by place, SIGNATURE 64-bit words a row.
+
+    Two signatures differ in no more bits than the two sets have shingles that only one of them holds.
+    """
+    rows, bits = len(bounds) - 1, 64 * SIGNATURE
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    place = (arrays.mix(value) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(row * bits + place, minlength=rows * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(rows, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def _prefix(size: np.ndarray) -> np.ndarray:
     """How many first shingles of a set are indexed: all but as many as any similar set can miss."""
     return np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
@@ -100,14 +116,15 @@ def _sketch(docs: DataFrame) -> DataFrame:
             value_of, count_of = value_of[count_of >= least], count_of[count_of >= least]
 
         none = lambda n, t: pa.nulls(n, t)
-        names = ["doc_id", "n_shingles", "class", "shingle", "seen", "key"]
+        names = ["doc_id", "n_shingles", "class", "shingle", "seen", "key", *_SIGNS]
         for batch in batches:
             for low, high, bounds, value in _sets(batch):
                 size = np.diff(bounds)
                 waiting.append(value)
                 yield pa.record_batch([batch.column(0).slice(low, high - low), pa.array(size.astype(np.int64)),
                                        arrays.long(_class_ids(bounds, value)), none(high - low, pa.int64()),
-                                       none(high - low, pa.int64()), batch.column(2).slice(low, high - low)], names=names)
+                                       none(high - low, pa.int64()), batch.column(2).slice(low, high - low),
+                                       *map(pa.array, np.ascontiguousarray(_signatures(bounds, value).T))], names=names)
             if len(value_of) + sum(map(len, waiting)) > TASK_COUNTED:
                 add_up(1)
                 if len(value_of) > TASK_COUNTED // 2:
@@ -115,10 +132,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
         add_up(TASK_FROM)
         n = len(value_of)
         yield pa.record_batch([none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), arrays.long(value_of),
-                               pa.array(count_of), none(n, pa.string())], names=names)
+                               pa.array(count_of), none(n, pa.string()), *[none(n, pa.int64())] * SIGNATURE], names=names)
 
     return docs.withColumn("key", _key()).mapInArrow(
-        scan, "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, seen bigint, key string")
+        scan, "doc_id bigint, n_shingles bigint, class bigint, shingle bigint, seen bigint, key string, "
+              + ", ".join(f"{c} bigint" for c in _SIGNS))
 
 
 ENTRY = "shingle bigint, class bigint, size int, place int"
@@ -319,6 +337,26 @@ def _compared(pairs: DataFrame, texts: DataFrame, percent: int, frequent: np.nda
     return (pairs.join(right, "b").join(left, "a").select("a", "b", "wanted", "_x", "_y").mapInArrow(verify, COMPARED))
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, wanted) that are wanted or whose signatures allow the similarity.
+
+    Similar sets have at most a ninth of their sizes' sum in shingles that only one holds.
+    """
+    of = lambda end, mark: classes.select(F.col("class").alias(end), *[F.col(c).alias(f"{mark}{c}") for c in ("size", *_SIGNS)])
+    apart = sum((F.bit_count(F.col(f"_x{c}").bitwiseXOR(F.col(f"_y{c}"))) for c in _SIGNS), F.lit(0))
+    near = 9 * apart <= F.col("_xsize") + F.col("_ysize")
+    return pairs.join(of("a", "_x"), "a").join(of("b", "_y"), "b").where(F.col("wanted") | near).select("a", "b", "wanted")
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, text) of both ends of the pairs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    asked = kept(ids.join(classes.select("class", "key"), "class"), "asked")
+    texts = kept(_chosen_texts(docs, asked), "asked-texts")
+    dropped(asked)
+    return texts
+
+
 def _links(compared: DataFrame) -> DataFrame:
     return compared.where("element IS NULL").select("a", "b")
 
@@ -352,7 +390,7 @@ def _derivable(d: str, i: str, n: str, e: str, j: str, m: str) -> Column:
     return sizes & enough & (9 * F.abs(F.col(d) - F.col(e)) <= F.col(n) + F.col(m))
 
 
-def _open_links(small: DataFrame, differences: DataFrame, links: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _open_links(small: DataFrame, differences: DataFrame, links: DataFrame, pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """All links that ``small`` lists and lists of shared differences add to ``links``, at least between components.
 
     ``small`` has (shingle, block, class, size, place, own), ``differences`` (leader, element, class,
@@ -361,7 +399,12 @@ def _open_links(small: DataFrame, differences: DataFrame, links: DataFrame, pair
     pair by pair.  ``pairs`` have been compared.
     """
     list_ = ["leader", "element"]
-    nothing = np.zeros(0, np.uint64)
+
+    def verified(asked: DataFrame) -> DataFrame:
+        texts = _texts_of(docs, asked, classes)
+        found = kept(_links(_compared(asked, texts, PERCENT, np.zeros(0, np.uint64))), "similar")
+        dropped(texts)
+        return found
 
     def opened(parts: DataFrame) -> DataFrame:
         rows = _with_parts(differences, parts)
@@ -385,13 +428,13 @@ def _open_links(small: DataFrame, differences: DataFrame, links: DataFrame, pair
              .select(*list_, *[F.col(f"_l.{c}").alias(c) for c in columns]))
     star = (sides(first, rows).select("a", "b").unionByName(_small_lists(small, parts)).distinct()
             .join(pairs, ["a", "b"], "left_anti").withColumn("wanted", F.lit(False)))
-    star = kept(star, "second-pairs")
-    more = kept(links.unionByName(_links(_compared(star, texts, percent, nothing))), "second-links")
+    star = kept(_plausible(star, classes), "second-pairs")
+    more = links.unionByName(verified(star))
     dropped(rows, parts)
     rows = kept(opened(_parts(more, "second-parts")), "open-differences")
     rest = sides(rows.where("apart"), rows).where("_once").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = kept(rest.withColumn("wanted", F.lit(False)), "open-pairs")
-    return kept(more.unionByName(_links(_compared(rest, texts, percent, nothing))), "all-links")
+    rest = kept(_plausible(rest.withColumn("wanted", F.lit(False)), classes), "open-pairs")
+    return more.unionByName(verified(rest))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -411,11 +454,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     top = (sketch.where("seen IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("n"))
            .where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect())
     frequent = np.sort(np.array([r.shingle for r in top], np.int64).view(np.uint64))
-    rows = sketch.where("seen IS NULL").select("doc_id", "n_shingles", "class", "key")
+    rows = sketch.where("seen IS NULL").select("doc_id", "n_shingles", "class", "key", *_SIGNS)
     # A class is fetched by one of its documents, if it can by one with an id.
     classes = kept(rows.where("n_shingles > 0").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), F.col("key")))["key"].alias("key"),
-        F.count("*").alias("copies")), "classes")
+        F.count("*").alias("copies"), F.max("n_shingles").alias("size"), *[F.max(c).alias(c) for c in _SIGNS]), "classes")
     short = kept(_short_lists(_index(docs, frequent, False)), "short-lists")
     pairs = short.where("b IS NOT NULL").select("a", "b").distinct()
 
@@ -442,22 +485,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     star = (led.join(sizes, ["shingle", "block"], "left").select(
         F.col("leader").alias("a"), F.col("class").alias("b"), F.coalesce(F.col("_c") > SMALL_LIST, F.lit(False)).alias("wanted"),
         _fits("size", "place", "_m", "_j").alias("_fits")).where("wanted OR _fits").select("a", "b", "wanted"))
-    pairs = kept(pairs.withColumn("wanted", F.lit(False)).unionByName(star).groupBy("a", "b").agg(F.max("wanted").alias("wanted")), "pairs")
+    pairs = pairs.withColumn("wanted", F.lit(False)).unionByName(star).groupBy("a", "b").agg(F.max("wanted").alias("wanted"))
+    pairs = kept(_plausible(pairs, classes), "pairs")
     small = kept(members.join(sizes.where(F.col("_c") <= SMALL_LIST), ["shingle", "block"]).drop("_c"), "small-lists")
     dropped(late, listed, leaders)
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(small.select("class")).distinct()
-    asked = kept(ids.join(classes, "class").select("class", "key"), "asked")
-    texts = kept(_chosen_texts(docs, asked), "asked-texts")
+    texts = _texts_of(docs, pairs, classes)
     compared = kept(_compared(pairs, texts, PERCENT, frequent), "compared")
-    dropped(short, asked)
+    dropped(short, texts)
     differences = compared.where("element IS NOT NULL").select(
         F.col("a").alias("leader"), "element", F.col("b").alias("class"), "place", "size", "delta", "apart")
-    links = _open_links(small, differences, _links(compared).distinct(), pairs.select("a", "b"), texts, PERCENT)
-    dropped(texts, compared, pairs, small)
+    links = _open_links(small, differences, _links(compared).distinct(), pairs.select("a", "b"), docs, classes)
 
     # Components of classes; the smallest doc_id of all their documents names them.
     found = components(links).select(F.col("id").alias("class"), "component")
+    dropped(compared, pairs, small)
     named = classes.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("_component"))
     known = kept(named.join(smallest, "component").select("class", "_component", "copies"), "class-components")

@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from toolwarden.functions import jsontext
 from toolwarden.operators import capability, injection, manifest, report
 from toolwarden.sources import baselines, captures, traces
@@ -139,3 +141,30 @@ def test_baseline_documents(spark, tmp_path):
     assert {r.target: r.baseline_state for r in manifest.baseline_state(current, again).collect()} == states
     sides = baselines.baseline_tables(known, spark.createDataFrame([(1, "loose")], "scan_id bigint, target string"))
     assert [(r.pos, r.name, r.input_schema) for r in sides["tools"].orderBy("pos").collect()][1][1:] == ("a", None)
+
+
+def test_baseline_documents_of_any_size_are_read_in_splits(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "concat('t \"', id, '\" {') AS target", "'n' AS server_name", "'h' AS manifest_hash", "concat('{\"a\":\"},', id, '\"}') AS manifest",
+        "1 AS rubric_version", "timestamp '2026-07-01' AS recorded_at")
+    folder = tmp_path / "with space %20"
+    folder.mkdir()
+    baselines.write_baseline_document(rows, str(folder / "by line.json"))
+    baselines.write_baseline_document(rows.limit(0), str(folder / "none.json"))
+    (folder / "other.json").write_text(json.dumps({"version": "1", "baselines": {"x": {"target": "x", "manifest": {}}}}))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        one = baselines.read_baseline_documents(spark, str(folder / "by line.json"))
+        assert one.rdd.getNumPartitions() > 5
+        assert one.count() == 400
+        both = baselines.read_baseline_documents(spark, str(folder))
+        assert both.count() == 401
+        assert {r.manifest for r in both.collect()} == {"{}", *('{"a":"},%d"}' % i for i in range(400))}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    # What only begins like one is still read as a whole, and what is no JSON is still an error.
+    text = (folder / "by line.json").read_text()
+    (tmp_path / "cut.json").write_text(text[:-4])
+    with pytest.raises(Exception):
+        baselines.read_baseline_documents(spark, str(tmp_path / "cut.json")).collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import jsontext
 from ..operators import drift, manifest
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import baselines as baseline_files
 from ..sources import captures
 from . import bridge as B
@@ -93,15 +93,16 @@ def manifest_hash(spark, sf):
 
 
 def _current(spark, sf):
+    """The captures that worked, decoded once for all that reads them."""
     hashed = manifest.manifest_hash(captures.captured(_manifests(spark, sf)))
-    return hashed.withColumn("target", F.col("identifier"))
+    return stored(hashed.select("scan_id", F.col("identifier").alias("target"), "server_name", "scanned_at", "canonical", "manifest_hash"),
+                  "current")
 
 
-def _recorded(spark, sf):
+def _recorded(rows):
     """Baselines of every source but one in four, some with another version recorded."""
     stamp = F.when(F.col("scan_id") % 5 == 0, F.replace("canonical", F.lit('"schema_version":"1"'),
                                                        F.lit('"schema_version":"0"'))).otherwise(F.col("canonical"))
-    rows = _current(spark, sf)
     known = rows.where(F.col("scan_id") % 4 != 1).withColumn("canonical", stamp)
     return known.select("target", "server_name", F.sha2("canonical", 256).alias("manifest_hash"),
                         F.col("canonical").alias("manifest"), F.lit(1).alias("rubric_version"),
@@ -115,7 +116,8 @@ _STATE = _CANONICAL + """, states AS (SELECT *, sha256(canonical) AS manifest_ha
 
 @query("baseline_state", _STATE + " SELECT scan_id, target, baseline_state FROM states")
 def baseline_state(spark, sf):
-    return manifest.baseline_state(_current(spark, sf), _recorded(spark, sf)).select(
+    current = _current(spark, sf)
+    return manifest.baseline_state(current, _recorded(current)).select(
         "scan_id", "target", "baseline_state")
 
 
@@ -123,13 +125,15 @@ def baseline_state(spark, sf):
   THEN sha256(replace(canonical, '"schema_version":"1"', '"schema_version":"0"')) ELSE manifest_hash END AS manifest_hash
   FROM states""")
 def put_baseline(spark, sf):
-    return manifest.put_baseline(_current(spark, sf), _recorded(spark, sf)).select(
+    current = _current(spark, sf)
+    return manifest.put_baseline(current, _recorded(current)).select(
         "target", "server_name", "manifest_hash")
 
 
 @query("update_baseline", _STATE + " SELECT target, source AS server_name, manifest_hash FROM states")
 def update_baseline(spark, sf):
-    return manifest.put_baseline(_current(spark, sf), _recorded(spark, sf), update=True).select(
+    current = _current(spark, sf)
+    return manifest.put_baseline(current, _recorded(current), update=True).select(
         "target", "server_name", "manifest_hash")
 
 
@@ -138,7 +142,7 @@ def update_baseline(spark, sf):
   FROM states WHERE baseline_state <> 'first_scan'""")
 def read_baselines(spark, sf):
     path = shared_dir(spark, "baselines")
-    baseline_files.write_baselines(_recorded(spark, sf), path)
+    baseline_files.write_baselines(_recorded(_current(spark, sf)), path)
     return baseline_files.read_baselines(spark, path).select("target", F.sha2("manifest", 256).alias("manifest_hash"))
 
 
@@ -147,9 +151,10 @@ def read_baselines(spark, sf):
 def baseline_documents(spark, sf):
     """Baselines written as one JSON document, read back, and compared with the captures they came from."""
     path = shared_dir(spark, "baselines") + ".json"
-    baseline_files.write_baseline_document(_recorded(spark, sf), path)
+    current = _current(spark, sf)
+    baseline_files.write_baseline_document(_recorded(current), path)
     known = baseline_files.read_baseline_documents(spark, path)
-    return manifest.baseline_state(_current(spark, sf), known).where("baseline_state <> 'first_scan'").join(
+    return manifest.baseline_state(current, known).where("baseline_state <> 'first_scan'").join(
         known.select("target", F.col("server_name").alias("recorded_name")), "target").select(
         "target", "baseline_state", F.col("recorded_name").alias("server_name"))
 
@@ -159,7 +164,8 @@ def baseline_documents(spark, sf):
   CASE WHEN count(*) FILTER (baseline_state = 'first_scan') > 0 THEN 'error'
        WHEN count(*) FILTER (baseline_state = 'drifted') > 0 THEN 'drift' ELSE 'ok' END AS verdict FROM states""")
 def verify_gate(spark, sf):
-    return manifest.verify_gate(_current(spark, sf), _recorded(spark, sf))
+    current = _current(spark, sf)
+    return manifest.verify_gate(current, _recorded(current))
 
 
 # --- changes -------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
 import pytest
 
 from toolwarden.functions import jsontext
@@ -168,3 +169,23 @@ def test_baseline_documents_of_any_size_are_read_in_splits(spark, tmp_path):
     (tmp_path / "cut.json").write_text(text[:-4])
     with pytest.raises(Exception):
         baselines.read_baseline_documents(spark, str(tmp_path / "cut.json")).collect()
+
+
+def test_a_recorded_manifest_is_decoded_once_and_few_at_a_time(monkeypatch):
+    """One decode tells everything but where schemas stand, and big batches are worked on in pieces."""
+    decoded, held = [], []
+    shallow, some = jsontext._shallow, jsontext._some_parts
+
+    def counting():
+        decoder = shallow()
+        plain = decoder.decode
+        decoder.decode = lambda text: decoded.append(len(text)) or plain(text)
+        return decoder
+
+    monkeypatch.setattr(jsontext, "_shallow", counting)
+    monkeypatch.setattr(jsontext, "_some_parts", lambda *a: held.append(sum(map(len, a[0]))) or some(*a))
+    text = json.dumps({"server": {"name": "n"}, "tools": [{"name": "t", "description": "d" * 4000, "input_schema": {"a": 1}}], "prompts": [{"name": "p"}]})
+    parts = jsontext._manifest_parts(pa.array([text] * 600)).to_pylist()
+    assert len(decoded) == 600 and len(held) > 1 and max(held) <= jsontext._HELD
+    assert len(parts) == 600 and parts[599]["tools"] == [{"name": "t", "description": "d" * 4000, "input_schema": '{"a": 1}'}]
+    assert parts[0]["prompts"] == [{"name": "p", "description": ""}] and parts[0]["server_name"] == "n"

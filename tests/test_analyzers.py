@@ -232,3 +232,19 @@ def test_scan_finds_advisories_that_carry_only_ranges(spark):
     assert len(found) == 1 and '"R"' in found[0].meta
     without = ScanInputs(tools, specs=specs, packages=package, advisories=listed)
     assert scan_scorecards(inputs).first().score < scan_scorecards(without).first().score
+
+
+def test_versions_meet_intervals_by_keys_made_before(spark):
+    """Keys aren't worked out for each pair, hits of an advisory in one row aren't grouped, and one without an id isn't lost."""
+    found = spark.createDataFrame([(1, "npm", "p", "1.3.0")], "scan_id bigint, ecosystem string, name string, version string").select(
+        "scan_id", "ecosystem", "name", F.struct("ecosystem", "version", F.lit(True).alias("found")).alias("pkg"))
+    listed = spark.createDataFrame([("npm", "p", "1.3.0", "two", "s", "critical"), ("npm", "p", "1.3.0", None, "s", "")],
+                                   "ecosystem string, name string, version string, id string, summary string, severity string")
+    spans = spark.createDataFrame([("npm", "p", "one", "s", "", "1.2.0", None, None), ("npm", "p", "two", "s", "", "0", "1.10.0", None),
+                                   ("npm", "p", "not", "s", "", "1.3.1", None, None)],
+                                  "ecosystem string, name string, id string, summary string, severity string, introduced string, fixed string, last_affected string")
+    rows = supply.known_cve(found, listed, spans)
+    assert sorted((r.severity, str(r.title)) for r in rows.collect()) == sorted((r.severity, str(r.title)) for r in rows.distinct().collect())
+    assert [r.severity for r in rows.orderBy("severity").collect()].count("high") == 1 and rows.count() == 3
+    joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_version" in line]
+    assert joins and not any("regexp" in line.lower() for line in joins)

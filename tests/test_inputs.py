@@ -6,7 +6,9 @@ import json
 import pyarrow as pa
 import pytest
 
-from toolwarden.functions import jsontext
+from pyspark.sql import functions as F
+
+from toolwarden.functions import detect, jsontext
 from toolwarden.operators import capability, injection, manifest, report
 from toolwarden.sources import baselines, captures, traces
 
@@ -189,3 +191,12 @@ def test_a_recorded_manifest_is_decoded_once_and_few_at_a_time(monkeypatch):
     assert len(decoded) == 600 and len(held) > 1 and max(held) <= jsontext._HELD
     assert len(parts) == 600 and parts[599]["tools"] == [{"name": "t", "description": "d" * 4000, "input_schema": '{"a": 1}'}]
     assert parts[0]["prompts"] == [{"name": "p", "description": ""}] and parts[0]["server_name"] == "n"
+
+
+def test_harmless_text_is_shown_in_few_pieces(spark):
+    text = "word é字 " * 3000 + "\x1b[2J"
+    row = spark.createDataFrame([(text, text.encode("utf-8") + b"\xff")], "t string, b binary").select(
+        F.size(F.regexp_extract_all("t", F.lit(detect._PIECES), F.lit(0))).alias("pieces"),
+        F.size(F.regexp_extract_all(F.decode("b", "ISO-8859-1"), F.lit(detect._UNITS), F.lit(0))).alias("units"),
+        detect.escape_controls(F.col("b")).alias("shown")).first()
+    assert row.pieces == 3 and row.units <= 6010 and row.shown == "word é字 " * 3000 + r"\x1b[2J\xff"

@@ -74,7 +74,9 @@ def quoted(text: Column) -> Column:
                       .otherwise(F.concat(F.lit("\\u"), _hex(code, 4))))
                 .otherwise(char))
 
-    shown = F.array_join(F.transform(F.split(text, ""), show), "")
+    # What stays as it is, is one piece, however long.
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    shown = F.array_join(F.transform(pieces, show), "")
     plain = text.rlike(r'^[\x20-\x7e&&[^"\\]]*+\z')
     return F.concat(F.lit('"'), F.when(plain, text).otherwise(shown), F.lit('"'))
 
@@ -92,6 +94,11 @@ _TAIL = r"[\x80-\xbf]"
 _SEQUENCE = "|".join((
     r"[\x00-\x7f]", rf"[\xc2-\xdf]{_TAIL}", rf"\xe0[\xa0-\xbf]{_TAIL}", rf"[\xe1-\xec\xee\xef]{_TAIL}{{2}}",
     rf"\xed[\x80-\x9f]{_TAIL}", rf"\xf0[\x90-\xbf]{_TAIL}{{2}}", rf"[\xf1-\xf3]{_TAIL}{{3}}", rf"\xf4[\x80-\x8f]{_TAIL}{{2}}"))
+#: The bytes of a control or direction character beyond ASCII.
+_SHOWN = r"\xc2[\x80-\x9f]|\xd8\x9c|\xe2\x80[\x8e\x8f\xaa-\xae]|\xe2\x81[\xa6-\xa9]"
+#: Runs that stay as they are, or single characters, in bytes read as Latin-1 (where a broken byte is one too) and in text.
+_UNITS = rf"(?s)[ -~]++|(?:(?!{_SHOWN}|[\x00-\x7f])(?:{_SEQUENCE})){{1,64}}+|{_SEQUENCE}|."
+_PIECES = f"(?s)[^{_CONTROL}{_DIRECTION}]++|."
 
 
 def is_hostile(text: Column, keep_lines: bool = False) -> Column:
@@ -111,8 +118,8 @@ def escape_controls(text: Column, keep_lines: bool = False) -> Column:
     """
     text = text.cast("string")
     latin = F.decode(text.cast("binary"), "ISO-8859-1")
-    # Whole characters where the bytes are one, single bytes elsewhere.
-    units = F.regexp_extract_all(latin, F.lit(f"(?s){_SEQUENCE}|."), F.lit(0))
+    # Runs of printable characters, else whole characters where the bytes are one, single bytes elsewhere.
+    units = F.regexp_extract_all(latin, F.lit(_UNITS), F.lit(0))
 
     def show_bytes(unit: Column) -> Column:
         broken = (F.length(unit) == 1) & (F.ascii(unit) >= 0x80)
@@ -127,7 +134,9 @@ def escape_controls(text: Column, keep_lines: bool = False) -> Column:
         return F.coalesce(col, F.when(char.rlike(f"[\\x80-\\x9f{_DIRECTION}]"),
                                       F.concat(F.lit("\\u"), _hex(code, 4))), char)
 
-    shown = F.array_join(F.transform(F.split(text, ""), show), "")
+    # What stays as it is, is one piece, however long.
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    shown = F.array_join(F.transform(pieces, show), "")
     return (F.when(~F.is_valid_utf8(text), F.array_join(F.transform(units, show_bytes), ""))
             .when(is_hostile(text, keep_lines), shown).otherwise(text))
 

@@ -56,3 +56,10 @@ def test_texts_move_after_changes_are_known(spark):
 
 def test_every_check_has_a_query():
     assert set(CHECKS) <= set(QUERIES)
+
+
+def test_costly_columns_are_found_once(spark):
+    """A filter on what a projection finds would make it find it again below."""
+    words = plan(spark, "capability_by_tool")
+    assert words.count("mkdir") == 3  # the tests of one class: stems, whole words, the folding form
+    assert plan(spark, "typosquat").count("levenshtein(") == 1

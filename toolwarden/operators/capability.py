@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import detect
 from ..functions.jsontext import schema_property_names
+from ..functions.rows import unnest
 from .injection import with_text
 from .findings import SERVER_SEQ, TOOL_STRIDE, explode_findings, finding
 
@@ -46,9 +47,12 @@ def capability_summary(tools: DataFrame) -> DataFrame:
 
 
 def capability_by_tool(tools: DataFrame) -> DataFrame:
-    """The per-tool half of the summary, one row per tool that has classes."""
-    return (classify_tools(tools).where(F.size("classes") > 0)
-            .select("scan_id", "pos", F.col("name").alias("tool"), "classes"))
+    """The per-tool half of the summary, one row per tool that has classes.
+
+    A filter on the classes would be pushed below the projection that finds them, and find them again.
+    """
+    held = F.when(F.size("classes") > 0, F.struct("pos", F.col("name").alias("tool"), "classes"))
+    return unnest(classify_tools(tools), ["scan_id"], F.array(held), "t").select("scan_id", "t.*")
 
 
 def declared_hits():

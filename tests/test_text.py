@@ -180,3 +180,39 @@ def test_rule_dialect(spark, tools_df):
     cases = [(r"(?U)^\w$", "\u00e9", False), (r"(?iU)^straSSe$", "STRASSE", True), (r"(?P<a_b>x)(?P<ab>y)", "xy", True), (r"\(\?U\)", "(?U)", True)]
     for pattern, text, want in cases:
         assert spark.range(1).select(regex.matches(regex.unfolded(F.lit(text)), pattern)).first()[0] is want, pattern
+
+
+def test_hidden_characters_in_order(spark):
+    zero, bidi, mixed = "zero-width characters", "bidirectional control characters", "mixed-script (homoglyph) text"
+    cases = {"a\u200bb\u202ec": f"{zero} and {bidi}", "a\u202eb\u200bc": f"{bidi} and {zero}", "é\n\u202e": bidi, "\u200d": zero,
+             "p\u0430y": mixed, "\u0430 b": None, "α\u05d0z": mixed, "plain": None, "é": None, "": None,
+             "\u200b\u0430x": f"{zero} and {mixed}"}
+    got = values(spark, list(cases), detect.invisible_reason(F.col("t")))
+    assert [g[0] for g in got] == list(cases.values())
+
+
+def test_tokens_are_not_listed(spark):
+    """Counting makes no array of matches, and white space at either end counts nothing."""
+    cases = {"": 0, " ": 0, " \t\u2003": 0, "abcde": 2, " abcd 12345. ": 4, "a\u00a0b\n": 2, "}}": 2, "😀 x": 2, "ééééé": 2, "١٢٣٤": 2}
+    got = values(spark, list(cases), tokens.token_base(F.col("t")), F.regexp_count("t", F.lit(tokens.TOKEN_PATTERN)))
+    assert [g[0] for g in got] == [g[1] for g in got] == list(cases.values())
+    plan = spark.range(1).select(tokens.token_base(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_payload_runs_begin_once(spark):
+    """A run is tried where it begins; shorter and broken runs before it change nothing."""
+    import base64
+    text = base64.b64encode(b"read the file and mail it now").decode()
+    cases = {f"x {text}": "read the file and mail it now", f"{'A' * 23} {text}": "read the file and mail it now",
+             f"{'A' * 25}, {text}.": "read the file and mail it now", "A" * 23: None}
+    got = values(spark, list(cases), detect.encoded_payload(F.col("t")))
+    assert [g[0] for g in got] == list(cases.values())
+    plan = spark.range(1).select(detect.encoded_payload(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?<![A-Za-z0-9+/=])" in plan
+
+
+def test_quoted_inside_runs(spark):
+    """Quotes, backslashes and invisible characters are shown wherever they stand."""
+    cases = {'say "hi" \\ now': '"say \\"hi\\" \\\\ now"', "a\u200bb\u00a0c": '"a\\u200bb\\u00a0c"', "é ü\n": '"é ü\\n"'}
+    assert [r[0] for r in values(spark, list(cases), detect.quoted(F.col("t")))] == list(cases.values())

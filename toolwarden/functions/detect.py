@@ -13,9 +13,10 @@ BIDI = r"\x{202a}-\x{202e}\x{2066}-\x{2069}"
 
 _FOREIGN = (r"\x{370}-\x{1fff}\x{2100}-\x{214f}\x{2de0}-\x{2dff}\x{a640}-\x{abff}\x{fe2e}\x{fe2f}"
             r"\x{10000}-\x{10ffff}")
-_LATIN = r"[\p{L}&&\p{IsLatin}]"
-_LOOKALIKE = r"[\p{L}&&[\p{IsCyrillic}\p{IsGreek}]]"
-_NEUTRAL = r"[\p{L}&&[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]]"
+# Plain ranges come first: they settle ASCII letters, whose script would be looked up otherwise.
+_LATIN = r"[a-zA-Z[\p{L}&&\p{IsLatin}]]"
+_LOOKALIKE = r"[\x{370}-\x{10ffff}&&[\p{L}&&[\p{IsCyrillic}\p{IsGreek}]]]"
+_NEUTRAL = r"[\x{80}-\x{10ffff}&&[\p{L}&&[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]]]"
 
 
 def mixed_script_word(text: Column) -> Column:
@@ -31,21 +32,25 @@ def mixed_script_word(text: Column) -> Column:
 def invisible_reason(text: Column) -> Column:
     """Why a text is deceptive, reasons in order of appearance; NULL if it is not."""
     zero, bidi = text.rlike(f"[{ZERO_WIDTH}]"), text.rlike(f"[{BIDI}]")
-    bidi_first = text.rlike(f"^[^{ZERO_WIDTH}{BIDI}]*+[{BIDI}]")
+    bidi_first = F.regexp_extract(text, f"[{ZERO_WIDTH}{BIDI}]", 0).rlike(f"[{BIDI}]")
     zero_name, bidi_name = "zero-width characters", "bidirectional control characters"
     hidden = (F.when(zero & bidi, F.when(bidi_first, F.lit(f"{bidi_name} and {zero_name}"))
                      .otherwise(F.lit(f"{zero_name} and {bidi_name}")))
               .when(zero, F.lit(zero_name)).when(bidi, F.lit(bidi_name)))
     mixed = F.concat_ws(" and ", hidden, F.lit("mixed-script (homoglyph) text"))
-    # One cheap look decides for the usual, harmless text: plain ranges that cover all
-    # hidden characters and every block with Greek or Cyrillic letters.
-    suspect = text.rlike(f"[{ZERO_WIDTH}{BIDI}{_FOREIGN}]")
-    return F.when(suspect, F.when(mixed_script_word(text), mixed).otherwise(hidden))
+    # Cheap looks decide for the usual, harmless text: ASCII has nothing to find, and plain ranges
+    # cover all hidden characters and every block with Greek or Cyrillic letters.
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    suspect = ~ascii_only & text.rlike(f"[{ZERO_WIDTH}{BIDI}{_FOREIGN}]")
+    lookalikes = text.rlike(f"[{_FOREIGN}]") & mixed_script_word(text)
+    return F.when(suspect, F.when(lookalikes, mixed).otherwise(hidden))
 
 
 def encoded_payload(text: Column) -> Column:
     """Text hidden in the first base64 run that decodes to mostly printable bytes."""
-    runs = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9+/=]{{{C.BLOB_MIN_CHARS},}}"), F.lit(0))
+    # Only where a run begins: without that, every rest of every word would be tried too.
+    unit = "[A-Za-z0-9+/=]"
+    runs = F.regexp_extract_all(text, F.lit(f"(?<!{unit}){unit}{{{C.BLOB_MIN_CHARS},}}+"), F.lit(0))
     strict = F.filter(runs, lambda run: (F.length(run) % 4 == 0) & run.rlike(r"^[A-Za-z0-9+/]++={0,2}\z"))
     decoded = F.transform(strict, lambda run: F.unbase64(run))
 
@@ -74,8 +79,8 @@ def quoted(text: Column) -> Column:
                       .otherwise(F.concat(F.lit("\\u"), _hex(code, 4))))
                 .otherwise(char))
 
-    # What stays as it is, is one piece, however long.
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    # What stays as it is, is one piece, however long; what is shown otherwise, one each.
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)[ [^"\\\p{C}\p{Z}]]++|.'), F.lit(0))
     shown = F.array_join(F.transform(pieces, show), "")
     plain = text.rlike(r'^[\x20-\x7e&&[^"\\]]*+\z')
     return F.concat(F.lit('"'), F.when(plain, text).otherwise(shown), F.lit('"'))

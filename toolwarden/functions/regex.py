@@ -213,7 +213,8 @@ def has_word(lowered: Column, words) -> Column:
     # Over an array literal, so that forty tests do not become forty pieces of generated code.
     stems = F.array(*[F.lit(w.replace("s?", "")) for w in words])
     candidate = F.exists(stems, lowered.contains)
-    plain = lowered.rlike(f"(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})")
+    heads = "".join(sorted({w[0] for w in words}))
+    plain = lowered.rlike(f"(?=[{heads}])(?<!{_WORD})(?:{'|'.join(words)})(?!{_WORD})")
     return (F.when(lowered.contains("\u017f"), matches(lowered, word_pattern(words)))
             .otherwise(candidate & plain))
 

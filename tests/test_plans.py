@@ -63,3 +63,9 @@ def test_costly_columns_are_found_once(spark):
     words = plan(spark, "capability_by_tool")
     assert words.count("mkdir") == 3  # the tests of one class: stems, whole words, the folding form
     assert plan(spark, "typosquat").count("levenshtein(") == 1
+
+
+def test_latest_scans_meet_one_table_of_sums(spark):
+    """Each sort or hash table of a join stage takes memory of its own; findings and tools are summed together."""
+    text = plan(spark, "list_latest")
+    assert len(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) ", text)) == 2 and "LeftSemi" not in text

@@ -61,25 +61,40 @@ def finding_counts(findings: DataFrame, scan_ids: DataFrame) -> DataFrame:
 def tool_counts(tool_defs: DataFrame, scan_ids: DataFrame) -> DataFrame:
     """Tools and their representative tokens for the given scans."""
     wanted = scan_ids.select("scan_id")
-    tokens = F.get_json_object("token_count_by_model_json", "$.representative").cast("bigint")
     return (tool_defs.join(wanted, "scan_id", "left_semi").groupBy("scan_id")
-            .agg(F.count("*").alias("tool_count"), F.coalesce(F.sum(tokens), F.lit(0)).alias("token_estimate")))
+            .agg(F.count("*").alias("tool_count"), F.coalesce(F.sum(_representative()), F.lit(0)).alias("token_estimate")))
+
+
+def _representative() -> Column:
+    return F.get_json_object("token_count_by_model_json", "$.representative").cast("bigint")
+
+
+def _scan_totals(findings: DataFrame, tool_defs: DataFrame) -> DataFrame:
+    """The headline numbers of every scan: one aggregation of whole numbers over both tables.
+
+    It sums where rows are read, so totals of scans are all that moves, and a task that joins
+    them holds one table of sums and one sorted run of each side, whatever the number of tables.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    flag = lambda s: F.when(F.col("severity") == s, one).otherwise(zero).alias(s)
+    rows = findings.select("scan_id", flag("critical"), flag("high"), zero.alias("tool_count"), zero.alias("token_estimate")).unionByName(
+        tool_defs.select("scan_id", zero.alias("critical"), zero.alias("high"), one.alias("tool_count"),
+                         F.coalesce(_representative(), zero).alias("token_estimate")))
+    return rows.groupBy("scan_id").agg(*[F.sum(c).alias(c) for c in rows.columns[1:]])
 
 
 def list_latest(servers: DataFrame, scans: DataFrame, findings: DataFrame, tool_defs: DataFrame) -> DataFrame:
     """Every server with its latest scan and that scan's headline numbers.
 
-    The latest scan ids are the only thing both aggregates are restricted to, by
-    semi-join, before they are aggregated.
+    Findings and tools are summed by scan as they are read; the one join with these sums
+    leaves those of the latest scans.
     """
     latest = latest_scan(scans.select("server_id", "id", "scanned_at", "version", "grade", "score",
                                       "manifest_hash")).withColumnRenamed("id", "scan_id")
-    ids = latest.select("scan_id")
-    counts = finding_counts(findings, ids).select("scan_id", "critical", "high")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     return (servers.join(latest, servers["id"] == latest["server_id"])
-            .join(counts, "scan_id", "left").join(tool_counts(tool_defs, ids), "scan_id", "left")
+            .join(_scan_totals(findings, tool_defs), "scan_id", "left")
             .select("id", "source", "identifier", blank("canonical_url"), blank("registry"), blank("version"),
                     "grade", "score", "manifest_hash", zero("tool_count"), zero("token_estimate"),
                     zero("critical"), zero("high"), "scanned_at"))

@@ -50,6 +50,18 @@ def test_filter_never_forgets():
     assert (language_model.read_counts(other, first, bits) > 0).mean() < 0.05
 
 
+def test_small_broadcasts_change_no_score(table_df):
+    """What the broadcast part of the filter leaves out is answered by the segments that own it."""
+    docs = table_df("documents").repartition(3)
+    whole = {r.doc_id: r for r in language_model.lm_scores(docs).collect()}
+    none = {r.doc_id: r for r in language_model.lm_scores(docs, filter_bits=0).collect()}
+    assert len(none) == len(whole) and all(abs(none[i].score - r.score) < 1e-9 for i, r in whole.items())
+    assert all(none[i][:6] == r[:6] or abs(none[i].base_score - r.base_score) < 1e-9 for i, r in whole.items())
+    # In part: both filters err on their own, more often in segments as small as these, but not to one side.
+    part = {r.doc_id: r.score for r in language_model.lm_scores(docs, filter_bits=language_model.SEGMENTS * 256).collect()}
+    assert abs(sum(part.values()) / sum(r.score for r in whole.values()) - 1) < 0.01
+
+
 def test_model_beats_the_base(table_df):
     got = language_model.lm_scores(table_df("documents")).where("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > got[1]

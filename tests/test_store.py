@@ -116,6 +116,32 @@ def test_days_prune(spark, tmp_path):
     assert store.read_table(spark, str(tmp_path / "none"), "scans").count() == 0
 
 
+def test_a_batch_of_many_days_writes_few_files(spark, tmp_path):
+    """Months are folders, days are still exact; a row for each of 400 days."""
+    from pyspark.sql import functions as F
+    path = str(tmp_path / "store")
+    rows = spark.range(400).select(
+        "id", F.lit(1).cast("bigint").alias("scan_id"), *[F.lit("x").alias(c) for c in (
+            "analyzer", "rule_id", "severity", "title", "detail_json", "tool_name")],
+        F.timestamp_seconds(F.lit(1767225600 + 3600) + F.col("id") * 86400).alias("scanned_at"))  # from 2026-01-01
+    store.publish(spark, path, "b", {"findings": rows})
+    assert len(list(Path(path, "findings").rglob("*.parquet"))) <= 28
+    late = store.read_table(spark, path, "findings", dt.date(2026, 12, 30))
+    assert sorted(r.id for r in late.collect()) == list(range(363, 400)) and min(r.day for r in late.collect()) == dt.date(2026, 12, 30)
+    assert store.read_table(spark, path, "findings").count() == 400
+
+
+def test_manifests_are_decoded_once(spark, tmp_path, monkeypatch):
+    """What a batch changed is read from manifests decoded aside: once, not for each table and role."""
+    seen = []
+    real = recording.events_of
+    monkeypatch.setattr(recording, "events_of", lambda changes, pairs: seen.append(changes) or real(changes, pairs))
+    path = str(tmp_path / "store")
+    recording.record_scans(spark, path, "x", reports(spark, [(1, "a", 1, BENIGN), (2, "a", 2, STEERED), (3, "a", 3, BENIGN)]))
+    assert "_manifest_parts" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((e.from_scan_id, e.to_scan_id) for e in store.read_table(spark, path, "drift_events").collect()) == [(1, 2), (2, 3)]
+
+
 def test_stored_rows(spark):
     found = spark.createDataFrame([(1, "a", "r", "low", "t", None, "", None, None)],
                                   "scan_id bigint, analyzer string, rule_id string, severity string, title string, "

@@ -284,13 +284,15 @@ def record_scans(spark, sf):
     from ..session import shared_dir
     path = shared_dir(spark, "store")
     hashed = manifest.manifest_hash(captures.captured(captures.ingest_manifests(B.capture_history(spark, sf))))
-    hashed.write.parquet(f"{path}/staged")
+    hashed.select("scan_id", "source", "identifier", "scanned_at", "server_version", "tools", "canonical", "manifest_hash").write.parquet(
+        f"{path}/staged")
     manifests = spark.read.parquet(f"{path}/staged")
+    hits = stored(injection.rule_findings(captures.tools_table(manifests)), "rule-findings")
     middle = manifests.agg(F.expr("percentile_approx(scan_id, 0.5, 10000)").alias("m")).first()["m"]
     for batch, mine in (("b1", F.col("scan_id") <= middle), ("b2", F.col("scan_id") > middle), ("b2", F.col("scan_id") > middle)):
         part = manifests.where(mine)
         tools = captures.tools_table(part)
-        found = injection.rule_findings(tools)
+        found = hits.where(mine)
         cards = scoring.scorecards(found, part).select("scan_id", "score", "grade")
         scans = part.join(cards, "scan_id").select(
             "scan_id", "source", "identifier", F.lit("").alias("canonical_url"), F.lit("official").alias("registry"),

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators.drift import events_of, manifest_diff
+from ..operators.drift import events_of, pair_changes
 from ..operators.index import server_id
 from ..sources import files, store
-from ..sources.baselines import document_tables
+from ..sources.baselines import document_parts, part_tables
 from ..streaming.drift_stream import arrival_pairs
 
 #: The newest scan of each server, as it is kept to compare the next one with.
@@ -53,19 +53,24 @@ def _written(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
-def _changes(scans: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What changed in each pair.  Only manifests with different hashes are opened."""
+def _changes(spark: SparkSession, work: str, scans: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What changed in each pair.  Only manifests with different hashes are opened, each once for both of its roles."""
     columns = ["scan_id", "manifest_hash", "manifest_json"]
-    known = scans.select(*columns).unionByName(heads.select(*columns)).dropDuplicates(["scan_id"])
-    digest = known.where("manifest_json IS NOT NULL").select("scan_id", "manifest_hash")
+    stored = heads.join(scans.select("scan_id"), "scan_id", "left_anti")
+    known = scans.select(*columns).unionByName(stored.select(*columns)).where("manifest_json IS NOT NULL")
+    digest = known.groupBy("scan_id").agg(F.max("manifest_hash").alias("manifest_hash"))
     before = digest.withColumnsRenamed({"scan_id": "prev_scan_id", "manifest_hash": "_before"})
-    other = (pairs.where("prev_scan_id <> scan_id").join(before, "prev_scan_id").join(digest, "scan_id")
-             .where(~F.col("_before").eqNullSafe(F.col("manifest_hash"))).select("scan_id", "prev_scan_id"))
-    texts = known.select("scan_id", F.col("manifest_json").alias("manifest"))
-    old = (texts.join(other.select(F.col("prev_scan_id").alias("scan_id"), F.col("scan_id").alias("_pair")), "scan_id")
-           .select(F.col("_pair").alias("scan_id"), "manifest"))
-    new = texts.join(other.select("scan_id"), "scan_id", "left_semi")
-    return manifest_diff(document_tables(old), document_tables(new))
+    other = _written(spark, f"{work}/changed", pairs.where("prev_scan_id <> scan_id").select("scan_id", "prev_scan_id")
+                     .join(before, "prev_scan_id").join(digest, "scan_id").where(~F.col("_before").eqNullSafe(F.col("manifest_hash"))))
+    opened = other.select("scan_id", "manifest_hash").unionByName(
+        other.select(F.col("prev_scan_id").alias("scan_id"), F.col("_before").alias("manifest_hash"))).distinct()
+    opened = opened.select(F.col("scan_id").alias("_scan"), F.col("manifest_hash").alias("_hash"))
+    texts = known.join(opened, (F.col("scan_id") == F.col("_scan")) & F.col("manifest_hash").eqNullSafe(F.col("_hash")), "left_semi")
+    parts = _written(spark, f"{work}/manifests", document_parts(texts.select("scan_id", F.col("manifest_json").alias("manifest"))))
+    tables = part_tables(parts)
+    # A scan that was handed over twice has one header.
+    tables["servers"] = tables["servers"].dropDuplicates(["scan_id"])
+    return pair_changes(other.select("scan_id", "prev_scan_id"), tables)
 
 
 def _identified(rows: DataFrame, scans: DataFrame, *key: Column) -> DataFrame:
@@ -111,7 +116,7 @@ def record_scans(spark: SparkSession, path: str, batch: str, reports: Reports, b
         "findings": _identified(store.finding_rows(reports.findings), scans, F.col("analyzer"), F.col("rule_id"), F.col("tool_name"),
                                 F.col("title"), F.col("detail_json")),
         "tool_defs": _identified(store.tool_definitions(defs), scans, F.col("name"), F.col("description"), F.col("schema_json")),
-        "drift_events": events_of(_changes(scans, heads, linked), linked),
+        "drift_events": events_of(_changes(spark, work, scans, heads, linked), linked),
     }
     columns = ["server_id", "scan_id", "scanned_at", "manifest_hash", "manifest_json"]
     every = scans.select(*columns).unionByName(heads)

@@ -5,7 +5,7 @@ that names them.  The commit appears at once and only if no other has its number
 who start from the commits, see all of a batch or nothing of it, whatever fails or runs at the
 same time; a batch that is already there is not written again.
 
-    <table>/commit=<number>-<attempt>/day=<date>/*.parquet     rows of one batch, never changed
+    <table>/commit=<number>-<attempt>/day=<first of a month>/*.parquet     rows of one batch, never changed
     <table>/version=<number>/bucket=<bucket>/*.parquet         newest rows of the servers of a bucket
     commits/<number>.json                                      what belongs to the store
 """
@@ -110,16 +110,17 @@ def publish(spark: SparkSession, path: str, batch: str, parts: dict[str, DataFra
             versions: dict[str, dict[str, int]] | None = None, replaced: Iterable[str] = ()) -> Commit:
     """Write the tables of a batch aside and make them part of the store with one commit.
 
-    ``number`` is the commit's place, by default the next one.  Folders are partitioned by day, so a
-    reader of some days opens theirs only.  A ``Conflict`` leaves nothing that any reader sees.
+    ``number`` is the commit's place, by default the next one.  Folders are partitioned by month, named by
+    its first day, so a reader of some days opens their months only, and a batch that spans many years
+    doesn't become a file for each day.  A ``Conflict`` leaves nothing that any reader sees.
     """
     if number is None:
         number = (commit_numbers(spark, path) or [0])[-1] + 1
     folders = {}
     for name, rows in parts.items():
         folders[name] = f"commit={number}-{uuid.uuid4().hex}"
-        dated = rows.withColumn("day", F.to_date(TABLES[name])) if name in TABLES else rows.withColumn("day", F.lit(None).cast("date"))
-        # Many small files or one task for all of a day: neither.
+        dated = rows.withColumn("day", F.trunc(TABLES[name], "month")) if name in TABLES else rows.withColumn("day", F.lit(None).cast("date"))
+        # Many small files or one task for all of a month: neither.
         dated.hint("rebalance", "day").write.partitionBy("day").parquet(f"{path}/{name}/{folders[name]}")
     commit = Commit(number, batch, folders, versions or {}, list(replaced))
     if not files.publish(spark, f"{path}/commits/{number:012}.json", json.dumps(commit._asdict(), sort_keys=True)):
@@ -128,7 +129,7 @@ def publish(spark: SparkSession, path: str, batch: str, parts: dict[str, DataFra
 
 
 def read_table(spark: SparkSession, path: str, name: str, since: dt.date | None = None) -> DataFrame:
-    """One stored table over all committed batches, with its ``day``; the days before ``since`` aren't listed.
+    """One stored table over all committed batches, with its ``day``; the months before ``since`` aren't opened.
 
     The folders are those that the commits named when this was called: batches that are published
     later, and rows of a batch that never was, are not in it.
@@ -144,7 +145,10 @@ def read_folders(spark: SparkSession, path: str, name: str, schema: str, folders
     if not wanted:
         return spark.createDataFrame([], whole)
     rows = spark.read.schema(whole).option("basePath", f"{path}/{name}").parquet(*wanted)
-    return rows.select(*spark.createDataFrame([], whole).columns).where(F.col("day") >= F.lit(since) if since else F.lit(True))
+    if since:
+        rows = rows.where(F.col("day") >= F.lit(since.replace(day=1)))
+    rows = rows.withColumn("day", F.to_date(TABLES[name])).select(*spark.createDataFrame([], whole).columns)
+    return rows.where(F.col("day") >= F.lit(since)) if since else rows
 
 
 def read_servers(spark: SparkSession, path: str) -> DataFrame:

@@ -42,6 +42,14 @@ def test_what_is_stored_is_read_once(spark):
     assert set(scans(spark, "snapshot")) <= {"events", "customer"} and scans(spark, "snapshot")["customer"] <= 1
 
 
+def test_analyzers_read_stored_facts(spark):
+    """The texts are searched once for all analyzers, not once for each."""
+    for name in ("scan_report_counts", "findings_union"):
+        text = plan(spark, name)
+        assert "tool-facts" in text and "oversized" in text and "disregard" not in text.split("drift.")[0], name
+    assert scans(spark, "scan_report_counts")["documents"] == 0
+
+
 def test_texts_move_after_changes_are_known(spark):
     """No exchange of a diff of hashes has a text column before the join that fetches texts."""
     from toolwarden.operators import drift

@@ -216,3 +216,15 @@ def test_quoted_inside_runs(spark):
     """Quotes, backslashes and invisible characters are shown wherever they stand."""
     cases = {'say "hi" \\ now': '"say \\"hi\\" \\\\ now"', "a\u200bb\u00a0c": '"a\\u200bb\\u00a0c"', "é ü\n": '"é ü\\n"'}
     assert [r[0] for r in values(spark, list(cases), detect.quoted(F.col("t")))] == list(cases.values())
+
+
+def test_json_literals_are_searched_without_a_regex(spark):
+    """What Spark writes otherwise takes the long way: controls, line separators, broken bytes; all else is copied."""
+    texts = ["plain é字😀/<>&\x7f", 'a"b\\c', "\n\r\t\b\f", "\x00\x1f\x0b", "x\u2028y\u2029", "\\u00e9", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", jsontext.json_quote(F.col("t")).alias("q"))
+    got = {r.t: r.q for r in rows.collect()}
+    for t in texts:
+        assert got[t] == (None if t is None else json.dumps(t, ensure_ascii=False).replace("\u2028", "\\u2028").replace("\u2029", "\\u2029"))
+    raw = spark.createDataFrame([(bytearray(b'a\xff"'),)], "b binary").select(jsontext.json_quote(F.col("b").cast("string")).cast("binary").alias("q"))
+    assert bytes(raw.first().q) == b'"a\xff\\""'
+    assert " RLIKE " not in rows._jdf.queryExecution().optimizedPlan().toString()

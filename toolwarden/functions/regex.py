@@ -124,7 +124,7 @@ UNFOLDED = {0x130: "\u0237", 0x131: "\u0237"}
 
 def unfolded(text: Column) -> Column:
     """``text`` as the patterns search it: without the letters that only Java folds."""
-    return F.when(text.rlike("[\u0130\u0131]"), F.translate(text, "\u0130\u0131", "\u0237\u0237")).otherwise(text)
+    return F.when(text.contains("\u0130") | text.contains("\u0131"), F.translate(text, "\u0130\u0131", "\u0237\u0237")).otherwise(text)
 
 
 def lowered(text: Column) -> Column:

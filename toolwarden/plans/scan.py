@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import capability, cost, drift, injection, posture, scoring, supply
 from ..operators.findings import findings_union, rows_of
+from ..session import stored
 
 #: An extra analyzer: takes the inputs of a scan, returns rows of the findings table.
 Analyzer = Callable[["ScanInputs"], DataFrame]
@@ -57,8 +58,11 @@ def facts_findings(facts: DataFrame) -> DataFrame:
 
 
 def scan_findings(inputs: ScanInputs, facts: DataFrame | None = None) -> DataFrame:
-    """Findings of all analyzers that have inputs."""
-    facts = tool_facts(inputs.tools, inputs.rules) if facts is None else facts
+    """Findings of all analyzers that have inputs.
+
+    Several analyzers read the facts: without any given, they are worked out once and stored, as they are narrow.
+    """
+    facts = stored(tool_facts(inputs.tools, inputs.rules), "tool-facts") if facts is None else facts
     parts = [facts_findings(facts), cost.oversized_tool(facts)]
     if inputs.traces is not None:
         parts += [capability.not_observed(inputs.traces), capability.observed_decoy_read(inputs.traces),

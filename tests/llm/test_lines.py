@@ -117,3 +117,32 @@ def test_all_pairs_of_edit_similarity_at_any_length(spark, docs_df):
     part = brute.groups(list(norm), links)
     got = {r.doc_id for r in lines.dedup_lines(docs_df(rows)).collect() if r.text == "" and norm[r.doc_id]}
     assert got == {i for i in norm if norm[i] and part[i] != i}
+
+
+def test_unrelated_lines_that_share_long_words_do_not_meet(spark, docs_df):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for i in range(300):
+        line = [word(5) for _ in range(10)]
+        line[2], line[6] = "extraordinarily", "longwindedness"
+        rows.append((i, " ".join(line)))
+    none = spark.createDataFrame([], "id bigint, _key bigint, _pos int")
+    listed = lines._listed(docs_df(rows), none)
+    assert listed.groupBy("word").agg(F.countDistinct("id").alias("n")).where("n > 1").count() == 0
+    assert listed.select("id").distinct().count() == 300
+
+
+def test_a_much_repeated_line_is_listed_once(spark, docs_df):
+    df = docs_df([(i, "one two three four five six seven eight nine ten") for i in range(50)])
+    first = lines.sketched(df).orderBy("doc_id").first()
+    repeated = spark.createDataFrame([(first.h1, first.key, first.pos)], "id bigint, _key bigint, _pos int")
+    listed = lines._listed(df, repeated)
+    assert 0 < listed.count() == listed.distinct().count()
+
+
+def test_prefixes_are_as_long_as_the_limit_asks(spark):
+    sizes = [r[0] for r in spark.range(8, 400).select(lines._prefix(F.col("id"))).collect()]
+    for n, got in zip(range(8, 400), sizes):
+        need = [2 * (m // 5) + 1 - (m - n) for m in range(max(n, lines.ONE_EDIT + 1), n * 5 // 4 + 1)]
+        assert got >= max(need) and got <= max(need) + 1

@@ -146,3 +146,12 @@ def test_prefixes_are_as_long_as_the_limit_asks(spark):
     for n, got in zip(range(8, 400), sizes):
         need = [2 * (m // 5) + 1 - (m - n) for m in range(max(n, lines.ONE_EDIT + 1), n * 5 // 4 + 1)]
         assert got >= max(need) and got <= max(need) + 1
+
+
+def test_long_lines_have_wide_sketches_that_part_them(spark, docs_df):
+    """Unrelated lines of 200 words can't be told apart by 128 bits."""
+    df = docs_df([(0, " ".join(f"a{k}" for k in range(200))), (1, " ".join(f"b{k}" for k in range(200))), (2, "a b c d e f")])
+    rows = lines.sketched(df)
+    pairs = rows.select(*[F.col(c).alias(f"_x{c}") for c in rows.columns]).crossJoin(rows.select(*[F.col(c).alias(f"_y{c}") for c in rows.columns]))
+    near = {(r._xdoc_id, r._ydoc_id): r.near for r in pairs.withColumn("near", lines._near(lines._WIDE)).collect()}
+    assert not near[0, 1] and near[0, 0] and near[0, 2]

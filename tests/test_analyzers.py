@@ -1,5 +1,7 @@
 """Analyzer cases on small tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +250,37 @@ def test_versions_meet_intervals_by_keys_made_before(spark):
     assert [r.severity for r in rows.orderBy("severity").collect()].count("high") == 1 and rows.count() == 3
     joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_version" in line]
     assert joins and not any("regexp" in line.lower() for line in joins)
+
+
+def test_hits_of_advisories_are_not_moved(spark):
+    """Advisories in one row meet lists of scans in the last join; scans of a version count each, repeated and null ones too."""
+    found = spark.createDataFrame([(1, "npm", "p", "1.3.0"), (1, "npm", "p", "1.3.0"), (None, "npm", "p", "1.3.0"), (2, "npm", "p", "2.0.0")],
+                                  "scan_id bigint, ecosystem string, name string, version string").select(
+        "scan_id", "ecosystem", "name", F.struct("ecosystem", "version", F.lit(True).alias("found")).alias("pkg"))
+    listed = spark.createDataFrame([], "ecosystem string, name string, version string, id string, summary string, severity string")
+    spans = spark.createDataFrame([("npm", "p", "one", "s", "", "1.2.0", "1.9.0", None), ("npm", "p", "two", "s", "", "0", None, None),
+                                   ("npm", "p", "two", "s", "HIGH", "1.0.0", "1.4.0", None)],
+                                  "ecosystem string, name string, id string, summary string, severity string, introduced string, fixed string, last_affected string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = supply.known_cve(found, listed, spans)
+        plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = sorted((r.scan_id or 0, json.loads(r.meta)["id"], r.severity) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    each = [("one", "medium"), ("two", "high")]
+    assert got == sorted([(i, *x) for i in (0, 1, 1) for x in each] + [(2, "two", "medium")])
+
+    def above(place):
+        depth, out = len(plan[place]) - len(plan[place].lstrip(" :+-|")), []
+        for line in reversed(plan[:place]):
+            own = len(line) - len(line.lstrip(" :+-|"))
+            if own < depth:
+                depth = own
+                out.append(line)
+        return out
+
+    last = next(i for i, line in enumerate(plan) if "== Initial Plan ==" in line) if any("Initial Plan" in x for x in plan) else len(plan)
+    joins = [i for i, line in enumerate(plan[:last]) if "Join" in line and "_version" in line]
+    assert joins and any(not any("Exchange" in line for line in above(i)) for i in joins)

@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from toolwarden.operators import index, injection, scoring
 from toolwarden.plans import recording
@@ -184,3 +185,23 @@ def test_the_stream_reads_only_the_buckets_it_names(spark, tmp_path):
     kept = {p.parent.name for p in Path(root, "newest_tools").glob(f"version=*/bucket={mine}")}
     assert kept == {"version=2", "version=3"}  # the last is there for readers that began before this batch
     assert not Path(root, "work/batch=3").exists()
+
+
+def test_changes_are_found_in_slices(spark, tmp_path, monkeypatch):
+    """Slices of servers give the events of one; folders of work and shuffle files of stored tables don't stay."""
+    from tests.llm.test_storage import shuffle_files
+
+    def events(path):
+        rows = [(i, f"s{i % 5}", 1 + i, f"{STEERED} {i}" if i % 2 else BENIGN) for i in range(16)]
+        recording.record_scans(spark, path, "x", reports(spark, rows), 2)
+        return sorted((e.server_id, e.from_scan_id, e.to_scan_id, e.kind, e.severity, e.diff_json)
+                      for e in store.read_table(spark, path, "drift_events").collect())
+
+    whole = events(str(tmp_path / "whole"))
+    monkeypatch.setattr(recording, "SLICE_SCANS", 9)
+    assert events(str(tmp_path / "sliced")) == whole and len(whole) == 11
+    assert not list((tmp_path / "sliced" / "work").glob("*"))
+    assert all("zstd" in p.name for p in (tmp_path / "sliced" / "tool_defs").rglob("*.parquet"))
+    before = shuffle_files(spark)
+    recording.written(spark, str(tmp_path / "w"), spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffle_files(spark) - before

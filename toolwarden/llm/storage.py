@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..session import shared_dir
+from ..session import CLEANUP, cleaned, shared_dir  # noqa: F401
 from ..sources import files
 
 
-#: Spark's setting by which an action that has ended removes its own shuffle files.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _cleaned(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 def kept(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -32,7 +15,7 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     columns carry no lineage.  What the write shuffled is removed with its end.
     """
     path = shared_dir(df.sparkSession, purpose)
-    with _cleaned(df.sparkSession):
+    with cleaned(df.sparkSession):
         df.write.mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept = path

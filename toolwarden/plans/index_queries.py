@@ -282,23 +282,26 @@ def _record_sql() -> str:
 def record_scans(spark, sf):
     """Captures of each source scanned and recorded in two batches, the second one twice; the store read back."""
     from ..session import shared_dir
-    path = shared_dir(spark, "store")
-    hashed = manifest.manifest_hash(captures.captured(captures.ingest_manifests(B.capture_history(spark, sf))))
-    hashed.select("scan_id", "source", "identifier", "scanned_at", "server_version", "tools", "canonical", "manifest_hash").write.parquet(
-        f"{path}/staged")
-    manifests = spark.read.parquet(f"{path}/staged")
-    hits = stored(injection.rule_findings(captures.tools_table(manifests)), "rule-findings")
-    middle = manifests.agg(F.expr("percentile_approx(scan_id, 0.5, 10000)").alias("m")).first()["m"]
-    for batch, mine in (("b1", F.col("scan_id") <= middle), ("b2", F.col("scan_id") > middle), ("b2", F.col("scan_id") > middle)):
-        part = manifests.where(mine)
+    from ..sources import files
+    path, folder = shared_dir(spark, "store"), shared_dir(spark, "staged")
+    history = B.capture_history(spark, sf)
+    ids = captures.captured(captures.ingest_manifests(history, canonical=False)).select("scan_id")
+    middle = ids.agg(F.expr("percentile_approx(scan_id, 0.5, 10000)").alias("m")).first()["m"]
+    # One batch of texts is staged at a time.
+    for batch, mine, times in (("b1", F.col("scan_id") <= middle, 1), ("b2", F.col("scan_id") > middle, 2)):
+        hashed = manifest.manifest_hash(captures.captured(captures.ingest_manifests(history.where(mine))))
+        part = recording.written(spark, f"{folder}/{batch}", hashed.select(
+            "scan_id", "source", "identifier", "scanned_at", "server_version", "tools", "canonical", "manifest_hash"))
         tools = captures.tools_table(part)
-        found = hits.where(mine)
+        found = recording.written(spark, f"{folder}/findings-{batch}", injection.rule_findings(tools))
         cards = scoring.scorecards(found, part).select("scan_id", "score", "grade")
         scans = part.join(cards, "scan_id").select(
             "scan_id", "source", "identifier", F.lit("").alias("canonical_url"), F.lit("official").alias("registry"),
             F.col("server_version").alias("version"), "scanned_at", "score", "grade", "manifest_hash",
             F.col("canonical").alias("manifest_json"))
-        recording.record_scans(spark, path, batch, recording.Reports(scans, found, cost.tool_tokens(tools), "0.1.0"))
+        for _ in range(times):
+            recording.record_scans(spark, path, batch, recording.Reports(scans, found, cost.tool_tokens(tools), "0.1.0"))
+        files.remove(spark, folder)
     get = lambda name: store.read_table(spark, path, name)
     counted = lambda rows, name, key: rows.agg(
         F.lit(name).alias("stored"), F.count("*").alias("row_count"), F.sum(key).cast("bigint").alias("checksum"))

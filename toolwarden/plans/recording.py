@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators.drift import events_of, pair_changes
 from ..operators.index import server_id
+from ..session import cleaned
 from ..sources import files, store
 from ..sources.baselines import document_parts, part_tables
 from ..streaming.drift_stream import arrival_pairs
 
 #: The newest scan of each server, as it is kept to compare the next one with.
 HEAD = "server_id bigint, scan_id bigint, scanned_at timestamp, manifest_hash string, manifest_json string"
+#: Changes of a batch are looked for in slices of about so many scans, at most SLICES.
+SLICE_SCANS = 1 << 14
+SLICES = 16
 
 
 @dataclass
@@ -48,29 +53,45 @@ class Reports:
             *[(F.col(c) if c in given else v).cast("int" if c == "rubric_version" else "bigint").alias(c) for c, v in extra.items()])
 
 
-def _written(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
-    rows.write.mode("overwrite").parquet(folder)
+def written(spark: SparkSession, folder: str, rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` written to a folder and read back; what the write shuffled is removed with its end."""
+    with cleaned(spark):
+        rows.write.mode("overwrite").option("compression", store.CODEC).partitionBy(*by).parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
-def _changes(spark: SparkSession, work: str, scans: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What changed in each pair.  Only manifests with different hashes are opened, each once for both of its roles."""
+def _events(spark: SparkSession, work: str, scans: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The events of what changed in each pair.  Only manifests with different hashes are opened, each once for both of its roles.
+
+    Servers are dealt over slices, which are compared one after the other: only the texts of a slice are moved at a time.
+    """
+    slices = min(SLICES, 1 + scans.count() // SLICE_SCANS)
+    first = pairs.groupBy("scan_id").agg(F.min("server_id").alias("_first"))
+    pairs = written(spark, f"{work}/linked", pairs.join(first, "scan_id").withColumn(
+        "slice", F.pmod(F.xxhash64("_first"), F.lit(slices)).cast("int")).drop("_first"))
     columns = ["scan_id", "manifest_hash", "manifest_json"]
     stored = heads.join(scans.select("scan_id"), "scan_id", "left_anti")
     known = scans.select(*columns).unionByName(stored.select(*columns)).where("manifest_json IS NOT NULL")
     digest = known.groupBy("scan_id").agg(F.max("manifest_hash").alias("manifest_hash"))
     before = digest.withColumnsRenamed({"scan_id": "prev_scan_id", "manifest_hash": "_before"})
-    other = _written(spark, f"{work}/changed", pairs.where("prev_scan_id <> scan_id").select("scan_id", "prev_scan_id")
-                     .join(before, "prev_scan_id").join(digest, "scan_id").where(~F.col("_before").eqNullSafe(F.col("manifest_hash"))))
-    opened = other.select("scan_id", "manifest_hash").unionByName(
-        other.select(F.col("prev_scan_id").alias("scan_id"), F.col("_before").alias("manifest_hash"))).distinct()
-    opened = opened.select(F.col("scan_id").alias("_scan"), F.col("manifest_hash").alias("_hash"))
-    texts = known.join(opened, (F.col("scan_id") == F.col("_scan")) & F.col("manifest_hash").eqNullSafe(F.col("_hash")), "left_semi")
-    parts = _written(spark, f"{work}/manifests", document_parts(texts.select("scan_id", F.col("manifest_json").alias("manifest"))))
-    tables = part_tables(parts)
-    # A scan that was handed over twice has one header.
-    tables["servers"] = tables["servers"].dropDuplicates(["scan_id"])
-    return pair_changes(other.select("scan_id", "prev_scan_id"), tables)
+    other = written(spark, f"{work}/changed", pairs.where("prev_scan_id <> scan_id").select("scan_id", "prev_scan_id", "slice")
+                    .join(before, "prev_scan_id").join(digest, "scan_id").where(~F.col("_before").eqNullSafe(F.col("manifest_hash"))))
+    opened = other.select("slice", "scan_id", "manifest_hash").unionByName(
+        other.select("slice", F.col("prev_scan_id").alias("scan_id"), F.col("_before").alias("manifest_hash"))).distinct()
+    opened = opened.select("slice", F.col("scan_id").alias("_scan"), F.col("manifest_hash").alias("_hash"))
+    texts = known.join(opened, (F.col("scan_id") == F.col("_scan")) & F.col("manifest_hash").eqNullSafe(F.col("_hash")))
+    parts = written(spark, f"{work}/manifests", document_parts(
+        texts.select("slice", "scan_id", F.col("manifest_json").alias("manifest"))), "slice")
+    found = []
+    for k in range(slices):
+        mine = lambda rows: rows.where(F.col("slice") == k).drop("slice")  # noqa: B023, E731
+        tables = part_tables(mine(parts))
+        # A scan that was handed over twice has one header.
+        tables["servers"] = tables["servers"].dropDuplicates(["scan_id"])
+        changes = pair_changes(mine(other).select("scan_id", "prev_scan_id"), tables)
+        found.append(written(spark, f"{work}/events-{k}", events_of(changes, mine(pairs))))
+        files.remove(spark, f"{work}/manifests/slice={k}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _identified(rows: DataFrame, scans: DataFrame, *key: Column) -> DataFrame:
@@ -100,10 +121,10 @@ def record_scans(spark: SparkSession, path: str, batch: str, reports: Reports, b
         for folder in known.replaced:
             files.remove(spark, folder)
     work = f"{path}/work/{batch}"
-    scans = _written(spark, f"{work}/scans", reports.rows(buckets))
+    scans = written(spark, f"{work}/scans", reports.rows(buckets))
     named = sorted(r.bucket for r in scans.select("bucket").distinct().collect())
     heads = store.read_state(spark, path, "newest_scans", HEAD, known, named)
-    pairs = _written(spark, f"{work}/pairs", arrival_pairs(scans.select("server_id", "scan_id", "scanned_at", "arrival"), heads))
+    pairs = written(spark, f"{work}/pairs", arrival_pairs(scans.select("server_id", "scan_id", "scanned_at", "arrival"), heads))
     linked = pairs.where("prev_scan_id IS NOT NULL")
 
     defs = reports.tools.select("scan_id", "name", "description", "input_schema", "tokens")
@@ -116,7 +137,7 @@ def record_scans(spark: SparkSession, path: str, batch: str, reports: Reports, b
         "findings": _identified(store.finding_rows(reports.findings), scans, F.col("analyzer"), F.col("rule_id"), F.col("tool_name"),
                                 F.col("title"), F.col("detail_json")),
         "tool_defs": _identified(store.tool_definitions(defs), scans, F.col("name"), F.col("description"), F.col("schema_json")),
-        "drift_events": events_of(_changes(spark, work, scans, heads, linked), linked),
+        "drift_events": _events(spark, work, scans, heads, linked),
     }
     columns = ["server_id", "scan_id", "scanned_at", "manifest_hash", "manifest_json"]
     every = scans.select(*columns).unionByName(heads)

@@ -155,3 +155,19 @@ def test_long_lines_have_wide_sketches_that_part_them(spark, docs_df):
     pairs = rows.select(*[F.col(c).alias(f"_x{c}") for c in rows.columns]).crossJoin(rows.select(*[F.col(c).alias(f"_y{c}") for c in rows.columns]))
     near = {(r._xdoc_id, r._ydoc_id): r.near for r in pairs.withColumn("near", lines._near(lines._WIDE)).collect()}
     assert not near[0, 1] and near[0, 0] and near[0, 2]
+
+
+def test_open_listings_are_joined_in_slices(spark, docs_df, monkeypatch):
+    """The rows are those of brute force, each slice's pairs are written apart, and listings are stored once."""
+    written = []
+    keep = lines.kept
+    monkeypatch.setattr(lines, "SLICE_LINES", 40)
+    monkeypatch.setattr(lines, "kept", lambda df, purpose: written.append((purpose, df.columns)) or keep(df, purpose))
+    df = docs_df(corpus(5))
+    drop, n = expected(spark, df)
+    assert n > 20
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert all(got[i] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop[i]) for i, text in corpus(5))
+    purposes = [p for p, _ in written]
+    assert purposes.count("near-line-pairs") == 1 + lines._words(df).count() // 40 > 3
+    assert [p for p, columns in written if "word" in columns] == ["line-index"]
